@@ -27,38 +27,33 @@ def neighbours(anchors: DataFrame, chunks: DataFrame, radius: int, keys=("docume
     return chunks.join(wanted, [*keys, "chunk_index"])
 
 
-def expand_hits(hits: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
+def expand_hits(hits: DataFrame, chunks: DataFrame, radius: Column | int) -> DataFrame:
     """Add the neighbours of each query's hits with decayed scores, re-ranked by score.
 
-    ``hits``: query_id, document_id, chunk_index, chunk_id, score, rank. A
-    neighbour takes the score of the nearest hit (the earlier ranked on a tie);
-    rows already hit stay as they are. Added rows carry ``expanded`` and no side
-    scores.
+    ``hits``: query_id, document_id, chunk_index, chunk_id, score, rank and what
+    ``chunks`` shares with them. A neighbour takes the score of the nearest hit
+    (the earlier ranked on a tie); rows already hit stay as they are. Added rows
+    carry ``expanded`` and no side scores. ``radius`` may differ per row and is
+    at most 3.
     """
-    if not 1 <= radius <= 3:
-        raise ValueError("radius must be between 1 and 3")
-    at = F.col("chunk_index")
-    offsets = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("offset")
+    width = F.least(F.lit(radius) if isinstance(radius, int) else radius, F.lit(3))
+    offsets = F.explode(F.sequence(-width, width)).alias("offset")
     near = (
-        hits.where(at.isNotNull() & F.col("document_id").isNotNull())
-        .select("query_id", "document_id", at.alias("anchor_index"), F.col("score").alias("anchor_score"), F.col("rank").alias("anchor_rank"), offsets)
-        .withColumn("chunk_index", F.col("anchor_index") + F.col("offset"))
+        hits.where(F.col("chunk_index").isNotNull() & F.col("document_id").isNotNull())
+        .select("query_id", "document_id", F.col("chunk_index").alias("at"), F.col("score").alias("anchor_score"), F.col("rank").alias("anchor_rank"), offsets)
+        .withColumn("chunk_index", F.col("at") + F.col("offset"))
         .where(F.col("chunk_index") >= 0)
         .groupBy("query_id", "document_id", "chunk_index")
-        .agg(
-            F.min_by(F.struct("anchor_score", F.abs("offset").alias("distance")), F.struct(F.abs("offset"), F.col("anchor_rank"))).alias("a"),
-            F.max(F.col("offset") == 0).alias("is_hit"),
-        )
-        .where(~F.col("is_hit"))
+        .agg(F.min(F.struct(F.abs("offset").alias("distance"), F.col("anchor_rank"), F.col("anchor_score"))).alias("a"))
+        .where(F.col("a.distance") > 0)
     )
-    payload = [c for c in hits.columns if c in chunks.columns and c not in ("document_id", "chunk_index")]
+    payload = [c for c in hits.columns if c in chunks.columns and c not in ("document_id", "chunk_index", "score", "rank")]
     added = near.join(chunks.select("document_id", "chunk_index", *payload), ["document_id", "chunk_index"]).select(
         "query_id", "document_id", "chunk_index", *payload,
-        decayed(F.col("a.anchor_score"), F.col("a.distance")).alias("score"),
-        F.lit(True).alias("expanded"),
+        decayed(F.col("a.anchor_score"), F.col("a.distance")).alias("score"), F.lit(True).alias("expanded"),
     )
     merged = hits.withColumn("expanded", F.lit(False)).unionByName(added, allowMissingColumns=True)
     order = Window.partitionBy("query_id").orderBy(
-        F.desc("score"), F.col("expanded"), F.col("rank").asc_nulls_last(), "document_id", "chunk_index"
+        F.desc("score"), F.col("expanded"), F.col("rank").asc_nulls_last(), F.col("document_id"), F.col("chunk_index")
     )
     return merged.withColumn("rank", F.row_number().over(order))
