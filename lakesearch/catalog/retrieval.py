@@ -1,10 +1,13 @@
 """Keyword, vector and hybrid retrieval over the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakesearch.catalog.bindings import CHUNKS, QUERIES_CTE, chunks, documents, queries, table, with_
 from lakesearch.catalog.registry import query
 from lakesearch.operators import fusion, gate, keyword, planning, ranking, vectors
+from lakesearch.session import shared_dir
 
 # SQL twin of the keyword index and BM25 scores for a CTE ``req`` (query_id, query[, kb_id]).
 INDEX = r"""toks AS (
@@ -38,18 +41,27 @@ BM = scores_sql("queries", "bm", False)
 BM_SCORES = "bm_scores AS (SELECT query_id, chunk_id, round(greatest(3 * title_score, text_score), 6) AS score FROM bm_fields)"
 
 
+_STORED: dict = {}
+
+
 def index(spark, sf):
-    return keyword.build_index(chunks(spark, sf))
+    """The keyword index of all chunks, built and stored once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        name = f"keyword_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _STORED[key] = keyword.store_index(keyword.build_index(chunks(spark, sf)), f"{shared_dir(spark)}/{name}", name, buckets)
+    return _STORED[key]
 
 
 @query("k02_term_statistics", with_(CHUNKS, INDEX, "SELECT field, term, df FROM tstat"))
 def term_statistics(spark, sf):
-    return index(spark, sf).term_stats
+    return keyword.build_index(chunks(spark, sf)).term_stats
 
 
 @query("k02_postings", with_(CHUNKS, INDEX, "SELECT chunk_id, field, term, tf, dl FROM post"))
 def postings(spark, sf):
-    return index(spark, sf).postings.select("chunk_id", "field", "term", "tf", "dl")
+    return keyword.postings(chunks(spark, sf)).select("chunk_id", "field", "term", "tf", "dl")
 
 
 @query("r05_field_statistics", with_(CHUNKS, INDEX, "SELECT field, n, round(avgdl, 6) AS avgdl FROM fstat"))

@@ -178,11 +178,11 @@ def scope_search(spark, sf):
 
 # State of each collection per request: a collection without a hit counts as failed for queries
 # that name identifiers; its coverage and degraded parts follow from its name and mode.
-STATUS = """fstat2 AS (SELECT b.query_id, b.kb_id, b.kb_position, r.has_ids AND count(x.chunk_id) = 0 AS failed,
-    CASE WHEN r.p IN (0, 1) THEN 'enumeration' WHEN r.p IN (2, 3, 7) THEN 'comprehensive' ELSE 'focused' END AS intent,
-    CASE WHEN r.p IN (5, 6) THEN 'fallback' ELSE 'rule' END AS plan_source,
-    CASE WHEN r.p IN (0, 1) AND b.kb_id IN ('en', 'fr') THEN 'partial' WHEN b.kb_id IN ('es', 'fr') THEN 'complete' ELSE 'not_applicable' END AS coverage
-  FROM bound b JOIN req r ON r.base = b.base AND r.kb_id = b.kb_id LEFT JOIN results x ON x.query_id = r.query_id GROUP BY ALL)"""
+STATUS = """fstat1 AS (SELECT b.query_id, b.kb_id, b.kb_position, r.has_ids, r.p, count(x.chunk_id) AS n
+  FROM bound b JOIN req r ON r.base = b.base AND r.kb_id = b.kb_id LEFT JOIN results x ON x.query_id = r.query_id GROUP BY ALL),
+fstat2 AS (SELECT query_id, kb_id, kb_position, has_ids AND n = 0 AS failed,
+    CASE WHEN p IN (0, 1) THEN 'enumeration' WHEN p IN (2, 3, 7) THEN 'comprehensive' ELSE 'focused' END AS intent,
+    CASE WHEN p IN (0, 1) AND kb_id IN ('en', 'fr') THEN 'partial' WHEN kb_id IN ('es', 'fr') THEN 'complete' ELSE 'not_applicable' END AS coverage FROM fstat1)"""
 
 
 def collection_status(spark, sf):

@@ -7,16 +7,19 @@ term found in a third of all chunks is spread over all partitions.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.functions.entities import entity_ids
 from lakesearch.functions.tokens import offline_keyword_score, tokens
 from lakesearch.operators.ranking import top_k
+from lakesearch.session import broadcast_within
 
 # BM25 parameters, field boosts and identifier boosts.
 K1, B = 1.2, 0.75
 TITLE_BOOST, TITLE_BOOST_WITH_IDS = 3.0, 5.0
+# Weights up to this many rows travel to every task; beyond it terms are salted.
+SHIPPED_WEIGHTS, SALTS = 1_000_000, 32
 PRIMARY_ID_BOOST, ANY_ID_BOOST, ALIAS_BOOST = 100.0, 40.0, 20.0
 
 
@@ -64,18 +67,24 @@ def build_index(chunks: DataFrame, fields=("title", "text")) -> KeywordIndex:
     return KeywordIndex(posts, term_statistics(posts), field_statistics(chunks, fields))
 
 
-def write_index(index: KeywordIndex, path: str, name: str, buckets: int) -> None:
-    """Persist the index; postings are bucketed by chunk so reads need no shuffle."""
+def store_index(index: KeywordIndex, path: str, name: str, buckets: int) -> KeywordIndex:
+    """Persist the index and return it as read back.
+
+    Postings are bucketed by chunk, so a scan already has every chunk in one
+    partition; term statistics are range-partitioned by term for pruned reads.
+    """
+    spark = index.postings.sparkSession
     (
-        index.postings.write.mode("overwrite").option("path", f"{path}/postings")
-        .bucketBy(buckets, "chunk_id").sortBy("chunk_id", "term").saveAsTable(f"{name}_postings")
+        index.postings.write.mode("overwrite").format("parquet").option("path", f"{path}/postings")
+        .bucketBy(buckets, "chunk_id").sortBy("chunk_id").saveAsTable(f"{name}_postings")
     )
-    stored = index.postings.sparkSession.table(f"{name}_postings")
-    term_statistics(stored).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+    stats = term_statistics(spark.table(f"{name}_postings"))
+    stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
     index.field_stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
+    return read_index(spark, path, name)
 
 
-def read_index(spark, path: str, name: str) -> KeywordIndex:
+def read_index(spark: SparkSession, path: str, name: str) -> KeywordIndex:
     return KeywordIndex(
         spark.table(f"{name}_postings"), spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(f"{path}/field_stats")
     )
@@ -94,6 +103,22 @@ def query_terms(queries: DataFrame, index: KeywordIndex) -> DataFrame:
     return terms.join(stats, "term").select(*keep, "field", "term", (F.col("qtf") * idf).alias("weight"), "avgdl")
 
 
+def match_terms(weights: DataFrame, index: KeywordIndex) -> DataFrame:
+    """Postings of the query terms.
+
+    The weights are broadcast when a count shows they are few, which leaves the
+    postings in their chunk partitions. Otherwise both sides are shuffled by
+    term and a chunk-derived salt, so a frequent term is spread over ``SALTS`` tasks.
+    """
+    on = ["field", "term"] + (["kb_id"] if "kb_id" in weights.columns else [])
+    small, fits = broadcast_within(weights, SHIPPED_WEIGHTS)
+    if fits:
+        return index.postings.join(small, on)
+    salted = index.postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    spread = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [*on, "salt"]).drop("salt")
+
+
 def field_scores(queries: DataFrame, index: KeywordIndex, allowed: DataFrame | None = None) -> DataFrame:
     """BM25 per query and chunk with one column per field.
 
@@ -101,10 +126,8 @@ def field_scores(queries: DataFrame, index: KeywordIndex, allowed: DataFrame | N
     (query_id, chunk_id) limits the candidates further. Neither changes the
     statistics.
     """
-    weights = query_terms(queries, index)
-    on = ["field", "term"] + (["kb_id"] if "kb_id" in queries.columns else [])
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    matched = index.postings.join(weights, on)
+    matched = match_terms(query_terms(queries, index), index)
     if allowed is not None:
         matched = matched.join(allowed, ["query_id", "chunk_id"], "left_semi")
     part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)

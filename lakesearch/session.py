@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "lakesearch", master: str | None = None, shuffle_partitions: int | None = None):
@@ -40,10 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str, cluster_by: list[str] | None = None) -> DataFrame:
+def broadcast_within(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """``df`` marked for broadcast when a bounded count shows at most ``max_rows`` rows."""
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df), True
+    return df, False
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    out = df.repartition(*cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df
-    out.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
