@@ -710,12 +710,12 @@ def new_documents(spark, sf):
 
 @query(
     "c11_profile_conflicts",
-    with_(DOCS, """SELECT b.document_id AS job_id, r.document_id AS existing_id, CASE WHEN r.document_id % 3 = 0 THEN 'bge-m3' ELSE 'configured' END AS stored_profile,
-      CASE WHEN r.document_id % 3 = 0 THEN 'embedding_profile_conflict' ELSE 'deduplicated' END AS outcome
+    with_(DOCS, """SELECT b.document_id AS job_id, r.document_id AS existing_id, CASE WHEN r.source IN ('src1', 'src3', 'src8') THEN 'bge-m3' ELSE 'configured' END AS stored_profile,
+      CASE WHEN r.source IN ('src1', 'src3', 'src8') THEN 'embedding_profile_conflict' ELSE 'deduplicated' END AS outcome
       FROM docs b JOIN docs r ON r.kb_id = b.kb_id AND r.content_hash = b.content_hash AND r.status = 'ready'"""),
 )
 def profile_conflicts(spark, sf):
-    profile = F.when((F.col("document_id") % 3 == 0) & (F.col("chunk_index") == 0), "bge-m3").when(F.col("chunk_index") == 0, "configured").otherwise("other")
+    profile = F.when(F.col("source").isin("src1", "src3", "src8") & (F.col("chunk_index") == 0), "bge-m3").when(F.col("chunk_index") == 0, "configured").otherwise("other")
     firsts = lookups.first_chunk_profile(chunks(spark, sf).withColumn("embedding_profile", profile))
     return sync.profile_conflicts(batch(spark, sf), published(spark, sf), firsts, F.lit("configured")).select("job_id", "existing_id", "stored_profile", "outcome")
 
@@ -742,16 +742,18 @@ def conflicts(spark, sf):
 
 @query(
     "c13_conflict_resolution",
-    with_(DOCS, CONFLICTS, """SELECT job_id, 1000000 + job_id AS document_id, CASE job_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'discarded' WHEN 2 THEN 'staging' ELSE 'ready' END AS status,
-        CASE job_id % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'discarded' WHEN 2 THEN 'conflict' ELSE 'succeeded' END AS job_status FROM found
-      UNION ALL SELECT job_id, unnest(ids), 'superseded', 'succeeded' FROM found WHERE job_id % 4 IN (0, 3)"""),
+    with_(DOCS, CONFLICTS, """decided AS (SELECT job_id, ids, CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderpriority <> '5-LOW') THEN 'succeeded' WHEN o_orderstatus = 'O' THEN 'discarded' ELSE 'conflict' END AS job_status
+        FROM found JOIN orders ON o_orderkey = job_id)""", """SELECT job_id, 1000000 + job_id AS document_id, CASE job_status WHEN 'succeeded' THEN 'ready' WHEN 'discarded' THEN 'discarded' ELSE 'staging' END AS status, job_status FROM decided
+      UNION ALL SELECT job_id, unnest(ids), 'superseded', job_status FROM decided WHERE job_status = 'succeeded'"""),
 )
 def conflict_resolution(spark, sf):
     found = sync.conflicts(*pending(spark, sf))
-    kind, new_id = F.col("job_id") % 4, F.col("job_id") + 1000000
-    return sync.resolve(found.select(
-        "job_id", new_id.alias("new_id"), "conflict_ids", F.when(kind == 0, "keep_new").otherwise("manual").alias("policy"),
-        F.when(kind == 1, F.get("conflict_ids", F.lit(0))).when(kind == 3, new_id).alias("keep_id"),
+    new_id, status = F.col("job_id") + 1000000, F.col("o_orderstatus")
+    decided = found.join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("job_id"))
+    last = F.col("o_orderpriority") == "5-LOW"
+    return sync.resolve(decided.select(
+        "job_id", new_id.alias("new_id"), "conflict_ids", F.when(status == "F", "keep_new").otherwise("manual").alias("policy"),
+        F.when((status == "O") & last, F.get("conflict_ids", F.lit(0))).when(status == "O", new_id).alias("keep_id"),
     ))
 
 

@@ -8,7 +8,7 @@ from lakesearch.functions.ids import uuid5
 
 # Job and run states.
 ACTIVE_RUN_STATES = ("queued", "running", "paused")
-RESUMABLE_JOB_STATES = ("queued", "running", "conflict", "ingest_retrying", "resolve_retrying")
+RESUMABLE_JOB_STATES = ("queued", "running", "conflict", "resolving", "ingest_retrying", "resolve_retrying")
 TERMINAL_JOB_STATES = ("succeeded", "deduplicated", "failed", "cancelled", "discarded")
 
 
