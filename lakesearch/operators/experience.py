@@ -52,7 +52,7 @@ def upsert_outcomes(batch: DataFrame, stored: DataFrame, bucket: Column, order:
     from lakesearch.operators.running import running
 
     # A later row must not replace the content of an equal revision, so the place counts negatively.
-    place = F.struct(*[(-F.unix_micros(c) if t == "timestamp" else -F.col(c)).alias(f"o{i}") for i, (c, t) in enumerate(order)])
+    place = F.struct(*[(-F.unix_micros(F.col(c).cast("timestamp")) if t == "timestamp" else -F.col(c)).alias(f"o{i}") for i, (c, t) in enumerate(order)])
     state = F.struct(F.col("source_revision").alias("revision"), place.alias("place"), F.col("fingerprint").alias("content"))
     seen = running(batch, IDENTITY, bucket, [c for c, _ in order], {"_before": ("max", state)}, inclusive=False)
     held = stored.select(*IDENTITY, F.col("source_revision").alias("_r"), F.col("fingerprint").alias("_f"))
@@ -143,9 +143,7 @@ def request_outcomes(requests: DataFrame, ttl_seconds: int) -> DataFrame:
 
     ``requests``: actor, key, request_hash, at, seq. The first delivery opens a
     window of ``ttl_seconds``; later ones inside it repeat it (same hash) or
-    conflict, and the first one after it opens the next window. Windows start
-    at the first delivery of a gap-bounded session, so sessions are found first
-    and only keys with repeats inside a session are walked.
+    conflict, and the first one after it opens the next window.
     """
     from lakesearch.streaming.idempotency import walk_requests
 

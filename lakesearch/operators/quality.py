@@ -8,8 +8,8 @@ from lakesearch.functions.tokens import tokens
 _SHINGLE = 5
 
 
-def _shingles(text: Column, n: int) -> Column:
-    words = tokens(text)
+def _shingles(words: str, n: int) -> Column:
+    """Hashes of all runs of ``n`` words of a word-array column."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
 
@@ -27,19 +27,17 @@ def containing_documents(passages: DataFrame, docs: DataFrame, passage_key: str,
     anchor; only anchored pairs are tested. Passages of fewer than seven words
     use a character gram instead, when there are any.
     """
-    count = F.size(tokens(F.col("text")))
-    short = passages.where(count < _SHINGLE + 2)
-    parts = [(passages.where(count >= _SHINGLE + 2), lambda t: F.get(_shingles(t, _SHINGLE), F.lit(1)), lambda t: F.array_distinct(_shingles(t, _SHINGLE)))]
-    sizes = [r[0] for r in short.select(F.least(F.length("text"), F.lit(3))).distinct().collect()]
-    for n in sorted(s for s in sizes if s):
-        same = short.where(F.least(F.length("text"), F.lit(3)) == n)
-        parts.append((same, lambda t, n=n: F.get(_grams(t, n), F.lit(0)), lambda t, n=n: _grams(t, n)))
-    pairs = None
-    for subset, anchor, spread in parts:
-        left = subset.select(passage_key, anchor(F.col("text")).alias("anchor"))
-        right = docs.select(doc_key, F.explode(spread(F.col("text"))).alias("anchor"))
-        found = right.join(left, "anchor").select(passage_key, doc_key)
-        pairs = found if pairs is None else pairs.unionByName(found)
+    # The words get their own column, so that they are split once per row.
+    worded = passages.select(passage_key, "text", tokens(F.col("text")).alias("words"))
+    long = F.size("words") >= _SHINGLE + 2
+    anchors = worded.where(long).select(passage_key, F.xxhash64(F.array_join(F.slice("words", 2, _SHINGLE), " ")).alias("anchor"))
+    runs = docs.select(doc_key, tokens(F.col("text")).alias("words")).select(doc_key, F.explode(F.array_distinct(_shingles("words", _SHINGLE))).alias("anchor"))
+    pairs = runs.join(anchors, "anchor").select(passage_key, doc_key)
+    short = worded.where(~long).select(passage_key, "text")
+    for n in sorted(r[0] for r in short.select(F.least(F.length("text"), F.lit(3))).distinct().collect() if r[0]):
+        left = short.where(F.least(F.length("text"), F.lit(3)) == n).select(passage_key, F.xxhash64(F.substring("text", 1, n)).alias("anchor"))
+        right = docs.select(doc_key, F.explode(_grams(F.col("text"), n)).alias("anchor"))
+        pairs = pairs.unionByName(right.join(left, "anchor").select(passage_key, doc_key))
     return (
         pairs.join(docs.select(doc_key, F.col("text").alias("doc_text")), doc_key)
         .join(passages.select(passage_key, F.col("text").alias("passage_text")), passage_key)
@@ -61,18 +59,41 @@ def split_valid(rows: DataFrame, rules: dict) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("reasons") == 0).drop("reasons"), checked.where(F.size("reasons") > 0)
 
 
+# Closed vocabularies of experience rows.
+WORKFLOWS = ("penetration", "alert-triage")
+OUTCOMES = ("success", "failure", "neutral")
+EVIDENCE_LEVELS = ("reported", "observed", "verified")
+
+
+def _text(name: str, most: int, required: bool = True) -> Column:
+    size = F.length(name).between(1, most)
+    return F.coalesce(size, F.lit(False)) if required else F.col(name).isNull() | size
+
+
 def experience_rules() -> dict:
     """Rules an experience upsert must meet."""
-    size = lambda c, low, high: F.length(c).between(low, high)
     private = F.col("visibility") == "workspace"
     return {
+        "external_id": _text("external_id", 128),
+        "source_system": _text("source_system", 64),
         "source_revision": F.col("source_revision") >= 1,
-        "external_id": size("external_id", 1, 128),
+        "workflow_type": F.col("workflow_type").isin(*WORKFLOWS),
+        "scope_mismatch": F.col("workflow_type") == F.col("knowledge_scope"),
+        "experience_type": _text("experience_type", 64),
         "visibility": F.col("visibility").isin("global", "workspace"),
-        "workspace_id": ~private | F.coalesce(F.length("workspace_id") > 0, F.lit(False)),
+        "workspace_id": F.when(private, _text("workspace_id", 128)).otherwise(F.col("workspace_id").isNull()),
         "conditions": F.size("conditions") <= 50,
-        "action_summary": size("action_summary", 1, 4000),
-        "outcome_summary": size("outcome_summary", 1, 4000),
+        "action_summary": _text("action_summary", 8000),
+        "outcome_summary": _text("outcome_summary", 8000),
+    }
+
+
+def feedback_rules() -> dict:
+    """Rules a feedback event must meet."""
+    return {
+        "event_id": _text("event_id", 128), "experience_id": _text("experience_id", 128), "task_id": _text("task_id", 128),
+        "workflow_type": F.col("workflow_type").isin(*WORKFLOWS), "outcome": F.col("outcome").isin(*OUTCOMES),
+        "evidence_level": F.col("evidence_level").isin(*EVIDENCE_LEVELS), "notes": F.col("notes").isNull() | (F.length("notes") <= 2000),
     }
 
 
