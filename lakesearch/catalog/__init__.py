@@ -1,4 +1,4 @@
 from lakesearch.catalog.registry import QUERIES, SQL
-from lakesearch.catalog import collection, ingest, measures, retrieval, scalars, search, tables  # noqa: F401
+from lakesearch.catalog import collection, ingest, measures, retrieval, scalars, search, sources, streams, tables  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -142,3 +142,20 @@ def cursor_keys(cursors: DataFrame, prefix: str | None = None) -> DataFrame:
     """Cursor keys, optionally with a prefix, in order."""
     rows = cursors.where(F.startswith("cursor_key", F.lit(prefix))) if prefix else cursors
     return rows.select("cursor_key").orderBy("cursor_key")
+
+
+# Columns a blind test set must not show.
+GOLD_COLUMNS = (
+    "answerable", "evidence_ids", "expected_answer", "must_include", "relevant_evidence", "relevant_documents", "relevant_pages",
+    "acceptable_evidence_ids", "acceptable_evidence", "acceptable_documents", "acceptable_pages",
+)
+
+
+def public_rows(questions: DataFrame) -> DataFrame:
+    """Questions without anything that gives the answer away."""
+    return questions.drop(*GOLD_COLUMNS)
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One JSON object per line, null fields left out."""
+    rows.write.mode("overwrite").json(path)
