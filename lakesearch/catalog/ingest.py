@@ -119,6 +119,15 @@ def embedding_hook(spark, sf):
     return out.select("query_id", F.col("embedding")[0].cast("double").alias("first_value"))
 
 
+@query("h02_embedder_hook", "SELECT doc_id AS document_id, length(text)::DOUBLE AS size FROM documents")
+def embedder_hook(spark, sf):
+    import numpy as np
+
+    rows = documents(spark, sf).select("document_id", "text")
+    out = embedding.embed(rows, lambda texts: np.array([[len(t)] for t in texts]), 1)
+    return out.select("document_id", F.col("embedding")[0].cast("double").alias("size"))
+
+
 @query("c15_ingest_batch")
 def ingest_batch(spark, sf):
     result = ingest.ingest_batch(batch(spark, sf), published(spark, sf), embedding.hash_embedder(32), 32)

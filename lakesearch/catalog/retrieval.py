@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakesearch.catalog.bindings import CHUNKS, QUERIES_CTE, chunks, documents, queries, table, with_
 from lakesearch.catalog.registry import query
 from lakesearch.operators import fusion, gate, keyword, planning, ranking, vectors
-from lakesearch.session import shared_dir
+from lakesearch.session import materialise, shared_dir
 
 # SQL twin of the keyword index and BM25 scores for a CTE ``req`` (query_id, query[, kb_id]).
 INDEX = r"""toks AS (
@@ -54,6 +54,14 @@ def index(spark, sf):
     return _STORED[key]
 
 
+def stored(spark, sf, label, build):
+    """A derived table, written to the shared folder once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in _STORED:
+        _STORED[key] = materialise(build(), label)
+    return _STORED[key]
+
+
 @query("k02_term_statistics", with_(CHUNKS, INDEX, "SELECT field, term, df FROM tstat"))
 def term_statistics(spark, sf):
     return keyword.build_index(chunks(spark, sf)).term_stats
@@ -246,6 +254,11 @@ def rrf_fusion(spark, sf):
     return fusion.rrf(*sides(spark, sf)).selectExpr(*_FUSED)
 
 
+@query("j05_side_fusion", with_(*BOTH, "SELECT query_id, chunk_id, ve.score AS vector_score, kw.score AS keyword_score FROM ve FULL JOIN kw USING (query_id, chunk_id)"))
+def side_fusion(spark, sf):
+    return fusion.fuse(*sides(spark, sf)).select("query_id", "chunk_id", "vector_score", "keyword_score")
+
+
 @query("r09_minmax", with_(*BOTH, NORM, "SELECT query_id, chunk_id, side, round(norm, 6) AS norm FROM normed"))
 def minmax(spark, sf):
     normed = fusion.minmax(fusion.tag_sides(*sides(spark, sf)))
@@ -399,6 +412,18 @@ def rerank_stage(spark, sf):
     return ranking.document_quota(promoted, 1).select("query_id", "chunk_id", "rank")
 
 
+@query("h03_reranker_hook", with_(*BOTH, RRF, """pool AS (SELECT f.query_id, f.chunk_id, f.rank, length(c.text) AS n FROM fused_ranked f JOIN chunks c USING (chunk_id) WHERE f.rank <= 10)""",
+       "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, rank) AS rank FROM pool"))
+def reranker_hook(spark, sf):
+    """A caller's scorer over (query, text) pairs; here longer texts win."""
+
+    def length_scorer(asked, texts):
+        return texts.str.len().astype("float64")
+
+    pool = fusion.rrf(*sides(spark, sf)).where(F.col("rank") <= 10).join(chunks(spark, sf).select("chunk_id", "text"), "chunk_id").join(queries(spark, sf), "query_id")
+    return ranking.rerank(pool, ranking.scored_by(pool, length_scorer), 10).select("query_id", "chunk_id", "rank")
+
+
 # Wording is put behind the passages so that every rule is met.
 PHRASES = ("有哪些 条款", "全部", "主要内容", "两个 对比", "是什么", "", "列出 其他", "从 头 到 尾 过程")
 

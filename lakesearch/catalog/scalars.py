@@ -288,6 +288,14 @@ def token_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", approximate_token_count(F.col("text")).alias("token_count"))
 
 
+@query("h01_token_counter", "SELECT doc_id, len(string_split(text, ' ')) AS token_count FROM documents")
+def token_counter(spark, sf):
+    from lakesearch.functions.table_functions import token_counter as counter
+
+    count = counter(lambda text: len(text.split(" ")))
+    return table(spark, sf, "documents").select("doc_id", count("text").cast("bigint").alias("token_count"))
+
+
 @query(
     "g07_normalize_fact",
     r"""SELECT doc_id,

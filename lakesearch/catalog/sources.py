@@ -140,6 +140,16 @@ def capec_pages(spark, sf):
     return feeds.capec(bundles).select("title", F.col("metadata")["deprecated"].alias("deprecated"))
 
 
+@query(
+    "h04_source_adapters",
+    f"SELECT 'nvd' AS adapter, count(*) AS pages FROM part UNION ALL SELECT 'cwe', count(*) FROM part WHERE p_size <= 45 AND p_partkey IN ({_in(feeds.CWE_DEFAULTS)})",
+)
+def source_adapters(spark, sf):
+    raw = {"nvd": nvd_feed(spark, sf), "cwe": records(spark, sf, "Weaknesses")}
+    pages = [feeds.ADAPTERS[name](rows).select(F.lit(name).alias("adapter")) for name, rows in raw.items()]
+    return pages[0].unionByName(pages[1]).groupBy("adapter").agg(F.count("*").alias("pages"))
+
+
 @query("s10_selected_ids", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size || ',' || p_partkey ELSE '1,2' END AS ids FROM part WHERE p_size <> p_partkey OR p_size <= 25")
 def selected_ids(spark, sf):
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")

@@ -64,7 +64,7 @@ def nearest_rank(df: DataFrame, value: str, fraction: float, by: tuple = ()) ->
     rows = df.where(F.col(value).isNotNull())
     bracket = rows.groupBy(*by).agg(F.percentile_approx(value, [low, high], 10000).alias("b"), F.count("*").alias("n"))
     bracket = bracket.select(*by, F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), F.greatest(F.ceil(F.col("n") * fraction), F.lit(1)).alias("target"))
-    joined = rows.join(bracket, list(by)) if by else rows.withColumn("_one", F.lit(1)).join(bracket.withColumn("_one", F.lit(1)), "_one")
+    joined = rows.join(bracket, list(by)) if by else rows.withColumn("_one", F.lit(1)).join(F.broadcast(bracket.withColumn("_one", F.lit(1))), "_one")
     place = F.when(F.col(value) < F.col("low"), F.lit(None)).when(F.col(value) > F.col("high"), F.lit(None)).otherwise(F.col(value))
     counts = joined.where(F.col(value) <= F.col("high")).groupBy(*by, "target", place.alias("value")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy(*by).orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesearch.session import materialise
+
 
 def visible(workspace_id: str, allowed_workflows: list | None) -> Column:
     """Rows a caller may see: shared or own workspace, permitted workflows."""
@@ -97,6 +99,8 @@ def apply_transitions(items: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     for _ in range(len({t for _, t in TRANSITIONS})):
         possible = requests.join(state, "experience_id").where((F.col("seq") > F.col("after")) & transition_allowed(F.col("now"), F.col("target")))
         step = possible.groupBy("experience_id").agg(F.min(F.struct("seq", F.col("now").alias("from_status"), F.col("target").alias("to_status"))).alias("s")).select("experience_id", "s.*")
+        # A round has at most one row per item; writing it keeps the plan of the next round flat.
+        step = materialise(step, "lifecycle-step")
         steps = step if steps is None else steps.unionByName(step)
         state = state.join(step, "experience_id", "left").select(
             "experience_id", F.coalesce("to_status", "now").alias("now"), F.coalesce(F.col("seq"), F.col("after")).alias("after")

@@ -85,12 +85,13 @@ def content_type_request_valid(requested: Column, allowed: Column) -> Column:
 def browse(rows: DataFrame, condition: Column, order: list, offset: int, limit: int) -> DataFrame:
     """One page of matching rows, newest first, each with the total of matches.
 
-    The page is cut by a distributed top-n; only the count and the page meet.
+    The page is cut by a distributed top-n; only the page and the one row with the
+    total meet.
     """
     matched = rows.where(condition)
     total = matched.agg(F.count("*").alias("total"))
     page = matched.orderBy(*order).offset(offset).limit(limit)
-    return page.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return page.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def text_match(needle: str, *columns: str) -> Column:

@@ -126,10 +126,15 @@ def field_scores(queries: DataFrame, index: KeywordIndex, allowed: DataFrame | N
     (query_id, chunk_id) limits the candidates further. Neither changes the
     statistics.
     """
+    weights = query_terms(queries, index)
+    if allowed is None:
+        matched = match_terms(weights, index)
+    else:
+        # The allowed pairs are few next to the postings of the terms, so they lead.
+        pairs, _ = broadcast_within(allowed, SHIPPED_WEIGHTS)
+        terms, _ = broadcast_within(weights.drop("kb_id"), SHIPPED_WEIGHTS)
+        matched = index.postings.join(pairs, "chunk_id").join(terms, ["query_id", "field", "term"])
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    matched = match_terms(query_terms(queries, index), index)
-    if allowed is not None:
-        matched = matched.join(allowed, ["query_id", "chunk_id"], "left_semi")
     part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
     return matched.groupBy("query_id", "chunk_id").agg(
         F.coalesce(F.sum(F.when(F.col("field") == "title", part)), F.lit(0.0)).alias("title_score"),

@@ -55,6 +55,21 @@ def promote_identifier_matches(hits: DataFrame, wanted: Column) -> DataFrame:
     return ranked(out, [F.desc("_priority"), "rank"]).drop("_priority")
 
 
+def scored_by(candidates: DataFrame, scorer) -> DataFrame:
+    """Rerank scores from a caller's model.
+
+    ``scorer`` gets a Series of queries and a Series of texts and gives one
+    number per pair; it runs in Arrow batches on the candidates only.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def score(query: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(scorer(query, text))
+
+    return candidates.select("query_id", (F.col("rank") - 1).alias("position"), score("query", "text").alias("score"))
+
+
 def rerank(candidates: DataFrame, scores: DataFrame | None, limit: Column | int, most: int = 100) -> DataFrame:
     """Order candidates by supplied scores and keep the first ``limit`` per query.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.functions.entities import entity_ids
 from lakesearch.operators import filters, fusion, gate, keyword, neighbours, planning, ranking, vectors
+from lakesearch.session import materialise
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,8 @@ def hybrid_search(queries: DataFrame, tables: SearchTables, options: SearchOptio
     fused = fusion.fuse(vector, words, options.fusion_method, options.vector_weight, options.keyword_weight)
 
     place = tables.chunks.select("chunk_id", "document_id", "kb_id", "chunk_index", "entity_id", "entity_ids")
-    located = filters.ready_only(fused.join(place, "chunk_id"), tables.documents)
+    # At most two pools per query are left here; written once, as the next steps read them twice.
+    located = materialise(filters.ready_only(fused.join(place, "chunk_id"), tables.documents), "located-hits")
     per_query = ["wanted_ids", "top_k", "max_chunks_per_document", "rerank_candidate_top_k", "adjacent_chunk_radius"]
     radius = asked.select("query_id", "adjacent_chunk_radius")
     wide = neighbours.expand_hits(ranking.ranked(located, ["rank"]).join(radius, "query_id"), place, F.col("adjacent_chunk_radius")).drop("adjacent_chunk_radius")
