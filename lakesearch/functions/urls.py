@@ -32,8 +32,10 @@ def host(url: Column) -> Column:
 def normalize_url(url: Column) -> Column:
     """Stable key: scheme and host lower case, no fragment, no tracking parameters."""
     value = strip(F.coalesce(url, F.lit("")))
-    scheme, authority = F.lower(url_part(value, 1)), F.lower(url_part(value, 2))
-    path = F.coalesce(F.nullif(url_part(value, 3), F.lit("")), F.lit("/"))
+    # Each part is decorated by one replacement, which leaves an empty part empty.
+    scheme = F.regexp_replace(F.lower(url_part(value, 1)), "^(.+)$", "$1:")
+    authority = F.regexp_replace(F.lower(url_part(value, 2)), "^(.+)$", "//$1")
+    path = F.regexp_replace(url_part(value, 3), "^$", "/")
 
     def kept(part: Column) -> Column:
         key = F.lower(F.split_part(part, F.lit("="), F.lit(1)))
@@ -41,12 +43,7 @@ def normalize_url(url: Column) -> Column:
         return (part != "") & ~tracked
 
     query = F.array_join(F.filter(F.split(url_part(value, 4), "&"), kept), "&")
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(F.lit("")),
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    )
+    return F.concat(scheme, authority, path, F.regexp_replace(query, "^(.+)$", r"?$1"))
 
 
 def resolve_href(base: Column, href: Column) -> Column:

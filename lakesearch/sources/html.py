@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.functions.ids import content_hash
 from lakesearch.functions.text import clean_text, canonical_markdown, strip, truncate_marked
-from lakesearch.functions.urls import host, normalize_url, resolve_href, url_part
+from lakesearch.functions.urls import host, normalize_url, resolve_href
 from lakesearch.operators.ranking import top_k
 
 # Elements without readable text.
@@ -95,8 +95,11 @@ def site_links(pages: DataFrame, limit: int, key: str = "page_id") -> DataFrame:
     """Distinct links to the page's own host in order of appearance, the page itself first."""
     base = normalize_url(F.col("url"))
     hrefs = F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    listed = pages.select(key, base.alias("base"), F.posexplode(F.concat(F.array(F.lit("")), hrefs)).alias("position", "href"))
-    target = F.when(F.col("position") == 0, F.col("base")).otherwise(normalize_url(resolve_href(F.col("base"), strip(F.col("href")))))
-    same = F.lower(url_part(F.col("link"), 1)).isin("http", "https") & (host(F.col("link")) == host(F.col("base")))
-    first = listed.select(key, "base", "position", target.alias("link")).where(same).groupBy(key, "link").agg(F.min("position").alias("position"))
+    # Links are resolved inside the array, so that the host test below reads finished values.
+    based = pages.select(key, base.alias("base"), host(base).alias("site"), F.transform(hrefs, strip).alias("hrefs"))
+    resolved = F.transform("hrefs", lambda h: normalize_url(resolve_href(F.col("base"), h)))
+    linked = based.select(key, "site", F.concat(F.array("base"), resolved).alias("links"))
+    marked = F.transform("links", lambda u: F.struct(u.alias("link"), (u.rlike("^https?:") & (host(u) == F.col("site"))).alias("same")))
+    listed = linked.select(key, F.posexplode(marked).alias("position", "l")).where("l.same")
+    first = listed.groupBy(key, F.col("l.link").alias("link")).agg(F.min("position").alias("position"))
     return top_k(first, limit, [F.col("position")], [key])
