@@ -25,7 +25,13 @@ def offline_keyword_score(text: Column, query: Column) -> Column:
     words = F.array_distinct(
         F.filter(F.split(F.lower(query), r"(?U)\s+"), lambda w: w != "")
     )
-    hits = F.size(F.filter(words, lambda w: F.contains(F.lower(text), w)))
+    lowered = F.lower(text)
+    hits = F.size(F.filter(words, lambda w: F.contains(lowered, w)))
+    return F.when(hits > 0, score_of_hits(hits, text, query)).otherwise(F.lit(0.0))
+
+
+def score_of_hits(hits: Column, text: Column, query: Column) -> Column:
+    """The same score when the number of found words is known and not 0."""
     digest = F.sha2(F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("00")), F.encode(query, "UTF-8")), 256)
     seed = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
-    return F.when(hits > 0, hits * 0.3 + seed / 200.0 + 0.1).otherwise(F.lit(0.0))
+    return hits * 0.3 + seed / 200.0 + 0.1

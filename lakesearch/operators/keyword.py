@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.functions.entities import entity_ids
-from lakesearch.functions.tokens import offline_keyword_score, tokens
+from lakesearch.functions.tokens import offline_keyword_score, score_of_hits, tokens
 from lakesearch.operators.ranking import top_k
-from lakesearch.session import broadcast_within
+from lakesearch.session import broadcast_within, materialise
 
 # BM25 parameters, field boosts and identifier boosts.
 K1, B = 1.2, 0.75
@@ -225,16 +225,16 @@ def word_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     words = asked.select("word", gram.alias("gram")).distinct()
     starts = F.sequence(F.lit(1), F.length("piece"))
     grams = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(starts, lambda i: F.substring("piece", i, n)))))
+    # A word has one gram and a piece lists a gram once, so no pair appears twice.
     vocabulary = held.select("piece").distinct()
     inside = (
         vocabulary.select("piece", F.explode(grams).alias("gram")).join(words, "gram")
-        .where(F.contains("piece", "word")).select("piece", "word").distinct()
-    )
-    return (
-        held.join(inside.join(asked, "word"), ["kb_id", "piece"])
-        .groupBy("query_id", "chunk_id", "word").agg(F.lit(1).alias("one"))
-        .groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
+        .where(F.contains("piece", "word")).select("piece", "word")
     )
+    # A chunk's words are made distinct before they fan out to the queries that ask for them.
+    words_of = inside.groupBy("piece").agg(F.collect_list("word").alias("words"))
+    found = held.join(words_of, "piece").select("chunk_id", "kb_id", F.explode("words").alias("word")).groupBy("chunk_id", "kb_id", "word").agg(F.lit(1).alias("one"))
+    return found.join(asked, ["kb_id", "word"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
 
 
 def offline_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -244,10 +244,11 @@ def offline_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     pair two hits below the k-th best cannot enter the result; only the others
     are hashed.
     """
-    hits = word_hits(queries, chunks)
+    hits = materialise(word_hits(queries, chunks), "word-hits")
     kth = top_k(hits, k, [F.desc("hits")]).groupBy("query_id").agg(F.min("hits").alias("kth"))
     pairs = (
-        hits.join(kth, "query_id").where(F.col("hits") >= F.col("kth") - 1).select("query_id", "chunk_id")
+        hits.join(kth, "query_id").where(F.col("hits") >= F.col("kth") - 1).select("query_id", "chunk_id", "hits")
         .join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     )
-    return top_k(offline_scores(pairs).select("query_id", "chunk_id", "score"), k, [F.desc("score"), F.col("chunk_id")])
+    score = F.round(score_of_hits(F.col("hits"), F.col("text"), F.col("query")), 6)
+    return top_k(pairs.select("query_id", "chunk_id", score.alias("score")), k, [F.desc("score"), F.col("chunk_id")])
