@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakesearch.llm import sentencepiece
+from lakesearch.llm import exact_dedup, mixing, sentencepiece
 from lakesearch.llm.catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -16,3 +16,40 @@ def op6_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = sentencepiece.encode_decode(docs, PIECES)
     return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query("op7_exact_dedup", OP7_SQL)
+def op7_exact_dedup(spark, sf_dir):
+    found = exact_dedup.dedup_path(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+# The same rules by sorting: the fixed point of the shares over sources ordered by limit per weight, and running sums by hash.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[1 + place % 3] AS weight, 2.0::DOUBLE * source_size AS lim, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+o AS (SELECT *, lim / weight AS ratio, (budget - coalesce(sum(lim) OVER (ORDER BY lim / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY lim / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+l AS (SELECT (SELECT level FROM o WHERE ratio > level ORDER BY ratio, place LIMIT 1) AS level),
+t AS (SELECT source, source_size, CASE WHEN lim <= l.level * weight OR l.level IS NULL THEN lim ELSE l.level * weight END AS target FROM o, l),
+j AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, target - passes * source_size AS rest, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY source, h) AS own FROM j)
+SELECT doc_id, size, source_size, target,
+       (size * (passes + CASE WHEN upto <= rest THEN 1 WHEN upto - own <= rest AND upto - rest < rest - (upto - own) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+"""
+
+
+@query("op2_mixing", OP2_SQL)
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
