@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakesearch.llm import exact_dedup, mixing, sentencepiece
+from lakesearch.llm import exact_dedup, mixing, sentencepiece, toxicity
 from lakesearch.llm.catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -53,3 +53,17 @@ SELECT doc_id, size, source_size, target,
 @query("op2_mixing", OP2_SQL)
 def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        F.col("offending.begin").alias("offending_begin"),
+        F.col("offending.end").alias("offending_end"),
+    )
