@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakesearch.llm import exact_dedup, mixing, sentencepiece, toxicity
+from lakesearch.llm import exact_dedup, mixing, ngram_join, sentencepiece, toxicity
 from lakesearch.llm.catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -67,3 +67,9 @@ def op4_toxicity(spark, sf_dir):
         F.col("offending.begin").alias("offending_begin"),
         F.col("offending.end").alias("offending_end"),
     )
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark, sf_dir):
+    found = ngram_join.join_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
