@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakesearch.llm import exact_dedup, mixing, ngram_join, sentencepiece, toxicity
+from lakesearch.llm import exact_dedup, mixing, ngram_join, sentencepiece, substring_dedup, toxicity
 from lakesearch.llm.catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -73,3 +73,23 @@ def op4_toxicity(spark, sf_dir):
 def op10_ngram_join(spark, sf_dir):
     found = ngram_join.join_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+# The same rule over all windows, as word lists.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM d WHERE len(w) >= 50),
+k AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS h FROM s),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS low FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM f WHERE low < doc_id),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF gone IS NULL OR NOT list_contains(gone, i)], ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

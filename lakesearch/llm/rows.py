@@ -19,7 +19,8 @@ def id_order(column: str) -> Column:
 def row_key(id_column: str, text_column: str) -> Column:
     """16 bytes that name a row by id and text and sort by id; rows alike in both share it."""
     flipped = id_order(id_column).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    return F.unhex(F.concat(F.lpad(F.hex(flipped), 16, "0"), F.lpad(F.hex(F.xxhash64(text_column)), 16, "0")))
+    key = F.unhex(F.concat(F.lpad(F.hex(flipped), 16, "0"), F.lpad(F.hex(F.xxhash64(text_column)), 16, "0")))
+    return F.coalesce(key, F.lit(bytearray(16)))  # never null, so that joins of all kinds share one exchange
 
 
 def own_columns(df: DataFrame, reserved: tuple[str, ...]) -> DataFrame:
