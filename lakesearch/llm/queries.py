@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakesearch.llm import exact_dedup, mixing, ngram_join, sentencepiece, substring_dedup, toxicity
+from lakesearch.llm import exact_dedup, mixing, ngram_join, sentencepiece, substring_dedup, toxicity, vector_search
 from lakesearch.llm.catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -93,3 +93,19 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 def op1_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH e AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)])::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM p
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
+@query("op9_exact_top_k", OP9_SQL)
+def op9_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
