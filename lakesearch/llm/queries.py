@@ -1,9 +1,12 @@
 """One query per operator, each over its whole table with production parameters."""
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakesearch.llm import exact_dedup, mixing, ngram_join, sentencepiece, substring_dedup, toxicity, vector_search
+from lakesearch.llm import exact_dedup, mixing, ngram_join, sentencepiece, substring_dedup, toxicity, url_filter, vector_search, warc
+from lakesearch.llm.rows import shared_dir
 from lakesearch.llm.catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -109,3 +112,73 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 def op9_exact_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to FROM h
+"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3_warc(spark, sf_dir):
+    records = warc.with_roles(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    archives = warc.write_archives(records, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    found = warc.read_archives(archives, payloads=False).where("record_type in ('response', 'revisit')")
+    return found.select(warc.page_id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id_of(F.col("refers_to")).alias("refers_to"))
+
+
+def page_captures(pages):
+    """Pages with a fetch time that follows from the page id, within 2024."""
+    minute = F.pmod(F.col("page_id") * 7919, F.lit(525_600))
+    return pages.select("page_id", "url", F.timestamp_add("MINUTE", minute, F.lit("2024-01-01").cast("timestamp")).alias("fetched_at"))
+
+
+def page_list_changes(pages):
+    """A dated list over the pages' own domains, hosts and first path folders: three changes for some of them, by MD5."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    labels = F.split(host, r"\.")
+    named = pages.select(host.alias("host"), path.alias("path"), labels.alias("labels")).where("host <> ''")
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    keys = named.select(F.explode(F.array(
+        key("domain", F.when(F.size("labels") >= 2, F.array_join(F.slice("labels", -2, 2), "."))),
+        key("host", F.col("host")),
+        key("prefix", F.concat("host", F.regexp_extract("path", "^(/[^/]*/)", 1))),
+    )).alias("x")).select("x.*").where("key is not null and (kind <> 'prefix' or key like '%/')").distinct()
+    listed = keys.where(F.substring(F.md5(F.concat_ws("|", "kind", "key")), 1, 1) < "6")
+    x = F.conv(F.substring(F.md5(F.concat_ws("|", "kind", "key", "k")), 1, 7), 16, 10).cast("long")
+    dated = listed.withColumn("k", F.explode(F.array(*[F.lit(str(k)) for k in range(3)]))).withColumn("x", x)
+    action = F.element_at(F.array(F.lit("block"), F.lit("allow"), F.lit("remove")), (F.col("x") % 3 + 1).cast("int"))
+    return dated.select("kind", "key", action.alias("action"), F.timestamp_add("DAY", F.floor(F.col("x") / 3) % 365, F.lit("2024-01-01").cast("timestamp")).alias("listed_at"))
+
+
+OP8_SQL = r"""
+WITH u AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes((page_id * 7919) % 525600) AS fetched_at,
+    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+    regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+l AS (SELECT *, string_split(host, '.') AS labels, string_split(path, '/') AS parts FROM u WHERE host <> ''),
+k AS (SELECT DISTINCT * FROM (
+    SELECT 'domain' AS kind, array_to_string(labels[-2:], '.') AS key FROM l WHERE len(labels) >= 2
+    UNION ALL SELECT 'host', host FROM l
+    UNION ALL SELECT 'prefix', host || regexp_extract(path, '^(/[^/]*/)', 1) FROM l) WHERE kind <> 'prefix' OR key LIKE '%/'),
+c AS (SELECT kind, key, ('0x' || substr(md5(kind || '|' || key || '|' || n), 1, 7))::BIGINT AS x
+      FROM k, (VALUES ('0'), ('1'), ('2')) AS t(n) WHERE substr(md5(kind || '|' || key), 1, 1) < '6'),
+d AS (SELECT DISTINCT kind, key, ['block', 'allow', 'remove'][1 + x % 3] AS action, TIMESTAMP '2024-01-01' + to_days(((x // 3) % 365)::INTEGER) AS valid_from FROM c),
+i AS (SELECT *, lead(valid_from) OVER (PARTITION BY kind, key ORDER BY valid_from, action) AS valid_to FROM d),
+s AS (SELECT page_id, url, fetched_at, 'domain' AS kind, array_to_string(labels[i:], '.') AS key FROM (SELECT *, unnest(range(1, len(labels))) AS i FROM l)
+    UNION ALL SELECT page_id, url, fetched_at, 'host', host FROM l
+    UNION ALL SELECT page_id, url, fetched_at, 'prefix', host || array_to_string(parts[1:i], '/') || '/' FROM (SELECT *, unnest(range(1, greatest(len(parts), 2))) AS i FROM l)),
+a AS (SELECT s.page_id, s.kind, s.key, i.action, i.valid_from, i.valid_to, row_number() OVER (PARTITION BY s.page_id
+        ORDER BY CASE s.kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC, length(s.key) DESC) AS r
+      FROM s JOIN i ON s.kind = i.kind AND s.key = i.key AND i.action <> 'remove' AND i.valid_from <= s.fetched_at AND (i.valid_to IS NULL OR s.fetched_at < i.valid_to))
+SELECT u.page_id, u.url, u.fetched_at, coalesce(a.action, 'none') AS decision, a.kind AS matched_kind, a.key AS matched_key, a.valid_from, a.valid_to
+FROM u LEFT JOIN a ON u.page_id = a.page_id AND a.r = 1
+"""
+
+
+@query("op8_url_filter", OP8_SQL)
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.decide(page_captures(pages), page_list_changes(pages))
