@@ -24,7 +24,7 @@ from lakesearch.llm.words import LOWER, blocks, grams, mixed, run_hashes, words_
 #: Buckets of the token frequency histogram (2 to this power); it only orders tokens.
 HISTOGRAM_BITS = 18
 #: A group holds so many sets at most, and so many tokens unless a single set has more.
-GROUP_SETS, GROUP_TOKENS = 128, 2_000_000
+GROUP_SETS, GROUP_TOKENS = 128, 500_000
 #: Query sets that meet one copy of a group.
 QUERIES_PER_COPY = 1000
 #: Tokens whose columns are multiplied at once, and sets a task remembers to have sent.
@@ -61,9 +61,20 @@ def needed(size, num: int, den: int):
     return -(-num * size // den)
 
 
+def promised(size, num: int, den: int):
+    """Tokens that the prefixes of a set of ``size`` and of one it links to have in common at least."""
+    return 1 + (size - needed(size, num, den)) // 2
+
+
+def asked_for(size, num: int, den: int):
+    """The same, whatever the other set's size: the smallest set it can link to promises least."""
+    return promised(needed(size, num, den), num, den)
+
+
 def prefix(tokens: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The rarest tokens of a set, one more than it can lack in common with a set it links to."""
-    most = len(tokens) - needed(len(tokens), num, den) + 1
+    """The rarest tokens of a set: as many as it can lack in a set it links to, and those promised in common."""
+    size = len(tokens)
+    most = size - needed(size, num, den) + promised(size, num, den)
     counts = frequency[tokens >> np.uint64(64 - HISTOGRAM_BITS)]
     return tokens[np.argsort(counts, kind="stable")[:most]]
 
@@ -71,9 +82,12 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of the membership matrices of their common tokens."""
     out = np.zeros((len(sets), len(others)), np.int64)
-    left, right = np.concatenate(sets), np.concatenate(others)
-    common = np.intersect1d(left, right)
-    columns = [(flat := np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (sets, others)]
+    if sets is others:
+        values, times = np.unique(np.concatenate(sets), return_counts=True)
+        common = values[times > 1]
+    else:
+        common = np.intersect1d(np.unique(np.concatenate(sets)), np.unique(np.concatenate(others)), assume_unique=True)
+    columns = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (sets, others)]
     placed = []
     for flat, row in columns:
         k = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
@@ -88,6 +102,8 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
             m[row[at], k[at] - start] = 1
             parts.append(m)
         out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    if sets is others:
+        np.fill_diagonal(out, [len(s) for s in sets])
     return out
 
 
@@ -142,7 +158,7 @@ def token_frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _shared_sets(docs: DataFrame, n: int, num: int, den: int, frequency) -> DataFrame:
-    """Ids of sets that share a prefix token with a different set (and a few more from the ends of partitions)."""
+    """(sid, n): how many prefix tokens a set shares with different sets (or a few more, at the ends of partitions)."""
 
     def send(batches):
         sent: dict[bytes, None] = {}
@@ -168,6 +184,9 @@ def _shared_sets(docs: DataFrame, n: int, num: int, den: int, frequency) -> Data
             if not batch.num_rows:
                 continue
             token, sid = batch.column("token").to_numpy(), batch.column("sid").to_numpy()
+            once = np.ones(len(token), bool)
+            once[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+            token, sid = token[once], sid[once]
             edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             differ = np.minimum.reduceat(sid, edge) != np.maximum.reduceat(sid, edge)
             goes_on = token0 is not None and token[0] == token0
@@ -182,13 +201,14 @@ def _shared_sets(docs: DataFrame, n: int, num: int, den: int, frequency) -> Data
             if len(edge) > 1 or not goes_on:
                 sid0 = sid[edge[-1]]
             token0, shared, opening = token[-1], bool(differ[-1]), opening and len(edge) == 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(out))], names=["sid"])
+            found, n = np.unique(out, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["sid", "n"])
         if token0 is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([sid0], np.int64))], names=["sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([sid0], np.int64)), pa.array([1])], names=["sid", "n"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = docs.select("text").mapInArrow(send, "token long, sid long")
-    return pairs.repartitionByRange(parts, "token", "sid").sortWithinPartitions("token", "sid").mapInArrow(meet, "sid long").distinct()
+    return pairs.repartitionByRange(parts, "token", "sid").sortWithinPartitions("token", "sid").mapInArrow(meet, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("n"))
 
 
 GROUP = "gid long, nodes array<binary>, homes array<binary>, sizes array<int>, tokens binary"
@@ -215,7 +235,7 @@ def _set_rows(n: int):
     return run
 
 
-def _cut_groups(num: int, den: int):
+def _cut_groups(num: int, den: int, group_sets: int):
     """Cuts sorted sets into groups and links the members of each; a member's home is the first node it's linked with."""
 
     def close(number, nodes, sets):
@@ -235,7 +255,7 @@ def _cut_groups(num: int, den: int):
         number, held, nodes, sets = 0, 0, [], []
         for batch in batches:
             for node, raw in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
-                if nodes and (len(nodes) >= GROUP_SETS or held + len(raw) // 8 > GROUP_TOKENS):
+                if nodes and (len(nodes) >= group_sets or held + len(raw) // 8 > GROUP_TOKENS):
                     yield close(number, nodes, sets)
                     number, held, nodes, sets = number + 1, 0, [], []
                 nodes.append(node)
@@ -332,7 +352,19 @@ def _links(groups: DataFrame, asked: DataFrame, num: int, den: int) -> DataFrame
     return rows.repartition("target", "copy").sortWithinPartitions("target", "copy", "kind").mapInArrow(_open_groups(num, den), "a binary, b binary").distinct()
 
 
-def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def _asked_for(size, num: int, den: int):
+    """``asked_for`` as a column."""
+    least = F.ceil(size * num / F.lit(float(den)) - 1e-9)
+    return 1 + F.floor((least - F.ceil(least * num / F.lit(float(den)) - 1e-9)) / 2)
+
+
+def _enough(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Sets and groups that meet in as many tokens as the set's prefix must share: (gid, member, target)."""
+    counted = met.groupBy("gid", "member", "target").agg(F.count(F.lit(1)).alias("met"), F.first("size").alias("size"))
+    return counted.where(F.col("met") >= _asked_for(F.col("size"), num, den)).select("gid", "member", "target")
+
+
+def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text: str = "text", group_sets: int = GROUP_SETS) -> DataFrame:
     """doc_id, node, n_shingles, component_id, first (the node of the component's least document) for every row of ``docs``.
 
     Sets are the distinct runs of ``n`` words (ASCII white space, A-Z lower-cased) of whole texts; a shorter text is one run.
@@ -345,21 +377,21 @@ def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     keyed = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), row_key(f"`{id_column}`", f"`{text}`").alias("node"), F.col(f"`{text}`").alias("text"))
     signed = materialise(keyed.mapInArrow(_signatures(n), "doc_id long, node binary, size long, digest binary, sid long"), "ngram-sets")
     frequency = spark.sparkContext.broadcast(token_frequencies(keyed, n))
-    classes = signed.where("size > 0").groupBy("digest").agg(F.min("node").alias("rep"), F.first("sid").alias("sid"))
+    classes = signed.where("size > 0").groupBy("digest").agg(F.min("node").alias("rep"), F.first("sid").alias("sid"), F.first("size").alias("size"))
     shared = _shared_sets(keyed, n, num, den, frequency)
-    chosen = materialise(classes.join(shared, "sid", "left_semi").select(F.col("rep").alias("node")), "ngram-candidates")
+    chosen = materialise(classes.join(shared, "sid").where(F.col("n") >= _asked_for(F.col("size"), num, den)).select(F.col("rep").alias("node")), "ngram-candidates")
 
     texts = narrowed(keyed.select("node", "text"), chosen, ["node"], "left_semi")
     sets = texts.mapInArrow(_set_rows(n), "node binary, size int, tokens binary, m0 long, m1 long, m2 long")
     order = ["m0", "m1", "m2", "size", "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = sets.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_first_of_equal, sets.schema)
-    groups = materialise(once.mapInArrow(_cut_groups(num, den), GROUP), "ngram-groups")
+    groups = materialise(once.mapInArrow(_cut_groups(num, den, group_sets), GROUP), "ngram-groups")
     members = materialise(groups.mapInArrow(_members(num, den, frequency), "token long, gid long, member int, home binary, size int"), "ngram-members")
 
-    # a token matters if different groups and different homes hold it; its first group is asked by all the others
+    # a token matters if different groups and different homes hold it; sets that share enough tokens ask the tokens' first group
     open_tokens = members.groupBy("token").agg(F.min("gid").alias("target"), F.max("gid").alias("last"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("target < last and h0 < h1")
-    star = members.join(open_tokens, "token").where("gid <> target").select("gid", "member", "target").distinct()
+    star = _enough(members.join(open_tokens, "token").where("gid <> target"), num, den)
     first_links = materialise(_links(groups, star, num, den), "ngram-links")
     roots = components(first_links)
 
@@ -369,9 +401,9 @@ def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     placed = materialise(at_home.join(sized, "root").select("token", "gid", "member", "size", F.struct("held", "root").alias("rank")), "ngram-placed")
     apart = placed.groupBy("token").agg(F.min("gid").alias("g0"), F.max("gid").alias("g1"), F.min("rank").alias("r0"), F.max("rank").alias("r1")).where("g0 < g1 and r0 < r1").select("token")
     left = placed.join(apart, "token", "left_semi")
-    held = left.groupBy("token", "gid", "rank").agg(F.min("size").alias("s0"), F.max("size").alias("s1")).select("token", F.col("gid").alias("target"), F.col("rank").alias("above"), "s0", "s1")
+    held = left.groupBy("token", "gid").agg(F.max("rank").alias("above"), F.min("size").alias("s0"), F.max("size").alias("s1")).withColumnRenamed("gid", "target")
     fits = (F.col("rank") < F.col("above")) & (F.col("gid") != F.col("target")) & (F.col("s1") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("s0") * num)
-    rest = left.join(held, (left["token"] == held["token"]) & fits).select("gid", "member", "target").distinct().join(star, ["gid", "member", "target"], "left_anti")
+    rest = _enough(left.join(held, "token").where(fits), num, den).join(star, ["gid", "member", "target"], "left_anti")
     more_links = materialise(_links(groups, rest, num, den), "ngram-links")
 
     roots = components(first_links.union(more_links))
