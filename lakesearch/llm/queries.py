@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakesearch.llm import exact_dedup, mixing, ngram_join, sentencepiece, substring_dedup, toxicity, url_filter, vector_search, warc
+from lakesearch.llm import exact_dedup, html_text, mixing, ngram_join, sentencepiece, substring_dedup, toxicity, url_filter, vector_search, warc
 from lakesearch.llm.rows import shared_dir
 from lakesearch.llm.catalog import QUERIES, SQL, query, table
 
@@ -182,3 +182,9 @@ FROM u LEFT JOIN a ON u.page_id = a.page_id AND a.r = 1
 def op8_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.decide(page_captures(pages), page_list_changes(pages))
+
+
+@query("op5_html_text")
+def op5_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
