@@ -21,6 +21,7 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     # many small stores: don't let each reserve megabytes for its logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesearch.llm.mixing import id_hash
+from lakesearch.llm.rows import small_batches
 
 #: Bounds of the training sample: so many pages (those with the smallest id hash), none longer than so many characters.
 TRAIN_PAGES, TRAIN_CHARACTERS = 1500, 200_000
@@ -310,6 +311,7 @@ def fit(pages: DataFrame, id_column: str = "page_id", html: str = "html", most:
 def extract(pages: DataFrame, weights: np.ndarray, html: str = "html") -> DataFrame:
     """``pages`` with ``text``. Whole pages are read; a null page counts as empty and gives an empty text; markup that isn't
     closed ends with its parent or the page. Rows are handled one by one; an input column named text is replaced."""
+    small_batches(pages.sparkSession)
     rows = pages.select([F.col(f"`{c}`") for c in pages.columns if c.lower() != "text"])
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.llm.components import components
 from lakesearch.llm.exact_dedup import narrowed
-from lakesearch.llm.rows import LAST_ID, materialise, row_key
+from lakesearch.llm.rows import LAST_ID, materialise, row_key, small_batches
 from lakesearch.llm.words import LOWER, blocks, grams, mixed, run_hashes, words_of
 
 #: Buckets of the token frequency histogram (2 to this power); it only orders tokens.
@@ -373,6 +373,7 @@ def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     is null if it is the least reachable). Rows alike in id and text are one document. An empty table gives no rows; other
     columns aren't looked at. Tokens are 64-bit hashes; sets are told apart by 128 bits.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     keyed = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), row_key(f"`{id_column}`", f"`{text}`").alias("node"), F.col(f"`{text}`").alias("text"))
     signed = materialise(keyed.mapInArrow(_signatures(n), "doc_id long, node binary, size long, digest binary, sid long"), "ngram-sets")

@@ -1,11 +1,11 @@
 """What the operators of this folder share: row keys, reserved columns, written intermediate tables."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.session import materialise, shared_dir
 
-__all__ = ["materialise", "shared_dir", "LAST_ID", "id_order", "row_key", "own_columns"]
+__all__ = ["materialise", "shared_dir", "LAST_ID", "id_order", "row_key", "own_columns", "small_batches"]
 
 #: A null id counts as larger than every number.
 LAST_ID = (1 << 63) - 1
@@ -23,6 +23,14 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.coalesce(key, F.lit(bytearray(16)))  # never null, so that joins of all kinds share one exchange
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches that stay small with long texts: the default of 10,000 rows holds gigabytes of them. A session's own
+    settings win."""
+    for name, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(8 << 20))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
 def own_columns(df: DataFrame, reserved: tuple[str, ...]) -> DataFrame:
     """``df`` without columns whose names an operator makes itself (they'd clash with its results), ignoring case."""
     taken = {name.lower() for name in reserved}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakesearch.llm.rows import small_batches
 from lakesearch.llm.words import blocks, buffers
 
 MARK = "▁"
@@ -119,6 +120,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", bos: boo
     ids are returned. ``model_path`` must be readable on every executor. Rows are handled one by one, so repeated rows give
     repeated results and an empty table an empty one. Input columns named like a result are replaced.
     """
+    small_batches(docs.sparkSession)
     added = {"token_ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string"}
     keep = [c for c in docs.columns if c.lower() not in added]
     asked = docs.select(*[F.col(f"`{c}`") for c in keep if c != text], F.col(f"`{text}`").alias(text))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakesearch.llm.rows import LAST_ID, materialise, own_columns, row_key
+from lakesearch.llm.rows import LAST_ID, materialise, own_columns, row_key, small_batches
 from lakesearch.llm.words import Words, blocks, grams, run_hashes, sliding_min, words_of
 
 WINDOW, MINIMISER = 50, 12
@@ -247,6 +247,7 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, bucket
     Words are runs of bytes other than ASCII white space; kept words are joined by one space. A null text has no words; a null
     id is larger than every number; rows with the same id don't cut each other. Input columns named like a result are dropped.
     """
+    small_batches(docs.sparkSession)
     made = ("doc_id", "text", "node", "cuts", "kept_text", "n_words", "n_removed", "removed")
     extra = [c for c in own_columns(docs.drop(id_column, text), made).columns]
     keyed = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), row_key(f"`{id_column}`", f"`{text}`").alias("node"), *[F.col(f"`{c}`") for c in extra])

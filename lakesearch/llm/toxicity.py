@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakesearch.llm.mixing import id_hash
+from lakesearch.llm.rows import small_batches
 from lakesearch.llm.words import LOWER, blocks, buffers, find_words, hash_words
 
 FEATURE_BITS = 18
@@ -63,7 +64,7 @@ def sentences_of(texts: pa.Array) -> Sentences:
     _, once = np.unique((whole >> np.uint64(28)) ^ (sentence.astype(np.uint64) << np.uint64(36)), return_index=True)
     once.sort()
     stems = [hash_words(low, starts[once], np.minimum(starts[once] + n, ends[once])) * np.uint64(2 * n + 1) for n in STEMS]
-    features = np.stack([(c >> np.uint64(20) & mask).astype(np.int32) for c in (whole[once], *stems)], 1)
+    features = np.stack([(c >> np.uint64(20) & mask).astype(np.int32) for c in (whole[once], *stems)])
     return Sentences(features, sentence[once], text[opening], starts[opening], ends[closing], data, offsets)
 
 
@@ -73,7 +74,7 @@ class Model:
     bias: float
 
     def sentence_logits(self, s: Sentences) -> np.ndarray:
-        return self.bias + np.bincount(s.sentence, self.weights[s.features].sum(1), len(s.text)) if len(s.text) else np.zeros(0)
+        return self.bias + sum(np.bincount(s.sentence, self.weights[f], len(s.text)) for f in s.features) if len(s.text) else np.zeros(0)
 
     def scores(self, s: Sentences, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Noisy-or of each text, and the probability of each sentence. A text without words has no sentence and so scores 0."""
@@ -86,21 +87,28 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS, rate: float
     weights, bias = np.zeros(1 << FEATURE_BITS), BIAS
     if len(texts) == 0 or toxic.min() == toxic.max():
         return Model(weights.astype(np.float32), BIAS if not len(texts) or not toxic.max() else -BIAS)
-    s, n = sentences_of(texts), len(texts)
+    features, sentence, text, n, held = [], [], [], 0, 0
+    for part in blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
+        s = sentences_of(part.column("text"))
+        features.append(s.features), sentence.append((s.sentence + held).astype(np.int32)), text.append((s.text + n).astype(np.int32))
+        n, held = n + part.num_rows, held + len(s.text)
+    features, sentence, text = np.concatenate(features, 1), np.concatenate(sentence), np.concatenate(text)
     # features of too few documents can only be learned by heart; they stay 0
-    seen = np.unique(s.text[s.sentence][:, None] * np.int64(1 << FEATURE_BITS) + s.features) & ((1 << FEATURE_BITS) - 1)
-    used = np.flatnonzero(np.bincount(seen, minlength=1 << FEATURE_BITS) >= LEAST_DOCUMENTS)
-    place = np.full(1 << FEATURE_BITS, len(used))
+    documents = np.zeros(1 << FEATURE_BITS, np.int64)
+    for f in features:
+        documents += np.bincount(np.unique(text[sentence] * np.int64(1 << FEATURE_BITS) + f) & ((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS)
+    used = np.flatnonzero(documents >= LEAST_DOCUMENTS)
+    place = np.full(1 << FEATURE_BITS, len(used), np.int32)
     place[used] = np.arange(len(used))
-    feature, w = place[s.features].astype(np.int32), np.zeros(len(used) + 1)
+    features, w = place[features], np.zeros(len(used) + 1)
     state = [np.zeros(len(used) + 2), np.zeros(len(used) + 2)]
     positive = toxic == 1
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(s.sentence, w[feature].sum(1), len(s.text))
-        mass = np.bincount(s.text, np.logaddexp(0, z), n)
+        z = bias + sum(np.bincount(sentence, w[f], held) for f in features)
+        mass = np.bincount(text, np.logaddexp(0, z), n)
         blame = np.where(positive, -1 / np.expm1(np.clip(mass, 1e-6, 700)), 1.0)
-        g = blame[s.text] * _sigmoid(z)
-        gradient = np.append(sum(np.bincount(feature[:, k], g[s.sentence], len(w)) for k in range(feature.shape[1])) + penalty * (1 + w), g.sum())
+        g = blame[text] * _sigmoid(z)
+        gradient = np.append(sum(np.bincount(f, g[sentence], len(w)) for f in features) + penalty * (1 + w), g.sum())
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.99 * state[1] + 0.01 * gradient**2
         step = rate * (1 - t / (rounds + 1)) * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1.0)
@@ -133,14 +141,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 OFFENDING = "array<struct<begin:int,end:int,score:double,sentence:string>>"
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5, names: tuple[str, str] = ("toxicity", "offending")) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) and ``offending``: sentences at ``threshold`` or more, by UTF-8 byte span.
 
     Whole texts are scored; null and empty texts, and texts without words, score 0. Only the text is an input. Input
-    columns named like a result are replaced; repeated rows score alike; an empty table gives no rows.
+    columns named like a result (``names``) are replaced; repeated rows score alike; an empty table gives no rows.
     """
-    asked = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("toxicity", "offending")])
+    small_batches(docs.sparkSession)
+    asked = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("sentence", pa.string())]))
 
     def run(batches):
         m = shared.value
@@ -153,14 +163,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                     t = int(s.text[k])
                     b, e = int(s.begin[k]), int(s.end[k])
                     found[t].append({"begin": b - int(s.offsets[t]), "end": e - int(s.offsets[t]), "score": float(each[k]), "sentence": s.data[b:e].tobytes().decode()})
-                kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("sentence", pa.string())]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total), pa.array(found, kind)], names=[*part.schema.names, "toxicity", "offending"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total), pa.array(found, kind)], names=[*part.schema.names, *names])
 
-    fields = StructType(list(asked.schema.fields) + list(StructType.fromDDL(f"toxicity double, offending {OFFENDING}").fields))
+    fields = StructType(list(asked.schema.fields) + list(StructType.fromDDL(f"{names[0]} double, {names[1]} {OFFENDING}").fields))
     return asked.mapInArrow(run, fields)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that a model fitted on ``labels`` scores under ``threshold``, with their columns."""
-    scored = score(docs.select("*", F.col(f"`{text}`").alias("__scored")), fit(docs, labels, id_column, text), "__scored")
-    return scored.where(F.col("toxicity") < threshold).select([F.col(f"`{c}`") for c in docs.columns])
+    scored = score(docs, fit(docs, labels, id_column, text), text, names=("__toxicity", "__offending"))
+    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity", "__offending")

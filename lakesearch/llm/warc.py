@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesearch.llm.exact_dedup import BROADCAST_ROWS
-from lakesearch.llm.rows import materialise
+from lakesearch.llm.rows import materialise, small_batches
 from lakesearch.session import broadcast_within
 
 #: Payloads under so many bytes are always written in full. Bytes after which a new archive is begun; bytes read at once;
@@ -41,6 +41,7 @@ def with_roles(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
     Of equal payloads of ``smallest`` bytes or more, rows with the smallest id are responses and the others revisit it. A null
     id is never referred to: such rows are revisits if a row with an id has the payload, else responses.
     """
+    small_batches(pages.sparkSession)
     payload = payload_of(F.col(f"`{html}`"))
     rows = pages.select(F.col(f"`{id_column}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"))
     groups = rows.where(F.length("payload") >= smallest).groupBy("digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n"))

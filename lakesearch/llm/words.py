@@ -8,6 +8,9 @@ import pyarrow as pa
 #: Bytes of text whose words are hashed in one go; it bounds the scratch arrays, not the text.
 SEGMENT = 1 << 20
 
+# memory of a batch goes back to the system when the batch is done
+pa.set_memory_pool(pa.system_memory_pool())
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
