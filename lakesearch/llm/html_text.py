@@ -180,6 +180,14 @@ def features(blocks: list[Block]) -> np.ndarray:
 PRIOR_WEIGHT = 30.0
 
 
+#: Prior examples without any sign but their text: how often, (1, share of links, length, punctuation, p, heading, item, bare
+#: line), and how likely they are content.
+BARE = (
+    (8, (1, 0.0, 1.0, 0.6, 1, 0, 0, 0), 1.0), (4, (1, 0.0, 1.0, 0.6, 0, 0, 0, 0), 0.95), (2, (1, 0.0, 0.6, 0.5, 1, 0, 0, 0), 0.9), (2, (1, 0.0, 0.4, 0.0, 0, 1, 0, 1), 0.7),
+    (2, (1, 0.0, 0.7, 0.5, 0, 0, 1, 0), 0.8), (4, (1, 1.0, 0.5, 0.0, 0, 0, 1, 1), 0.0), (4, (1, 1.0, 0.4, 0.0, 0, 0, 0, 1), 0.0), (2, (1, 0.0, 0.4, 0.0, 0, 0, 0, 1), 0.3),
+)
+
+
 def _priors() -> tuple[np.ndarray, np.ndarray]:
     rows, labels = [], []
     for text in ((1, 0.0, 0.8, 0.6, 1, 0, 0, 0), (1, 0.5, 0.5, 0.1, 0, 0, 0, 1), (1, 0.0, 0.7, 0.5, 0, 0, 1, 0), (1, 0.0, 0.5, 0.0, 0, 1, 0, 1)):
@@ -190,9 +198,9 @@ def _priors() -> tuple[np.ndarray, np.ndarray]:
                 kinds[0] = max(kinds[0], inside)
                 rows.append(np.concatenate((kinds, text)))
                 labels.append(float(k == 0))
-    for text, label in (((1, 0.0, 1.1, 0.6, 1, 0, 0, 0), 1), ((1, 1.0, 0.5, 0.0, 0, 0, 1, 1), 0), ((1, 1.0, 0.4, 0.0, 0, 0, 0, 1), 0)):
-        rows.append(np.concatenate((np.zeros(len(KINDS)), text)))
-        labels.append(float(label))
+    for times, text, label in BARE:
+        rows += [np.concatenate((np.zeros(len(KINDS)), text))] * times
+        labels += [label] * times
     return np.array(rows), np.array(labels)
 
 
@@ -304,8 +312,10 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
 
 def fit(pages: DataFrame, id_column: str = "page_id", html: str = "html", most: int = TRAIN_PAGES, characters: int = TRAIN_CHARACTERS) -> np.ndarray:
     """Weights from a bounded sample of pages; without any, from the prior examples."""
-    chosen = pages.where(F.length(f"`{html}`") <= characters).orderBy(id_hash(F.col(f"`{id_column}`")), F.col(f"`{html}`")).limit(most).select(F.col(f"`{html}`").alias("html"))
-    return train([r.html for r in chosen.collect()])
+    known = pages.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{html}`").alias("__html")).where(F.col("__id").isNotNull() & (F.length("__html") <= characters))
+    chosen = known.select("__id").distinct().orderBy(id_hash(F.col("__id")), "__id").limit(most)  # ids first: only their pages are sent to the driver
+    sample = known.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("__html").alias("html"))
+    return train([r.html for r in sorted(sample.collect(), key=lambda r: str(r["__id"]))])
 
 
 def extract(pages: DataFrame, weights: np.ndarray, html: str = "html") -> DataFrame:
