@@ -77,9 +77,14 @@ class Model:
         return self.bias + sum(np.bincount(s.sentence, self.weights[f], len(s.text)) for f in s.features) if len(s.text) else np.zeros(0)
 
     def scores(self, s: Sentences, texts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Noisy-or of each text, and the probability of each sentence. A text without words has no sentence and so scores 0."""
+        """Noisy-or of each text, and the probability of each sentence.
+
+        A sentence counts by what its words add to the bias, so sentences without any sign leave the score at 0, however many
+        they are; a text without words has no sentence and scores 0.
+        """
         z = self.sentence_logits(s)
-        return -np.expm1(-np.bincount(s.text, np.logaddexp(0, z), texts)), _sigmoid(z)
+        mass = np.bincount(s.text, np.maximum(np.logaddexp(0, z) - np.logaddexp(0, self.bias), 0), texts)
+        return -np.expm1(-mass), _sigmoid(z)
 
 
 def train(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY) -> Model:
