@@ -46,8 +46,27 @@ def normalize_url(url: Column) -> Column:
     return F.concat(scheme, authority, path, F.regexp_replace(query, "^(.+)$", r"?$1"))
 
 
+def fold_dots(url: Column) -> Column:
+    """``url`` without ``.`` and ``..`` segments in its path; those above the top are dropped."""
+    def step(done: Column, part: Column) -> Column:
+        shorter = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", shorter).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    path = url_part(url, 3)
+    parts = F.split(path, "/")
+    folded = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    front = F.concat(F.regexp_replace(url_part(url, 1), "^(.+)$", "$1:"), F.regexp_replace(url_part(url, 2), "^(.+)$", "//$1"))
+    return F.when(F.startswith(path, F.lit("/")) & path.rlike(r"/\.\.?(/|$)"), F.concat(front, F.array_join(ended, "/"), rest)).otherwise(url)
+
+
 def resolve_href(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on ``base`` (no dot-segment folding)."""
+    """Absolute form of a link found on ``base``."""
+    return fold_dots(_joined(base, href))
+
+
+def _joined(base: Column, href: Column) -> Column:
     origin = F.concat(url_part(base, 1), F.lit("://"), url_part(base, 2))
     folder = F.regexp_extract(url_part(base, 3), r"^(.*/)", 1)
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)

@@ -22,24 +22,24 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.pieces = None, {"main": [], "article": [], "body": [], "all": []}
-        self._open, self._seen, self._silent, self._in_title = [], set(), 0, False
+        self._depth, self._silent, self._in_title = {}, 0, False
 
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
             self._silent += 1
         if tag == "title" and self.title is None:
             self._in_title, self.title = True, ""
-        if tag in ("main", "article", "body") and tag not in self._seen:
-            self._seen.add(tag)
-            self._open.append(tag)
+        # the first region of a kind counts, with the regions of its kind inside it; -1 once it is closed
+        if tag in ("main", "article", "body") and (depth := self._depth.get(tag, 0)) >= 0:
+            self._depth[tag] = depth + 1
 
     def handle_endtag(self, tag):
         if tag in _SILENT and self._silent:
             self._silent -= 1
         if tag == "title":
             self._in_title = False
-        if tag in self._open:
-            self._open.remove(tag)
+        if (depth := self._depth.get(tag, 0)) > 0:
+            self._depth[tag] = depth - 1 or -1
 
     def handle_data(self, data):
         if self._in_title:
@@ -48,12 +48,13 @@ class _Reader(HTMLParser):
             return
         text = data.strip()
         self.pieces["all"].append(text)
-        for region in self._open:
-            self.pieces[region].append(text)
+        for region, depth in self._depth.items():
+            if depth > 0:
+                self.pieces[region].append(text)
 
     def text(self) -> str:
         for region in ("main", "article", "body"):
-            if region in self._seen:
+            if region in self._depth:
                 return "\n".join(self.pieces[region])
         return "\n".join(self.pieces["all"])
 

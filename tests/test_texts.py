@@ -1,6 +1,7 @@
 """Chunking, OCR, cleaning, URLs, answers and identifiers with known values."""
 
 import hashlib
+import json
 import uuid
 
 import pytest
@@ -113,7 +114,7 @@ def test_hash_vectors(spark):
 
 def packed(spark, rows, budget):
     schema = "query_id int, rank int, chunk_id string, document_id string, source_uri string, original_filename string, chunk_index int, page_no int, text string"
-    return evidence.pack_context(spark.createDataFrame([(1, i + 1, c, "d", "u", None, 0, None, t) for i, (c, t) in enumerate(rows)], schema), budget, len).orderBy("citation_id").collect()
+    return evidence.pack_context(spark.createDataFrame([(1, i + 1, c, "d", "u", None, 0, None, t) for i, (c, t) in enumerate(rows)], schema), budget, 1).orderBy("citation_id").collect()
 
 
 def test_context_packing(spark):
@@ -123,6 +124,46 @@ def test_context_packing(spark):
     assert len(rows) == 1 and rows[0].truncated and 0 < len(rows[0].text) < 260
 
 
+@pytest.mark.parametrize("budget", [150, 165, 170, 200, 230, 300, 340, 500])
+def test_packed_context_is_the_longest_that_fits(spark, budget):
+    texts = [("a", 'é"\\ \n\x01 😀 ' * 4 + "end"), ("b" * 60, "long name"), ("c", "x y" * 40), ("d", "last")]
+    size = lambda parts: len(json.dumps(parts, ensure_ascii=False, separators=(",", ":")))
+    item = lambda c, i, n, t, cut: {"citation_id": n, "source": {"chunk_id": c, "document_id": "d", "source_uri": "u", "original_filename": None, "chunk_index": i, "page_no": None}, "content": t, "truncated": cut}
+    want, parts = [], []
+    for c, t in texts:
+        options = [(item(c, 0, len(parts) + 1, t[:k].rstrip(), k < len(t)), k) for k in range(len(t), 0, -1) if t[:k].rstrip()]
+        fitting = next((o for o in options if size([*parts, o[0]]) <= budget), None)
+        if fitting:
+            parts.append(fitting[0])
+            want.append((c, fitting[0]["content"], fitting[0]["truncated"]))
+            if fitting[0]["truncated"]:
+                break
+    assert [(r.chunk_id, r.text, r.truncated) for r in packed(spark, texts, budget)] == want
+
+
+def test_nested_json(spark):
+    value = ' {"b": " x ", "a": [1, true, null, "", "{\\"k\\": 1}", {"z": null, "y": [["deep"], 2.5]}], "n": null, "e": {}} '
+    assert one(spark, value, feeds.nested_text) == "- b: x\n- a: 1\nTrue\n{\"k\": 1}\n- y: deep\n2.5\n- e: "
+    assert one(spark, " plain [x ", feeds.nested_text) == "plain [x" and one(spark, "{oops", feeds.nested_text) == "{oops" and one(spark, None, feeds.nested_text) == ""
+
+
+def test_bad_feeds_cost_only_themselves(spark):
+    xml = '<feed><entry><title>T</title><link rel="self" href="no"/><link href="../b/./c"/><summary type="html">&lt;i&gt;s&lt;/i&gt;</summary></entry></feed>'
+    rows = spark.createDataFrame([("https://f.org/x/y", xml), ("https://bad.org", "<feed><entry>"), ("https://none.org", "<rss/>"), ("https://null.org", None)], "feed_url string, value string")
+    assert [(r.url, r.markdown.endswith("\n\ns")) for r in feeds.feed_pages(rows).collect()] == [("https://f.org/b/c", True)]
+    assert {r.feed_url: r.problem.split(":")[0] for r in feeds.feed_problems(rows).collect()} == {"https://bad.org": "malformed", "https://none.org": "no_entries", "https://null.org": "malformed"}
+
+
+@pytest.mark.parametrize("href, want", [("../x", "https://a.org/x"), ("./y/../z?q=../k", "https://a.org/b/z?q=../k"), ("/../..", "https://a.org/"), ("w/..", "https://a.org/b/"), ("//c.org/d/../e", "https://c.org/e"), ("f..g", "https://a.org/b/f..g")])
+def test_dot_segments(spark, href, want):
+    assert one(spark, href, lambda h: urls.resolve_href(F.lit("https://a.org/b/c"), h)) == want
+
+
+def test_nested_regions(spark):
+    pages = [(1, "https://a.org", "<article>a<article>b</article>KEPT</article>after<article>c</article>")]
+    assert html.extract_pages(spark.createDataFrame(pages, "page_id int, url string, html string")).first().markdown.endswith("a\nb\nKEPT")
+
+
 def test_citations(spark):
     df = spark.createDataFrame([('```json\n{"status":"answered","answer":"结论。","citation_ids":[2,1]}\n```',)], "c string").select(evidence.parse_answer(F.col("c")).alias("p")).select("p.*")
     known = F.array(F.lit(1), F.lit(2))
