@@ -25,8 +25,10 @@ from lakesearch.llm.words import LOWER, blocks, grams, mixed, run_hashes, words_
 HISTOGRAM_BITS = 18
 #: A group holds so many sets at most, and so many tokens unless a single set has more.
 GROUP_SETS, GROUP_TOKENS = 128, 500_000
-#: Query sets that meet one copy of a group.
-QUERIES_PER_COPY = 1000
+#: Groups that are asked together: those of so many neighbouring partitions and, in each, of so many tokens.
+BUCKET_PARTITIONS, BUCKET_TOKENS = 16, 500_000
+#: Query sets that meet one copy of a bucket, and those looked up at once.
+QUERIES_PER_COPY, QUERIES_AT_ONCE = 1000, 64
 #: Tokens whose columns are multiplied at once, and sets a task remembers to have sent.
 MATRIX_COLUMNS, SENT_SETS = 1 << 15, 200_000
 
@@ -211,7 +213,7 @@ def _shared_sets(docs: DataFrame, n: int, num: int, den: int, frequency) -> Data
     return pairs.repartitionByRange(parts, "token", "sid").sortWithinPartitions("token", "sid").mapInArrow(meet, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("n"))
 
 
-GROUP = "gid long, nodes array<binary>, homes array<binary>, sizes array<int>, tokens binary"
+GROUP = "gid long, bucket long, nodes array<binary>, homes array<binary>, sizes array<int>, tokens binary"
 
 
 def _set_rows(n: int):
@@ -238,31 +240,34 @@ def _set_rows(n: int):
 def _cut_groups(num: int, den: int, group_sets: int):
     """Cuts sorted sets into groups and links the members of each; a member's home is the first node it's linked with."""
 
-    def close(number, nodes, sets):
+    def close(number, gone, nodes, sets):
         sizes = np.array([len(s) for s in sets], np.int64)
         home = least_members(linked(overlaps(sets, sets), sizes, sizes, num, den)) if len(sets) > 1 else np.zeros(1, np.int64)
         order = sorted(range(len(nodes)), key=nodes.__getitem__)
         least = {}
         for k in order:
             least.setdefault(int(home[k]), nodes[k])
-        gid = (TaskContext.get().partitionId() << 32) + number
+        part = TaskContext.get().partitionId()
         return pa.RecordBatch.from_arrays(
-            [pa.array([gid]), pa.array([nodes], pa.list_(pa.binary())), pa.array([[least[int(h)] for h in home]], pa.list_(pa.binary())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([np.concatenate(sets).tobytes()], pa.binary())],
-            names=["gid", "nodes", "homes", "sizes", "tokens"],
+            [pa.array([(part << 32) + number]), pa.array([(part // BUCKET_PARTITIONS << 32) + gone // BUCKET_TOKENS]), pa.array([nodes], pa.list_(pa.binary())), pa.array([[least[int(h)] for h in home]], pa.list_(pa.binary())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([np.concatenate(sets).tobytes()], pa.binary())],
+            names=["gid", "bucket", "nodes", "homes", "sizes", "tokens"],
         )
 
     def run(batches):
-        number, held, nodes, sets = 0, 0, [], []
+        number, gone, held, nodes, sets, last = 0, 0, 0, [], [], None
         for batch in batches:
             for node, raw in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
+                if node == last:  # rows alike in id and text
+                    continue
+                last = node
                 if nodes and (len(nodes) >= group_sets or held + len(raw) // 8 > GROUP_TOKENS):
-                    yield close(number, nodes, sets)
-                    number, held, nodes, sets = number + 1, 0, [], []
+                    yield close(number, gone, nodes, sets)
+                    number, gone, held, nodes, sets = number + 1, gone + held, 0, [], []
                 nodes.append(node)
                 sets.append(np.frombuffer(raw, np.uint64))
                 held += len(raw) // 8
         if nodes:
-            yield close(number, nodes, sets)
+            yield close(number, gone, nodes, sets)
 
     return run
 
@@ -279,8 +284,8 @@ def _members(num: int, den: int, frequency):
                 count = [len(r) for r in rare]
                 member = np.repeat(np.arange(len(parts)), count)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(rare).view(np.int64)), pa.array(np.full(len(member), row["gid"], np.int64)), pa.array(member.astype(np.int32)), pa.array(row["homes"], pa.binary()).take(pa.array(member)), pa.array(np.array(row["sizes"], np.int32)[member])],
-                    names=["token", "gid", "member", "home", "size"],
+                    [pa.array(np.concatenate(rare).view(np.int64)), pa.array(np.full(len(member), row["gid"], np.int64)), pa.array(np.full(len(member), row["bucket"], np.int64)), pa.array(member.astype(np.int32)), pa.array(row["homes"], pa.binary()).take(pa.array(member)), pa.array(np.array(row["sizes"], np.int32)[member])],
+                    names=["token", "gid", "bucket", "member", "home", "size"],
                 )
 
     return run
@@ -297,56 +302,82 @@ def _single_sets(batches):
                 )
 
 
+class _Matrix:
+    """Token-group matrix of the groups of a bucket: for each token the groups whose union has it."""
+
+    def __init__(self, groups: list[dict]):
+        self.groups = groups
+        unions = [np.unique(np.frombuffer(g["tokens"], np.uint64)) for g in groups]
+        flat, of = np.concatenate(unions), np.repeat(np.arange(len(groups)), [len(u) for u in unions])
+        order = np.argsort(flat, kind="stable")
+        self.of = of[order]
+        self.tokens, self.first = np.unique(flat[order], return_index=True)
+        self.last = np.append(self.first[1:], len(flat))
+
+    def within(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Tokens that each set has in common with each group's union."""
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(self.tokens, flat), len(self.tokens) - 1)
+        hit = self.tokens[at] == flat
+        at, row = at[hit], row[hit]
+        count = self.last[at] - self.first[at]
+        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        pairs = np.repeat(row, count) * len(self.groups) + self.of[np.repeat(self.first[at], count) + inside]
+        return np.bincount(pairs, minlength=len(sets) * len(self.groups)).reshape(len(sets), len(self.groups))
+
+
 def _open_groups(num: int, den: int):
-    """Rows sorted so that a group comes first and the sets that ask it follow: links between homes."""
+    """Rows sorted so that the groups of a bucket come first and the sets that ask it follow: links between homes."""
+
+    def answer(matrix: _Matrix, asking: list[dict]):
+        sets = [np.frombuffer(r["tokens"], np.uint64) for r in asking]
+        sizes = np.array([len(s) for s in sets])
+        reach = matrix.within(sets) >= needed(sizes, num, den)[:, None]  # the others can't link to any member
+        links = set()
+        for j, group in enumerate(matrix.groups):
+            chosen = [k for k in np.flatnonzero(reach[:, j]).tolist() if asking[k]["gid"] != group["gid"]]
+            if chosen:
+                parts = np.split(np.frombuffer(group["tokens"], np.uint64), np.cumsum(group["sizes"])[:-1])
+                hits = linked(overlaps([sets[k] for k in chosen], parts), sizes[chosen], np.array(group["sizes"], np.int64), num, den)
+                links.update((asking[chosen[k]]["homes"][0], group["homes"][m]) for k, m in zip(*np.nonzero(hits)))
+        found = sorted(x for x in links if x[0] != x[1])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
 
     def run(batches):
-        group, union, waiting = None, None, []
-
-        def answer():
-            sets = [np.frombuffer(r["tokens"], np.uint64) for r in waiting]
-            flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-            at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
-            within = np.add.reduceat((union[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-            bounded = np.flatnonzero(within >= needed(sizes, num, den))  # the others can't link to any member
-            links = set()
-            if len(bounded):
-                parts = np.split(np.frombuffer(group["tokens"], np.uint64), np.cumsum(group["sizes"])[:-1])
-                hits = linked(overlaps([sets[k] for k in bounded], parts), sizes[bounded], np.array(group["sizes"], np.int64), num, den)
-                for k, j in zip(*np.nonzero(hits)):
-                    links.add((waiting[bounded[k]]["homes"][0], group["homes"][j]))
-            found = sorted(x for x in links if x[0] != x[1])
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
-
-        held = 0
+        groups, matrix, asking, held = [], None, [], 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 if row["kind"] == 0:
-                    if waiting:
-                        yield answer()
-                    group, union, held = row, np.unique(np.frombuffer(row["tokens"], np.uint64)), 0
-                else:
-                    waiting.append(row)
-                    held += len(row["tokens"])
-                    if len(waiting) >= 64 or held > 8 * GROUP_TOKENS:
-                        yield answer()
-                        held = 0
-        if waiting:
-            yield answer()
+                    if asking:
+                        yield answer(matrix, asking)
+                    if matrix is not None:
+                        groups, matrix, asking, held = [], None, [], 0
+                    groups.append(row)
+                    continue
+                if matrix is None:
+                    matrix = _Matrix(groups)
+                asking.append(row)
+                held += len(row["tokens"])
+                if len(asking) >= QUERIES_AT_ONCE or held > 8 * GROUP_TOKENS:
+                    yield answer(matrix, asking)
+                    asking, held = [], 0
+        if asking:
+            yield answer(matrix, asking)
 
     return run
 
 
-def _links(groups: DataFrame, asked: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b between homes) of the sets asked: rows (gid, member, target). A group is copied for every so many queries."""
+def _links(groups: DataFrame, asked: DataFrame, place: str, num: int, den: int) -> DataFrame:
+    """Links (a, b between homes) of the sets asked: rows (gid, member, target), a target being a value of the groups' column
+    ``place``. A target's groups are copied for every so many queries."""
     asked = materialise(asked, "ngram-asked")
     load = asked.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES_PER_COPY)).cast("int").alias("copies"))
-    copies = groups.join(load.withColumnRenamed("target", "gid"), "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    singles = groups.mapInArrow(_single_sets, f"gid long, member int, {GROUP.split(', ', 1)[1]}")
+    columns = ["gid", "nodes", "homes", "sizes", "tokens"]
+    copies = groups.select(F.col(place).alias("target"), *columns).join(load, "target").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    singles = groups.mapInArrow(_single_sets, f"gid long, member int, {GROUP.split(', ', 2)[2]}")
     queries = singles.join(asked.join(load, "target"), ["gid", "member"])
-    columns = ["nodes", "homes", "sizes", "tokens"]
-    rows = copies.select(F.col("gid").alias("target"), "copy", F.lit(0).alias("kind"), *columns).unionByName(
+    rows = copies.select("target", "copy", F.lit(0).alias("kind"), *columns).unionByName(
         queries.select("target", F.pmod(F.xxhash64("gid", "member"), F.col("copies").cast("long")).cast("int").alias("copy"), F.lit(1).alias("kind"), *columns)
     )
     return rows.repartition("target", "copy").sortWithinPartitions("target", "copy", "kind").mapInArrow(_open_groups(num, den), "a binary, b binary").distinct()
@@ -386,26 +417,27 @@ def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     sets = texts.mapInArrow(_set_rows(n), "node binary, size int, tokens binary, m0 long, m1 long, m2 long")
     order = ["m0", "m1", "m2", "size", "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once = sets.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_first_of_equal, sets.schema)
-    groups = materialise(once.mapInArrow(_cut_groups(num, den, group_sets), GROUP), "ngram-groups")
-    members = materialise(groups.mapInArrow(_members(num, den, frequency), "token long, gid long, member int, home binary, size int"), "ngram-members")
+    alike = sets.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    groups = materialise(alike.mapInArrow(_cut_groups(num, den, group_sets), GROUP), "ngram-groups")
+    members = materialise(groups.mapInArrow(_members(num, den, frequency), "token long, gid long, bucket long, member int, home binary, size int"), "ngram-members")
 
     # a token matters if different groups and different homes hold it; sets that share enough tokens ask the tokens' first group
     open_tokens = members.groupBy("token").agg(F.min("gid").alias("target"), F.max("gid").alias("last"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("target < last and h0 < h1")
     star = _enough(members.join(open_tokens, "token").where("gid <> target"), num, den)
-    first_links = materialise(_links(groups, star, num, den), "ngram-links")
+    first_links = materialise(_links(groups, star, "gid", num, den), "ngram-links")
     roots = components(first_links)
 
-    # sets still apart ask every group that holds one of their tokens with a set of a larger component and a fitting size
+    # sets still apart ask every bucket of groups that holds enough of their tokens, with a set of a larger component and a
+    # fitting size; there the token-group matrix tells which groups to open
     at_home = members.join(roots.withColumnRenamed("node", "home"), "home", "left").withColumn("root", F.coalesce("root", "home"))
     sized = at_home.select("gid", "member", "root").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("held"))
-    placed = materialise(at_home.join(sized, "root").select("token", "gid", "member", "size", F.struct("held", "root").alias("rank")), "ngram-placed")
+    placed = materialise(at_home.join(sized, "root").select("token", "gid", "bucket", "member", "size", F.struct("held", "root").alias("rank")), "ngram-placed")
     apart = placed.groupBy("token").agg(F.min("gid").alias("g0"), F.max("gid").alias("g1"), F.min("rank").alias("r0"), F.max("rank").alias("r1")).where("g0 < g1 and r0 < r1").select("token")
     left = placed.join(apart, "token", "left_semi")
-    held = left.groupBy("token", "gid").agg(F.max("rank").alias("above"), F.min("size").alias("s0"), F.max("size").alias("s1")).withColumnRenamed("gid", "target")
-    fits = (F.col("rank") < F.col("above")) & (F.col("gid") != F.col("target")) & (F.col("s1") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("s0") * num)
-    rest = _enough(left.join(held, "token").where(fits), num, den).join(star, ["gid", "member", "target"], "left_anti")
-    more_links = materialise(_links(groups, rest, num, den), "ngram-links")
+    held = left.groupBy("token", "bucket").agg(F.max("rank").alias("above"), F.min("size").alias("s0"), F.max("size").alias("s1")).withColumnRenamed("bucket", "target")
+    fits = (F.col("rank") < F.col("above")) & (F.col("s1") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("s0") * num)
+    rest = _enough(left.join(held, "token").where(fits), num, den)
+    more_links = materialise(_links(groups, rest, "bucket", num, den), "ngram-links")
 
     roots = components(first_links.union(more_links))
     inside = groups.select(F.explode(F.arrays_zip("nodes", "homes")).alias("x")).select(F.col("x.nodes").alias("rep"), F.col("x.homes").alias("home"))
@@ -415,16 +447,6 @@ def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     return every.select("doc_id", "node", F.col("size").alias("n_shingles"), _id_of("first").alias("component_id"), "first")
 
 
-def _first_of_equal(batches):
-    """Sorted rows without repeats of a node (rows alike in id and text)."""
-    last = None
-    for batch in batches:
-        nodes = batch.column("node").to_pylist()
-        keep = [x != y for x, y in zip(nodes, [last, *nodes])]
-        last = nodes[-1] if nodes else last
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def _id_of(node: str):
     value = (F.conv(F.substring(F.hex(node), 1, 16), 16, 10).cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
     return F.when(value != LAST_ID, value)

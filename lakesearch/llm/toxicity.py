@@ -88,10 +88,11 @@ class Model:
 
 
 def train(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY) -> Model:
-    """Adam on the likelihood of the document labels under the noisy-or. Without both labels the weights stay 0."""
+    """Adam on the likelihood of the document labels under the noisy-or. Without both labels nothing can be told:
+    the weights stay 0 and every text scores 0."""
     weights, bias = np.zeros(1 << FEATURE_BITS), BIAS
     if len(texts) == 0 or toxic.min() == toxic.max():
-        return Model(weights.astype(np.float32), BIAS if not len(texts) or not toxic.max() else -BIAS)
+        return Model(weights.astype(np.float32), bias)
     features, sentence, text, n, held = [], [], [], 0, 0
     for part in blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
         s = sentences_of(part.column("text"))

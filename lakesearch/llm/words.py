@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text whose words are hashed in one go; it bounds the scratch arrays, not the text.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 # memory of a batch goes back to the system when the batch is done
 pa.set_memory_pool(pa.system_memory_pool())
@@ -99,7 +99,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch that hold about ``most`` bytes of ``column`` (one row at least)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes)

@@ -191,5 +191,6 @@ def test_offending_sentences(spark):
     assert len(found[4].offending) == 1 and span.sentence == "you are a scoundrel1 here" and found[4].text.encode()[span.begin : span.end].decode() == span.sentence
     kept = toxicity.without_toxic(frame, labels)
     assert kept.columns == frame.columns and all(r.doc_id is None or r.doc_id % 4 or r.doc_id > 400 for r in kept.collect())
-    assert {r.toxicity for r in toxicity.score(frame, toxicity.fit(frame, labels.limit(0))).collect()} < {0.0} | {r.toxicity for r in toxicity.score(frame, toxicity.fit(frame, labels.where("toxic = 0"))).collect()}
+    for known in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1")):
+        assert {r.toxicity for r in toxicity.score(frame, toxicity.fit(frame, known)).collect()} == {0.0}
     assert toxicity.score(frame.limit(0), toxicity.fit(frame.limit(0), labels)).count() == 0
