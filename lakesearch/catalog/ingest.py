@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.catalog.bindings import DOCS, documents, table, with_
 from lakesearch.catalog.registry import query
-from lakesearch.catalog.tables import batch, published
+from lakesearch.catalog.tables import published
 from lakesearch.functions.table_functions import register_chunk_function
 from lakesearch.operators import chunking, embedding, maintenance
 from lakesearch.plans import ingest
@@ -128,9 +128,50 @@ def embedder_hook(spark, sf):
     return out.select("document_id", F.col("embedding")[0].cast("double").alias("size"))
 
 
-@query("c15_ingest_batch")
-def ingest_batch(spark, sf):
-    result = ingest.ingest_batch(batch(spark, sf), published(spark, sf), embedding.hash_embedder(32), 32)
+# Two batches: the documents of even ids are published first, each under its own address; then all are offered again. Of the
+# second batch, ids that divide by 3 come with new content under the old address, replaced or waiting by language.
+def offered(spark, sf, second: bool):
+    key = F.col("document_id").cast("string")
+    changed = F.lit(second) & (F.col("document_id") % 3 == 0)
+    rows = documents(spark, sf).where(F.lit(second) | (F.col("document_id") % 2 == 0))
+    text = F.when(changed, F.concat(F.lit("revised "), key, F.lit("\n"), "text")).otherwise(F.concat(key, F.lit("\n"), "text"))
+    return rows.select(
+        F.concat(F.lit("second-" if second else "first-"), key).alias("job_id"), "kb_id", F.lit("upload").alias("source_type"), F.concat(F.lit("sync://own/"), key).alias("source_uri"),
+        F.sha2(text, 256).alias("content_hash"), "original_filename", text.alias("text"), F.when(F.col("kb_id") == "en", "keep_new").otherwise("manual").alias("policy"),
+    )
+
+
+INGESTED = """jobs AS (SELECT document_id, kb_id, status, CASE WHEN document_id % 2 = 1 THEN 'succeeded' WHEN document_id % 3 <> 0 THEN 'deduplicated' WHEN kb_id = 'en' THEN 'succeeded' ELSE 'conflict' END AS outcome FROM docs)"""
+
+
+def two_batches(spark, sf):
+    nothing = published(spark, sf).limit(0)
     path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    ingest.publish(result, path)
-    return ingest.current(spark, path, "outcomes").groupBy("outcome").agg(F.count("*").alias("jobs"))
+    first = ingest.ingest_batch(offered(spark, sf, False), nothing, embedding.hash_embedder(32), 32)
+    ingest.publish(first, path)
+    second = ingest.ingest_batch(
+        offered(spark, sf, True), ingest.current(spark, path, "documents"), embedding.hash_embedder(32), 32, policy=F.col("policy"), before=ingest.published(spark, path)
+    )
+    ingest.publish(second, path)
+    return path
+
+
+@query("c15_ingest_batch", with_(DOCS, INGESTED, "SELECT 'second-' || document_id AS job_id, outcome FROM jobs"))
+def ingest_batch(spark, sf):
+    return ingest.current(spark, two_batches(spark, sf), "outcomes")
+
+
+@query(
+    "c15_published_tables",
+    with_(DOCS, INGESTED, """live AS (SELECT 'sync://own/' || document_id AS source_uri, 1 AS ready, CASE WHEN document_id % 6 = 0 AND kb_id = 'en' THEN 1 ELSE 0 END AS superseded FROM jobs)""",
+          "SELECT source_uri, ready::BIGINT AS ready, superseded::BIGINT AS superseded, true AS indexed FROM live"),
+)
+def published_tables(spark, sf):
+    """Documents by address after both batches; each ready one has the same chunks in all three tables, each superseded one has none."""
+    path = two_batches(spark, sf)
+    rows = ingest.current(spark, path, "documents")
+    for name in ("chunks", "payload", "vectors"):
+        held = ingest.current(spark, path, name).groupBy("document_id").agg(F.count("*").alias(name))
+        rows = rows.join(held, "document_id", "left")
+    fine = F.when(F.col("status") == "ready", (F.col("chunks") > 0) & (F.col("chunks") == F.col("payload")) & (F.col("chunks") == F.col("vectors"))).otherwise(F.coalesce("chunks", "payload", "vectors").isNull())
+    return rows.groupBy("source_uri").agg(F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") == "superseded").alias("superseded"), F.bool_and(F.coalesce(fine, F.lit(False))).alias("indexed"))

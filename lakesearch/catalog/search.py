@@ -1,5 +1,8 @@
 """The composed searches: one collection per request, and scopes of collections."""
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lakesearch.catalog.bindings import CHUNKS, QUERIES_CTE, chunks, documents, with_
@@ -94,6 +97,33 @@ def hybrid_search(spark, sf):
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "vector_score", "keyword_score", "expanded", "exact_entity_match")
 
 
+# The largest budgets a request may ask for.
+WIDE = REQUESTS
+for _budget, _value in (("pool", 200), ("top_k", 100)):
+    WIDE = re.sub(rf"CASE WHEN p IN \(0, 1\) THEN \d+ WHEN p IN \(2, 3, 7\) THEN \d+ ELSE \d+ END AS {_budget},", f"{_value} AS {_budget},", WIDE)
+WIDE = re.sub(r"CASE WHEN p IN \(0, 1\) THEN 50 WHEN p IN \(2, 3, 7\) THEN 25 ELSE 10 END AS rerank_k", "100 AS rerank_k", WIDE)
+
+
+@query(
+    "r21_wide_budgets",
+    with_(CHUNKS, QUERIES_CTE, WIDE, INDEX, scores_sql("req", "rq", True), HYBRID, "SELECT query_id, chunk_id, final_rank AS rank, round(score, 6) AS score FROM results"),
+)
+def wide_budgets(spark, sf):
+    asked = requests(spark, sf).withColumns({"vector_top_k": F.lit(200), "keyword_top_k": F.lit(200), "top_k": F.lit(100), "rerank_candidate_top_k": F.lit(100)})
+    return search.hybrid_search(asked, tables(spark, sf), OPTIONS).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    "r21_filtered",
+    with_(CHUNKS, QUERIES_CTE, REQUESTS, INDEX, scores_sql("req", "rq", True),
+          HYBRID.replace("FROM kw_scores s JOIN req USING (query_id)", "FROM kw_scores s JOIN req USING (query_id) WHERE s.chunk_id IN (SELECT chunk_id FROM chunks WHERE chunk_index = 0)"),
+          "SELECT query_id, chunk_id, final_rank AS rank, round(score, 6) AS score FROM results"),
+)
+def filtered_search(spark, sf):
+    hits = search.hybrid_search(requests(spark, sf), tables(spark, sf), replace(OPTIONS, filters={"chunk_index": 0}))
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(
     "p15_answer_rows",
     with_(*SEARCH, """SELECT query_id, final_rank AS rank, r.chunk_id, md5(c.text) AS text_hash, c.source_uri, c.original_filename, c.chunk_index, expanded

@@ -681,7 +681,12 @@ def sync_counters(spark, sf):
     return sync.counters(actions, outcomes)
 
 
-@query("a13_sync_fingerprint", with_(DOCS, "SELECT kb_id, left(sha256(string_agg(source_uri || ':' || content_hash, '|' ORDER BY source_uri || ':' || content_hash)), 32) AS fingerprint FROM docs GROUP BY kb_id"))
+@query(
+    "a13_sync_fingerprint",
+    with_(DOCS, "entries AS (SELECT kb_id, source_uri || ':' || content_hash AS e FROM docs)",
+          "buckets AS (SELECT kb_id, substr(md5(e), 1, 3) AS b, sha256(string_agg(e, '|' ORDER BY e)) AS d FROM entries GROUP BY ALL)",
+          "SELECT kb_id, left(sha256(string_agg(b || ':' || d, '|' ORDER BY b)), 32) AS fingerprint FROM buckets GROUP BY kb_id"),
+)
 def sync_fingerprint(spark, sf):
     return sync.fingerprint(documents(spark, sf), ("kb_id",))
 

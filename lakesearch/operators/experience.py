@@ -110,11 +110,18 @@ def apply_transitions(items: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     return final, steps
 
 
+def _request_limit(limit: int) -> int:
+    """A limit that one request may ask for; a batch gives none and gets all rows."""
+    if not 1 <= limit <= 500:
+        raise ValueError(f"a limit of {limit} is not between 1 and 500")
+    return limit
+
+
 def expire(items: DataFrame, now: Column, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Proven items past their expiry, oldest first, and their history rows."""
     due = items.where((F.col("status") == "proven") & F.col("expires_at").isNotNull() & (F.col("expires_at") <= now)).orderBy("expires_at", "experience_id")
-    if limit:
-        due = due.limit(min(max(limit, 1), 500))
+    if limit is not None:
+        due = due.limit(_request_limit(limit))
     changed = due.withColumns({"status": F.lit("deprecated"), "index_status": F.lit("index_pending")})
     history = due.select("experience_id", F.lit("proven").alias("from_status"), F.lit("deprecated").alias("to_status"), F.lit("Experience expired").alias("reason"))
     return changed, history
@@ -139,7 +146,7 @@ def pending_projections(items: DataFrame, limit: int | None = None) -> DataFrame
     work = items.where(F.col("index_status") == "index_pending").withColumns({
         "action": F.when(proven, "index").otherwise("remove"), "next_index_status": F.when(proven, "indexed").otherwise("not_indexed"),
     }).orderBy("updated_at", "experience_id")
-    return work.limit(min(max(limit, 1), 500)) if limit else work
+    return work if limit is None else work.limit(_request_limit(limit))
 
 
 def request_outcomes(requests: DataFrame, ttl_seconds: int) -> DataFrame:

@@ -40,15 +40,15 @@ def gate(
     )
 
 
-def abstentions(kept: DataFrame, queries: DataFrame, *, has_min_score: bool = True, vector_available: Column | None = None, allow_keyword_fallback: bool = False) -> DataFrame:
-    """One row per query, also when nothing is left: abstained and why."""
+def abstentions(kept: DataFrame, queries: DataFrame, *, has_min_score: bool = True, vector_available: Column | None = None, allow_keyword_fallback: bool = False, enable_abstention: bool = True, require_exact_match: bool = True) -> DataFrame:
+    """One row per query, also when nothing is left: abstained and why, by the rules that ``gate`` was given."""
     available = vector_available if vector_available is not None else F.lit(True)
     left = kept.groupBy("query_id").agg(F.count("*").alias("kept"))
     failed = ~available if not allow_keyword_fallback else F.lit(False)
-    reason = F.when(failed, "vector_unavailable").when(
-        F.col("kept") == 0,
-        F.when(F.col("has_ids"), "no_exact_entity_match").when(available & F.lit(has_min_score), "low_vector_score"),
-    )
+    by_id = F.col("has_ids") if require_exact_match else F.lit(False)
+    reason = F.when(F.lit(enable_abstention), F.when(failed, "vector_unavailable").when(
+        F.col("kept") == 0, F.when(by_id, "no_exact_entity_match").when(available & F.lit(has_min_score), "low_vector_score"),
+    ))
     return (
         queries.join(left, "query_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
         .select("query_id", "kept", reason.alias("abstention_reason"), reason.isNotNull().alias("abstained"))

@@ -27,7 +27,6 @@ BUDGET_FIELDS = (
     "top_k", "vector_top_k", "keyword_top_k", "max_chunks_per_document", "rerank_candidate_top_k", "context_max_chunks", "adjacent_chunk_radius",
 )
 DEFAULT_CONTEXT_CHUNKS = 8
-LARGEST_POOL = 80
 COVERAGE_WARNING = "结果来自相关性检索，不能保证覆盖知识库中的全部条款或项目。"
 REWRITE_MAX_CHARS = 500
 

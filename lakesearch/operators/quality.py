@@ -38,7 +38,10 @@ def containing_documents(passages: DataFrame, docs: DataFrame, passage_key: str,
         left = short.where(F.least(F.length("text"), F.lit(3)) == n).select(passage_key, F.xxhash64(F.substring("text", 1, n)).alias("anchor"))
         right = docs.select(doc_key, F.explode(_grams(F.col("text"), n)).alias("anchor"))
         pairs = pairs.unionByName(right.join(left, "anchor").select(passage_key, doc_key))
-    return (
+    # an empty passage is in every text; both sides are dealt over salts
+    blank = worded.where(F.length("text") == 0).select(passage_key, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt"))
+    everywhere = docs.where(F.col("text").isNotNull()).select(doc_key, F.pmod(F.xxhash64(doc_key), F.lit(64)).cast("int").alias("salt")).join(blank, "salt").select(passage_key, doc_key)
+    return everywhere.unionByName(
         pairs.join(docs.select(doc_key, F.col("text").alias("doc_text")), doc_key)
         .join(passages.select(passage_key, F.col("text").alias("passage_text")), passage_key)
         .where(F.contains("doc_text", "passage_text"))

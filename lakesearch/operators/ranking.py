@@ -16,9 +16,10 @@ def top_k(df: DataFrame, k: int, order: list, by=("query_id",)) -> DataFrame:
     return ranked(df, order, by).where(F.col("rank") <= k)
 
 
-def top_budget(df: DataFrame, budget: Column, most: int, order: list, by=("query_id",)) -> DataFrame:
-    """Best rows per query within a per-query budget of at most ``most`` rows."""
-    return top_k(df, most, order, by).where(F.col("rank") <= budget)
+def top_budget(df: DataFrame, budget: Column, order: list, by=("query_id",), largest: int | None = None) -> DataFrame:
+    """Best rows per query within a per-query budget. ``largest``, the largest budget if it is known, cuts rows before the shuffle."""
+    best = ranked(df, order, by) if largest is None else top_k(df, largest, order, by)
+    return best.where(F.col("rank") <= budget)
 
 
 def document_group() -> Column:
@@ -70,19 +71,19 @@ def scored_by(candidates: DataFrame, scorer) -> DataFrame:
     return candidates.select("query_id", (F.col("rank") - 1).alias("position"), score("query", "text").alias("score"))
 
 
-def rerank(candidates: DataFrame, scores: DataFrame | None, limit: Column | int, most: int = 100) -> DataFrame:
+def rerank(candidates: DataFrame, scores: DataFrame | None, limit: Column | int) -> DataFrame:
     """Order candidates by supplied scores and keep the first ``limit`` per query.
 
     ``scores``: query_id, position (0-based place among the candidates), score. A
     query's score set is used only when its positions are in range and different
     and there are exactly min(limit, candidates) of them; otherwise the query
     keeps its order and is marked ``rerank_degraded``. ``None`` passes through.
-    ``most`` bounds ``limit``.
     """
+    largest = limit if isinstance(limit, int) else None
     limit = F.lit(limit) if isinstance(limit, int) else limit
     if scores is None:
         out = candidates.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rerank_degraded", F.lit(False))
-        return top_budget(out, limit, most, [F.col("rank")])
+        return top_budget(out, limit, [F.col("rank")], largest=largest)
     size = candidates.groupBy("query_id").agg(F.count("*").alias("n"), F.max(limit).alias("_limit"))
     given = scores.groupBy("query_id").agg(
         F.count("*").alias("given"), F.countDistinct("position").alias("different"), F.min("position").alias("low"), F.max("position").alias("high"),
@@ -99,4 +100,4 @@ def rerank(candidates: DataFrame, scores: DataFrame | None, limit: Column | int,
         .where(~F.col("valid") | F.col("rerank_score").isNotNull())
         .withColumn("rerank_degraded", ~F.col("valid")).drop("valid")
     )
-    return top_budget(out, limit, most, [F.col("rerank_score").desc_nulls_last(), F.col("rank")])
+    return top_budget(out, limit, [F.col("rerank_score").desc_nulls_last(), F.col("rank")], largest=largest)

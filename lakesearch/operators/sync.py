@@ -3,8 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_FINGERPRINT_ROWS = 1_000_000
-FINGERPRINT_BUCKETS = 4096
 
 
 def classify(items: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -53,31 +51,17 @@ def counters(actions: DataFrame, outcomes: DataFrame | None = None) -> DataFrame
     return rows.agg(*[F.count_if(F.col("result") == action).alias(name) for name, action in names.items()])
 
 
-def fingerprint(items: DataFrame, by: tuple = (), exact_rows: int = EXACT_FINGERPRINT_ROWS) -> DataFrame:
-    """First 32 hex digits of a digest over the sorted ``uri:hash`` entries.
+def fingerprint(items: DataFrame, by: tuple = ()) -> DataFrame:
+    """First 32 hex digits of a digest over the ``uri:hash`` entries of a group, whatever their order.
 
-    Up to ``exact_rows`` entries per group (counted first) are joined by a bar
-    and hashed. Larger groups hash each of 4096 buckets and then the bucket
-    digests, so that no task holds a group; the prefix ``t`` marks them.
+    Entries are dealt to 4096 buckets by their MD5; each bucket's sorted entries are hashed, and then the bucket digests in
+    bucket order. The rule is one for all sizes, and no task holds a group.
     """
     entry = F.concat_ws(":", "source_uri", "content_hash")
-    keyed = items.select(*by, entry.alias("entry"))
-    size = keyed.groupBy(*by).agg(F.count("*").alias("n"))
-    large = size.where(F.col("n") > exact_rows)
-    exact = lambda rows: rows.groupBy(*by).agg(
-        F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "|"), 256), 1, 32).alias("fingerprint")
-    )
-    if large.isEmpty():
-        return exact(keyed)
-    bucket = F.pmod(F.xxhash64("entry"), F.lit(FINGERPRINT_BUCKETS))
-    spread = keyed.groupBy(*by, bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "|"), 256).alias("entry"))
-    tree = spread.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("b", "entry"))).alias("d")).select(
-        *by, F.concat(F.lit("t"), F.substring(F.sha2(F.array_join(F.transform("d", lambda s: s["entry"]), "|"), 256), 1, 31)).alias("fingerprint")
-    )
-    if not by:
-        return tree
-    small = keyed.join(large.select(*by), list(by), "left_anti")
-    return exact(small).unionByName(tree.join(large.select(*by), list(by), "left_semi"))
+    bucket = F.substring(F.md5("entry"), 1, 3)
+    spread = items.select(*by, entry.alias("entry")).groupBy(*by, bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "|"), 256).alias("digest"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("b", "digest"))), lambda s: F.concat_ws(":", s["b"], s["digest"]))
+    return spread.groupBy(*by).agg(F.substring(F.sha2(F.array_join(listed, "|"), 256), 1, 32).alias("fingerprint"))
 
 
 def new_documents(batch: DataFrame, documents: DataFrame) -> DataFrame:

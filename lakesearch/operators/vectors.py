@@ -96,7 +96,7 @@ def _block_join(queries, corpus, k, schema, by_kb, size, rows_per_block: int = 4
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, schema)
 
 
-def approximate_candidates(queries: DataFrame, vectors: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 8, max_distance: float = 1.2) -> DataFrame:
+def approximate_candidates(queries: DataFrame, vectors: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 8, max_distance: float = 2.0) -> DataFrame:
     """Nearest candidates from random-projection buckets, rescored exactly.
 
     Only vectors sharing a bucket with a query are compared, so the work follows

@@ -3,7 +3,7 @@
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesearch.functions.ids import document_id
@@ -15,25 +15,37 @@ from lakesearch.session import materialise
 class IngestResult:
     outcomes: DataFrame  # job_id, outcome
     documents: DataFrame  # the published snapshot after the batch
-    chunks: DataFrame  # chunk rows of the new documents
-    payload: DataFrame  # index rows of the new documents
-    vectors: DataFrame  # chunk_id, kb_id, embedding
+    chunks: DataFrame  # chunk rows of all live documents
+    payload: DataFrame  # index rows of all live documents
+    vectors: DataFrame  # chunk_id, document_id, kb_id, embedding of all live documents
 
 
-def ingest_batch(batch: DataFrame, documents: DataFrame, embedder: embedding.Embedder, dimension: int, max_bytes: int = 50_000_000, model: str = "model", provider: str = "pseudo", policy: str = "manual") -> IngestResult:
+@dataclass(frozen=True)
+class Published:
+    """Tables of the version before the batch; see ``current``."""
+
+    chunks: DataFrame
+    payload: DataFrame
+    vectors: DataFrame
+
+
+def ingest_batch(batch: DataFrame, documents: DataFrame, embedder: embedding.Embedder, dimension: int, max_bytes: int = 50_000_000, model: str = "model", provider: str = "pseudo", policy: Column | str = "manual", before: Published | None = None) -> IngestResult:
     """Process every offered document of a batch.
 
     ``batch``: job_id, kb_id, source_type, source_uri, content_hash,
     original_filename, text; ``documents``: the published snapshot with the same
     identity columns, document_id and status. Content that is already ready is
-    de-duplicated, conflicts wait or replace by ``policy``, the others are
-    published.
+    de-duplicated, conflicts wait or replace by ``policy`` (a value or a column of
+    the batch), the others are published. Chunks, index rows and vectors of
+    documents that stay ready are taken over from ``before``; those of replaced
+    documents go.
     """
+    policy = F.lit(policy) if isinstance(policy, str) else policy
     keys = ["kb_id", "source_type", "source_uri", "content_hash"]
     fresh = sync.new_documents(batch, documents).select("job_id", F.lit(True).alias("_fresh"))
     clash = sync.conflicts(batch, documents)
     outcome = sync.job_outcome(
-        F.octet_length("text"), max_bytes, F.col("_fresh").isNull(), F.col("conflict_ids").isNotNull(), F.lit(policy), F.col("text")
+        F.octet_length("text"), max_bytes, F.col("_fresh").isNull(), F.col("conflict_ids").isNotNull(), policy, F.col("text")
     )
     staged = materialise(
         batch.join(fresh, "job_id", "left").join(clash, "job_id", "left").withColumn("outcome", outcome)
@@ -51,7 +63,12 @@ def ingest_batch(batch: DataFrame, documents: DataFrame, embedder: embedding.Emb
     snapshot = kept.withColumn("status", F.when(F.col("_gone"), "superseded").otherwise(F.col("status"))).drop("_gone").unionByName(new)
     vectors = embedding.embed(chunks.select("chunk_id", "document_id", "text"), embedder, dimension).join(new.select("document_id", "kb_id"), "document_id")
     payload = maintenance.payload(chunks.select("chunk_id", "document_id", "chunk_index", "text", "page_no", "metadata"), new)
-    return IngestResult(staged.select("job_id", "outcome"), snapshot, chunks, payload, vectors.select("chunk_id", "kb_id", "embedding"))
+    vectors = vectors.select("chunk_id", "document_id", "kb_id", "embedding")
+    if before is not None:
+        live = snapshot.where("status = 'ready'").select("document_id")
+        kept_rows = lambda old: old.withColumn("document_id", F.col("document_id").cast("string")).join(live, "document_id", "left_semi")
+        chunks, payload, vectors = (kept_rows(old).unionByName(new_rows) for old, new_rows in ((before.chunks, chunks), (before.payload, payload), (before.vectors, vectors)))
+    return IngestResult(staged.select("job_id", "outcome"), snapshot, chunks, payload, vectors)
 
 
 def publish(result: IngestResult, path: str) -> str:
@@ -68,6 +85,11 @@ def publish(result: IngestResult, path: str) -> str:
     return version
 
 
+def published(spark, path: str) -> Published:
+    """What the next batch takes over."""
+    return Published(*(current(spark, path, name) for name in ("chunks", "payload", "vectors")))
+
+
 def current(spark, path: str, name: str) -> DataFrame:
     """A table of the published version."""
     version = spark.read.schema("version string").json(f"{path}/current").first()["version"]

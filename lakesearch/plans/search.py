@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesearch.functions.entities import entity_ids
-from lakesearch.operators import filters, fusion, gate, keyword, neighbours, planning, ranking, vectors
+from lakesearch.operators import filters, fusion, gate, keyword, neighbours, ranking, vectors
 from lakesearch.session import materialise
 
 
@@ -30,6 +30,7 @@ class SearchOptions:
     require_exact_match: bool = True
     allow_keyword_fallback: bool = False
     min_vector_score: float | None = None
+    filters: dict | None = None  # see filters.filter_condition; over columns of the chunks
 
 
 def _entities(chunks: DataFrame) -> DataFrame:
@@ -45,7 +46,12 @@ def pair_cosine(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
     return pairs.withColumn("score", F.round(dot(left, right) / F.sqrt(dot(left, left) * dot(right, right)), 6))
 
 
-def keyword_side(queries: DataFrame, tables: SearchTables, exact: bool) -> DataFrame:
+def largest_budget(queries: DataFrame) -> int:
+    """The largest budget of the batch: a number by which both sides cut their hits before the shuffle."""
+    return queries.agg(F.max(F.greatest("vector_top_k", "keyword_top_k"))).first()[0] or 1
+
+
+def keyword_side(queries: DataFrame, tables: SearchTables, exact: bool, largest: int, allowed_chunks: DataFrame | None = None) -> DataFrame:
     """Keyword hits; queries naming identifiers meet only chunks that carry one when ``exact``."""
     named = queries.where(F.size("wanted_ids") > 0)
     plain = queries.where(F.size("wanted_ids") == 0)
@@ -54,28 +60,29 @@ def keyword_side(queries: DataFrame, tables: SearchTables, exact: bool) -> DataF
     scores = keyword.bm25(plain.select("query_id", "kb_id", "query"), tables.index).unionByName(
         keyword.bm25_with_identifiers(named.select("query_id", "kb_id", "query"), tables.index, entities, allowed)
     )
-    budget = queries.select("query_id", "keyword_top_k")
+    if allowed_chunks is not None:
+        scores = scores.join(allowed_chunks, "chunk_id", "left_semi")
     order = [F.desc("score"), F.col("chunk_id")]
-    return ranking.top_budget(
-        ranking.top_k(scores, planning.LARGEST_POOL, order).join(budget, "query_id"), F.col("keyword_top_k"), planning.LARGEST_POOL, [F.col("rank")]
-    )
+    hits = ranking.top_k(scores, largest, order).join(queries.select("query_id", "keyword_top_k"), "query_id")
+    return hits.where(F.col("rank") <= F.col("keyword_top_k"))
 
 
-def vector_side(queries: DataFrame, tables: SearchTables, exact: bool) -> DataFrame:
+def vector_side(queries: DataFrame, tables: SearchTables, exact: bool, largest: int, allowed_chunks: DataFrame | None = None) -> DataFrame:
     """Vector hits of queries with an ``embedding``, under the same restriction."""
     asked = queries.where(F.col("embedding").isNotNull())
     open_queries = asked.where(F.size("wanted_ids") == 0) if exact else asked
     order = [F.desc("score"), F.col("chunk_id")]
-    hits = vectors.vector_topk(open_queries.select("query_id", "kb_id", "embedding"), tables.vectors, planning.LARGEST_POOL)
+    stored = tables.vectors if allowed_chunks is None else tables.vectors.join(allowed_chunks, "chunk_id", "left_semi")
+    hits = vectors.vector_topk(open_queries.select("query_id", "kb_id", "embedding"), stored, largest)
     if exact:
         named = asked.where(F.size("wanted_ids") > 0)
         pairs = (
             filters.entity_candidates(named, _entities(tables.chunks))
-            .join(tables.vectors.select("chunk_id", F.col("embedding").alias("stored")), "chunk_id")
+            .join(stored.select("chunk_id", F.col("embedding").alias("stored")), "chunk_id")
             .join(named.select("query_id", "embedding"), "query_id")
         )
         scored = pair_cosine(pairs, F.col("embedding"), F.col("stored")).select("query_id", "chunk_id", "score")
-        hits = hits.unionByName(ranking.top_k(scored, planning.LARGEST_POOL, order))
+        hits = hits.unionByName(ranking.top_k(scored, largest, order))
     return hits.join(queries.select("query_id", "vector_top_k"), "query_id").where(F.col("rank") <= F.col("vector_top_k"))
 
 
@@ -91,8 +98,10 @@ def hybrid_search(queries: DataFrame, tables: SearchTables, options: SearchOptio
     exact = options.enable_abstention and options.require_exact_match
     asked = queries.withColumn("wanted_ids", entity_ids(F.col("query")))
     empty = queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double, rank int")
-    vector = vector_side(asked, tables, exact) if options.enable_vector and tables.vectors is not None else empty
-    words = keyword_side(asked, tables, exact) if options.enable_keyword else empty
+    largest = largest_budget(queries)
+    allowed = tables.chunks.where(filters.filter_condition(options.filters)).select("chunk_id") if options.filters else None
+    vector = vector_side(asked, tables, exact, largest, allowed) if options.enable_vector and tables.vectors is not None else empty
+    words = keyword_side(asked, tables, exact, largest, allowed) if options.enable_keyword else empty
     fused = fusion.fuse(vector, words, options.fusion_method, options.vector_weight, options.keyword_weight)
 
     place = tables.chunks.select("chunk_id", "document_id", "kb_id", "chunk_index", "entity_id", "entity_ids")
@@ -126,4 +135,7 @@ def answer_rows(hits: DataFrame, tables: SearchTables) -> DataFrame:
 def search_status(hits: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """One status row per query, abstained queries included."""
     asked = queries.select("query_id", (F.size(entity_ids(F.col("query"))) > 0).alias("has_ids"))
-    return gate.abstentions(hits, asked, has_min_score=options.min_vector_score is not None)
+    return gate.abstentions(
+        hits, asked, has_min_score=options.min_vector_score is not None and options.enable_vector, allow_keyword_fallback=options.allow_keyword_fallback,
+        enable_abstention=options.enable_abstention, require_exact_match=options.require_exact_match,
+    )
