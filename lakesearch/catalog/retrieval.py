@@ -77,6 +77,26 @@ def field_statistics(spark, sf):
     return index(spark, sf).field_stats.select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
+def upkept_index(spark, sf):
+    """The French chunks leave the index and come again; the German ones leave."""
+    every = chunks(spark, sf)
+    without = keyword.updated_index(keyword.build_index(every), every.where("kb_id IN ('fr', 'de')").select("chunk_id"))
+    return keyword.updated_index(without, every.limit(0).select("chunk_id"), every.where("kb_id = 'fr'"))
+
+
+UPKEPT = "here AS (SELECT post.* FROM post JOIN chunks USING (chunk_id) WHERE chunks.kb_id <> 'de')"
+
+
+@query("k04_upkept_terms", with_(CHUNKS, INDEX, UPKEPT, "SELECT field, term, count(*) AS df FROM here GROUP BY ALL"))
+def upkept_terms(spark, sf):
+    return upkept_index(spark, sf).term_stats
+
+
+@query("k04_upkept_fields", with_(CHUNKS, INDEX, UPKEPT, "SELECT field, count(*) AS n, round(avg(dl), 6) AS avgdl FROM (SELECT DISTINCT chunk_id, field, dl FROM here) GROUP BY field"))
+def upkept_fields(spark, sf):
+    return upkept_index(spark, sf).field_stats.select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query(
     "r03_bm25_topk",
     with_(CHUNKS, QUERIES_CTE, INDEX, BM, BM_SCORES, topk_sql("bm_scores", "hits", 10),

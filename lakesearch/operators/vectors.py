@@ -11,6 +11,8 @@ from lakesearch.operators.ranking import top_k
 
 # A query block up to this many float cells travels to every task.
 SHIPPED_CELLS = 16_000_000
+# Scores held at once by a task.
+SCORE_CELLS = 4_000_000
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -32,11 +34,17 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _block_hits(query_ids, query_kbs, queries, ids, kbs, vectors, k) -> pd.DataFrame:
-    scores = np.round(queries @ vectors.T, 6)
-    if kbs is not None:
-        scores = np.where(np.asarray(query_kbs)[:, None] == np.asarray(kbs)[None, :], scores, -np.inf)
-    row, col = np.nonzero(_best(scores, k) & np.isfinite(scores))
-    return pd.DataFrame({"query_id": np.asarray(query_ids)[row], "chunk_id": np.asarray(ids)[col], "score": scores[row, col]})
+    """Hits of queries and vectors of one collection, a slice of queries at a time."""
+    query_ids, ids, found = np.asarray(query_ids), np.asarray(ids), []
+    groups = [(slice(None), slice(None))] if kbs is None else [(np.flatnonzero(query_kbs == kb), np.flatnonzero(kbs == kb)) for kb in pd.unique(np.asarray(kbs))]
+    for of_queries, of_vectors in groups:
+        asked, asked_ids, held, held_ids = queries[of_queries], query_ids[of_queries], vectors[of_vectors], ids[of_vectors]
+        step = max(1, SCORE_CELLS // max(len(held), 1))
+        for start in range(0, len(asked), step):
+            scores = np.round(asked[start : start + step] @ held.T, 6)
+            row, col = np.nonzero(_best(scores, k) & np.isfinite(scores))
+            found.append(pd.DataFrame({"query_id": asked_ids[start + row], "chunk_id": held_ids[col], "score": scores[row, col]}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": query_ids[:0], "chunk_id": ids[:0], "score": np.zeros(0)})
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, shipped_cells: int = SHIPPED_CELLS) -> DataFrame:
