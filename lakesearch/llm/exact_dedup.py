@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakesearch.llm.rows import LAST_ID, id_order, materialise, shared_dir
+from lakesearch.llm.rows import LAST_ID, free_names, id_order, materialise, shared_dir
 from lakesearch.session import broadcast_within
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -131,6 +131,6 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     found = dedup_path(spark, path, docs.schema, id_column=id_column, text=text)
     dropped = materialise(found.where("not kept").select("file", "row"), "exact-dedup-dropped")
     rows = spark.read.schema(docs.schema).parquet(path)
-    at = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    gone = broadcast_within(dropped.select(F.col("file").alias("__file"), F.col("row").alias("__row")), BROADCAST_ROWS)[0]
-    return at.join(gone, ["__file", "__row"], "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    names = free_names(docs, "__file", "__row")
+    at = rows.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+    return narrowed(at, dropped.toDF(*names), names, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

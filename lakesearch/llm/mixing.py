@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesearch.llm.rows import materialise
+from lakesearch.llm.rows import free_names, materialise
 from lakesearch.session import broadcast_within
 
 #: Bits of the hash, and of one histogram.
@@ -128,13 +128,13 @@ def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     sized = materialise(_sized(docs, id_column, source, text), "mix-sizes")
     targets = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     cuts = materialise(thresholds(sized, targets), "mix-thresholds")
-    at = docs.withColumns({"__h": id_hash(F.col(f"`{id_column}`"))})
-    cuts, small = broadcast_within(cuts.select(F.col("source").alias("__s"), F.col("passes").alias("__passes"), F.col("below").alias("__below")), BROADCAST_SOURCES)
-    same = F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__s"))
+    h, s, passes, below, salt, k, copies, copy = free_names(docs, *(f"__{x}" for x in ("h", "s", "passes", "below", "salt", "k", "copies", "copy")))
+    at = docs.withColumn(h, id_hash(F.col(f"`{id_column}`")))
+    cuts, small = broadcast_within(cuts.select(F.col("source").alias(s), F.col("passes").alias(passes), F.col("below").alias(below)), BROADCAST_SOURCES)
+    same = F.col(f"`{source}`").cast("string").eqNullSafe(F.col(s))
     if not small:
-        at = at.withColumn("__salt", F.pmod("__h", F.lit(SALTS)))
-        cuts = cuts.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        same = same & (F.col("__salt") == F.col("__k"))
-    copies = F.col("__passes") + (F.col("__h") < F.col("__below")).cast("int")
-    held = at.join(cuts, same).withColumn("__copies", copies).where("__copies > 0")
-    return held.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select([F.col(f"`{c}`") for c in docs.columns])
+        at = at.withColumn(salt, F.pmod(h, F.lit(SALTS)))
+        cuts = cuts.withColumn(k, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = same & (F.col(salt) == F.col(k))
+    held = at.join(cuts, same).withColumn(copies, F.col(passes) + (F.col(h) < F.col(below)).cast("int")).where(F.col(copies) > 0)
+    return held.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select([F.col(f"`{c}`") for c in docs.columns])

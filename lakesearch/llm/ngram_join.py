@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.llm.components import components
 from lakesearch.llm.exact_dedup import narrowed
-from lakesearch.llm.rows import LAST_ID, materialise, row_key, small_batches
+from lakesearch.llm.rows import LAST_ID, free_names, materialise, row_key, small_batches
 from lakesearch.llm.words import LOWER, blocks, grams, mixed, run_hashes, words_of
 
 #: Buckets of the token frequency histogram (2 to this power); it only orders tokens.
@@ -28,7 +28,7 @@ GROUP_SETS, GROUP_TOKENS = 128, 500_000
 #: Groups that are asked together: those of so many neighbouring partitions and, in each, of so many tokens.
 BUCKET_PARTITIONS, BUCKET_TOKENS = 16, 500_000
 #: Query sets that meet one copy of a bucket, and those looked up at once.
-QUERIES_PER_COPY, QUERIES_AT_ONCE = 1000, 64
+QUERIES_PER_COPY, QUERIES_AT_ONCE = 250, 64
 #: Tokens whose columns are multiplied at once, and sets a task remembers to have sent.
 MATRIX_COLUMNS, SENT_SETS = 1 << 15, 200_000
 
@@ -455,6 +455,7 @@ def _id_of(node: str):
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, that are the least document of their component."""
     found = join_classes(docs, n, num, den, id_column, text)
-    gone = materialise(found.where("node <> first").select(F.col("node").alias("__node")), "ngram-dropped")
-    rows = docs.withColumn("__node", row_key(f"`{id_column}`", f"`{text}`"))
-    return narrowed(rows, gone, ["__node"], "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    (node,) = free_names(docs, "__node")
+    gone = materialise(found.where("node <> first").select(F.col("node").alias(node)), "ngram-dropped")
+    rows = docs.withColumn(node, row_key(f"`{id_column}`", f"`{text}`"))
+    return narrowed(rows, gone, [node], "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.session import materialise, shared_dir
 
-__all__ = ["materialise", "shared_dir", "LAST_ID", "id_order", "row_key", "own_columns", "small_batches"]
+__all__ = ["materialise", "shared_dir", "LAST_ID", "id_order", "row_key", "own_columns", "free_names", "small_batches"]
 
 #: A null id counts as larger than every number.
 LAST_ID = (1 << 63) - 1
@@ -23,6 +23,16 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.coalesce(key, F.lit(bytearray(16)))  # never null, so that joins of all kinds share one exchange
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as make it no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches that stay small with long texts: the default of 10,000 rows holds gigabytes of them. A session's own
     settings win."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakesearch.llm.mixing import id_hash
-from lakesearch.llm.rows import small_batches
+from lakesearch.llm.rows import free_names, small_batches
 from lakesearch.llm.words import LOWER, blocks, buffers, find_words, hash_words
 
 FEATURE_BITS = 18
@@ -177,5 +177,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that a model fitted on ``labels`` scores under ``threshold``, with their columns."""
-    scored = score(docs, fit(docs, labels, id_column, text), text, names=("__toxicity", "__offending"))
-    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity", "__offending")
+    names = free_names(docs, "__toxicity", "__offending")
+    scored = score(docs, fit(docs, labels, id_column, text), text, names=(names[0], names[1]))
+    return scored.where(F.col(names[0]) < threshold).drop(*names)

@@ -39,7 +39,7 @@ def test_rows_that_stay(spark):
 @pytest.mark.parametrize("sources", [1, 4, 23])
 def test_mix(spark, sources):
     names = [None if k == 0 else f"s{k}é" for k in range(sources)]
-    docs = [(i, "w " * (3 + i * 7919 % 50) if i % 17 else None, names[(i % 3) * (i % sources)], 1) for i in range(700)]
+    docs = [(i, "w " * (3 + i * 7919 % 50) if i % 17 else None, names[(i % 3) * (i % sources) % sources], 1) for i in range(700)]
     found = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string, h int")).collect()
     again = mixing.mix(spark.createDataFrame(docs[::-1], "doc_id long, text string, source string, h int")).collect()
     assert sorted(found) == sorted(again) and len(found) == 700
@@ -69,7 +69,7 @@ def test_mix_of_odd_rows(spark):
     assert len({r.copies for r in found if r.doc_id == 4}) == 1
     docs = spark.createDataFrame([(i, "x y z", "ab"[i % 2], i) for i in range(50)], f"{kind}, __h int")
     rows, told = mixing.mixed_rows(docs).collect(), {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
-    assert sorted(r.doc_id for r in rows) == sorted(i for i, n in told.items() for _ in range(n)) and rows[0].asDict().keys() == {"doc_id", "text", "source", "__h"}
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, n in told.items() for _ in range(n)) and all(r["__h"] == r.doc_id for r in rows) and rows[0].asDict().keys() == {"doc_id", "text", "source", "__h"}
 
 
 def test_mix_with_many_sources(spark, monkeypatch):
