@@ -216,10 +216,10 @@ def deletion_plan(spark, sf):
 
 @query(
     "v19_merge_progress",
-    """SELECT coalesce(c.c_custkey, o.item) AS item_id, coalesce(c_mktsegment, 'new') AS status, coalesce(c_name, pr) AS title FROM (SELECT * FROM customer WHERE c_acctbal > 3000) c
-       FULL JOIN (SELECT o_custkey AS item, min(o_orderpriority) AS pr FROM orders GROUP BY o_custkey) o ON o.item = c.c_custkey""",
+    """SELECT coalesce(c.c_custkey, o.item) AS item_id, coalesce(c_mktsegment, 'new') AS status, coalesce(c_name, pr) AS title FROM customer c
+       FULL JOIN (SELECT 2 * o_custkey AS item, min(o_orderpriority) AS pr FROM orders GROUP BY o_custkey) o ON o.item = c.c_custkey""",
 )
 def merge_progress(spark, sf):
-    current = table(spark, sf, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("item_id"), F.col("c_mktsegment").alias("status"), F.col("c_name").alias("title"))
-    incoming = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("item_id")).agg(F.lit("new").alias("status"), F.min("o_orderpriority").alias("title"))
+    current = table(spark, sf, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_mktsegment").alias("status"), F.col("c_name").alias("title"))
+    incoming = table(spark, sf, "orders").groupBy((2 * F.col("o_custkey")).alias("item_id")).agg(F.lit("new").alias("status"), F.min("o_orderpriority").alias("title"))
     return review.merge_progress(current, incoming)

@@ -150,12 +150,11 @@ def source_adapters(spark, sf):
     return pages[0].unionByName(pages[1]).groupBy("adapter").agg(F.count("*").alias("pages"))
 
 
-@query("s10_selected_ids", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size || ',' || p_partkey ELSE '1,2' END AS ids FROM part WHERE p_size <> p_partkey OR p_size <= 25")
+@query("s10_selected_ids", "SELECT p_partkey, CASE WHEN p_size <= 25 THEN '1,2' WHEN p_size = p_partkey THEN p_size::VARCHAR ELSE p_size || ',' || p_partkey END AS ids FROM part")
 def selected_ids(spark, sf):
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     asked = F.when(F.col("p_size") > 25, F.array(F.concat(F.lit(" cwe-"), size), key, F.concat(F.lit("CWE-"), key, F.lit(" ")), F.lit(" ")))
-    rows = table(spark, sf, "part").where((F.col("p_size") != F.col("p_partkey")) | (F.col("p_size") <= 25))
-    return rows.select("p_partkey", F.array_join(feeds.selected_ids_column(asked, ("1", "2"), "CWE-"), ",").alias("ids"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(feeds.selected_ids_column(asked, ("1", "2"), "CWE-"), ",").alias("ids"))
 
 
 @query(

@@ -89,7 +89,8 @@ def upsert_stream(spark, sf):
     path = folder(spark)
     running = changes.upsert_stream(rows, path, f"{path}-checkpoint", F.date_trunc("DAY", "ts"), [("ts", "timestamp"), ("event_id", "bigint")])
     tables.run_to_end(running)
-    return spark.read.parquet(f"{path}/snapshot-0")
+    newest = max(p["batchId"] for p in running.recentProgress if p["numInputRows"])
+    return spark.read.parquet(f"{path}/snapshot-{newest}")
 
 
 @query("z04_new_pages", with_(DOCS, "SELECT kb_id, content_hash, min(document_id) AS page_id FROM docs GROUP BY kb_id, content_hash"))

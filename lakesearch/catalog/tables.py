@@ -279,11 +279,11 @@ def expand_hits(spark, sf):
 
 @query(
     "j04_document_counts",
-    "SELECT n_name AS kb_id, count(c_custkey) AS document_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_name",
+    "SELECT n_name AS kb_id, count(c_custkey) AS document_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name",
 )
 def document_counts(spark, sf):
     kbs = table(spark, sf, "nation").select(F.col("n_nationkey").alias("kb_id"), "n_name")
-    docs = table(spark, sf, "customer").where(F.col("c_acctbal") > 9000).select(F.col("c_nationkey").alias("kb_id"))
+    docs = table(spark, sf, "customer").select(F.col("c_nationkey").alias("kb_id"))
     return lookups.document_counts(kbs, docs).select(F.col("n_name").alias("kb_id"), "document_count")
 
 
@@ -494,7 +494,7 @@ def payload(spark, sf):
 @query(
     "k03_vector_check",
     with_(CHUNKS, """SELECT coalesce(c.chunk_id, v.chunk_id) AS chunk_id, v.d AS dimension, CASE WHEN v.chunk_id IS NULL THEN 'missing_vector' WHEN c.chunk_id IS NULL THEN 'unknown_chunk' ELSE 'wrong_dimension' END AS problem
-      FROM (SELECT chunk_id FROM chunks WHERE chunk_index = 0) c FULL JOIN (SELECT CASE WHEN label = 3 THEN 'x' ELSE '' END || vec_id || '-0' AS chunk_id, CASE WHEN label = 4 THEN 63 ELSE len(embedding) END AS d FROM embeddings) v USING (chunk_id)
+      FROM (SELECT chunk_id FROM chunks) c FULL JOIN (SELECT CASE WHEN label = 3 THEN 'x' ELSE '' END || vec_id || '-0' AS chunk_id, CASE WHEN label = 4 THEN 63 ELSE len(embedding) END AS d FROM embeddings) v USING (chunk_id)
       WHERE c.chunk_id IS NULL OR v.chunk_id IS NULL OR d <> 64"""),
 )
 def vector_check(spark, sf):
@@ -502,7 +502,7 @@ def vector_check(spark, sf):
         F.concat(F.when(F.col("label") == 3, "x").otherwise(""), F.concat_ws("-", "vec_id", F.lit(0))).alias("chunk_id"),
         F.when(F.col("label") == 4, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"),
     )
-    return maintenance.vector_check(chunks(spark, sf).where(F.col("chunk_index") == 0), v, 64)
+    return maintenance.vector_check(chunks(spark, sf), v, 64)
 
 
 @query("k04_delete_documents", with_(CHUNKS, "SELECT chunk_id FROM chunks WHERE status <> 'failed'"))
