@@ -26,9 +26,9 @@ HISTOGRAM_BITS = 18
 #: A group holds so many sets at most, and so many tokens unless a single set has more.
 GROUP_SETS, GROUP_TOKENS = 128, 500_000
 #: Groups that are asked together: those of so many neighbouring partitions and, in each, of so many tokens.
-BUCKET_PARTITIONS, BUCKET_TOKENS = 16, 500_000
+BUCKET_PARTITIONS, BUCKET_TOKENS = 8, 250_000
 #: Query sets that meet one copy of a bucket, and those looked up at once.
-QUERIES_PER_COPY, QUERIES_AT_ONCE = 250, 64
+QUERIES_PER_COPY, QUERIES_AT_ONCE = 1000, 64
 #: Tokens whose columns are multiplied at once, and sets a task remembers to have sent.
 MATRIX_COLUMNS, SENT_SETS = 1 << 15, 200_000
 
@@ -308,11 +308,15 @@ class _Matrix:
     def __init__(self, groups: list[dict]):
         self.groups = groups
         unions = [np.unique(np.frombuffer(g["tokens"], np.uint64)) for g in groups]
-        flat, of = np.concatenate(unions), np.repeat(np.arange(len(groups)), [len(u) for u in unions])
-        order = np.argsort(flat, kind="stable")
-        self.of = of[order]
-        self.tokens, self.first = np.unique(flat[order], return_index=True)
+        of = np.repeat(np.arange(len(groups), dtype=np.int32), [len(u) for u in unions])
+        flat = np.concatenate(unions)
+        del unions
+        order = np.argsort(flat)
+        flat, self.of = flat[order], of[order]
+        del order, of
+        self.first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
         self.last = np.append(self.first[1:], len(flat))
+        self.tokens = flat[self.first]
 
     def within(self, sets: list[np.ndarray]) -> np.ndarray:
         """Tokens that each set has in common with each group's union."""
