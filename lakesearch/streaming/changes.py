@@ -10,8 +10,9 @@ from lakesearch.operators.experience import IDENTITY
 ITEM_SCHEMA = "source_revision int, fingerprint string"
 
 
-def _start(stream: DataFrame, checkpoint: str, step) -> StreamingQuery:
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+def _start(stream: DataFrame, checkpoint: str, step, trigger: dict | None) -> StreamingQuery:
+    """``trigger``: what ``DataStreamWriter.trigger`` takes, such as {"processingTime": "1 minute"}; all that is there, once, if not given."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(step).start()
 
 
 def _before(spark: SparkSession, path: str, number: int, empty: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def _before(spark: SparkSession, path: str, number: int, empty: DataFrame) -> Da
     return spark.read.schema(empty.schema).parquet(f"{path}/snapshot-{number - 1}") if number else empty
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, bucket: Column, order: list) -> StreamingQuery:
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, bucket: Column, order: list, trigger: dict | None = None) -> StreamingQuery:
     """Apply an upsert stream to revisioned items.
 
     Batch ``n`` reads snapshot ``n - 1`` and writes its outcomes and snapshot
@@ -36,10 +37,10 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, bucket: Column,
         kept = batch.sparkSession.read.parquet(f"{path}/outcomes/batch={number}")
         experience.merged_items(stored, kept).write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
 
-    return _start(stream, checkpoint, step)
+    return _start(stream, checkpoint, step, trigger)
 
 
-def new_pages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def new_pages(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keep pages whose (collection, URL, content) was not seen in an earlier batch or this one.
 
     ``stream``: kb_id, url_hash, content_hash and payload columns with a unique page_id.
@@ -55,10 +56,10 @@ def new_pages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             once = once.join(seen, keys, "left_anti")
         once.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return _start(stream, checkpoint, step)
+    return _start(stream, checkpoint, step, trigger)
 
 
-def sync_stream(files: DataFrame, snapshot: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def sync_stream(files: DataFrame, snapshot: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Classify arriving files against the published snapshot and earlier batches.
 
     ``files``: kb_id, source_uri, content_hash. Each batch stores its actions
@@ -74,7 +75,7 @@ def sync_stream(files: DataFrame, snapshot: DataFrame, path: str, checkpoint: st
         sync.classify(batch, known).select("kb_id", "source_uri", "content_hash", "action").write.mode("overwrite").parquet(f"{path}/actions/batch={number}")
         sync.fingerprint(batch, ("kb_id",)).write.mode("overwrite").parquet(f"{path}/cursors/batch={number}")
 
-    return _start(files, checkpoint, step)
+    return _start(files, checkpoint, step, trigger)
 
 
 # Command types and envelope version that are accepted.
@@ -93,7 +94,7 @@ def decode_commands(messages: DataFrame) -> DataFrame:
     return parsed.select(*messages.columns, "m.event_id", "m.event_type", "m.aggregate_id", F.coalesce("m.payload", F.create_map().cast("map<string,string>")).alias("payload"), problem.alias("problem"))
 
 
-def route_commands(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def route_commands(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Good commands and dead letters of a message stream, both in one pass per batch."""
     def step(batch: DataFrame, number: int) -> None:
         decoded = decode_commands(batch).persist()
@@ -103,4 +104,4 @@ def route_commands(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
         finally:
             decoded.unpersist()
 
-    return _start(stream, checkpoint, step)
+    return _start(stream, checkpoint, step, trigger)
