@@ -19,9 +19,9 @@ from lakesearch.llm.words import blocks, buffers
 
 MARK = "▁"
 #: Chunks a task's table holds before it is begun anew; more distinct chunks cost time, never a result.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 150_000
 #: Bytes of text whose chunks are looked up at once.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 
 
 def chunks_are_independent(processor) -> bool:
