@@ -38,8 +38,8 @@ FENCE = frozenset("article aside div section table ul ol body html nav header fo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-UNSEEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]*+))?+""")
+NO_STYLE = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'""", re.S)
 SENTENCE = re.compile(r"[.!?…:;,]")
 
 #: Signs that an element and what stands in it belong to one kind; the first is content.
@@ -72,16 +72,42 @@ class Block:
     common: int
 
 
-def _kinds_of(tag: str, attributes: str, above: int) -> int:
+def attributes_of(raw: str) -> dict[str, str]:
+    """Values by lower-case name, character references decoded; empty without a value. The first of a name holds."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(raw):
+        if value[:1] in ('"', "'") and value[-1] == value[0] and len(value) > 1:
+            value = value[1:-1]
+        found.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
+    return found
+
+
+def _not_displayed(style: str) -> bool:
+    """Whether the display in force is none: the last declaration, an important one before others."""
+    shown, important = "", False
+    for declaration in NO_STYLE.sub(" ", style.lower()).split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        if name.strip() == "display" and (mark or not important):
+            shown, important = value.strip(), bool(mark)
+    return shown == "none"
+
+
+def unseen(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or "style" in attributes and _not_displayed(attributes["style"])
+
+
+def _kinds_of(tag: str, raw: str, above: int) -> int:
     kinds = 0
     if (k := TAGS.get(tag)) and not (k in ("header", "footer") and above & 1):
         kinds |= 1 << KINDS.index(k)
-    if attributes and not attributes.isspace():
-        for m in NAMED.finditer(attributes):
-            for word in re.split(r"[^a-z0-9]+", m[1].lower()):
+    if raw and not raw.isspace():
+        attributes = attributes_of(raw)
+        for name in ("class", "id", "role"):
+            for word in re.split(r"[^a-z0-9]+", attributes.get(name, "").lower()):
                 if k := NAME_KIND.get(word):
                     kinds |= 1 << KINDS.index(k)
-        if UNSEEN.search(attributes):
+        if unseen(attributes):
             kinds |= HIDDEN
     return kinds
 

@@ -155,6 +155,18 @@ def test_pages_without_semantic_elements():
     assert found.count("\n") == 2 and found.startswith("A heading\nThis is") and "Home" not in found and "Privacy" not in found
 
 
+@pytest.mark.parametrize("attributes", ['data-title="The hidden cost of rain"', 'aria-label="A hidden history"', "title='Our hidden gem'", 'class="prose hidden md:block"', 'alt="use aria-hidden=true or display:none"', 'style="color:red;content:\'display:none\'"', 'style="display:none;display:block"', 'data-hidden', "=hidden"])
+def test_words_in_attribute_values_hide_nothing(attributes):
+    page = f"<article><p>Before it, a line of text.</p><section {attributes}><p>This paragraph is read, as all are.</p></section></article>"
+    assert [b.text for b in html_text.blocks_of(page)] == ["Before it, a line of text.", "This paragraph is read, as all are."]
+    assert html_text.main_text(page, html_text.train([])).count("\n") == 1
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "class=a hidden", 'aria-hidden="true"', "aria-hidden = TRUE", 'style="color:red; display : none !important"', "style=display:none", 'title="a > b" hidden'])
+def test_hidden_elements_are_left_out(attributes):
+    assert [b.text for b in html_text.blocks_of(f"<article><p>Seen.</p><p {attributes}>Not seen.</p></article>")] == ["Seen."]
+
+
 def test_cut_is_minimal():
     r = random.Random(4)
     for _ in range(300):
