@@ -57,7 +57,13 @@ NAMES = {
     "notice": "notice cookie cookies consent modal popup alert share social",
 }
 NAME_KIND = {name: k for k, names in NAMES.items() for name in names.split()}
+#: Parts of a name that say where in a part of the page an element stands, and parts before a part of the page that is had elsewhere.
+PLACES = frozenset("area block body bottom box column container content inner item items left link links list main outer panel primary right secondary section slot text top unit wrap wrapper".split())
+STATES = frozenset("has hide is no not show with without".split())
+#: Tags that are boilerplate whatever share of the page stands in them, unless the article does.
+FIXED = frozenset(t for t, k in TAGS.items() if k not in ("content", "form"))
 HIDDEN = 1 << len(KINDS)
+NOISE = HIDDEN - 2
 WIDTH = len(KINDS) + 8
 
 
@@ -97,26 +103,117 @@ def unseen(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or "style" in attributes and _not_displayed(attributes["style"])
 
 
-def _kinds_of(tag: str, raw: str, above: int) -> int:
-    kinds = 0
+def kind_of_name(token: str) -> str | None:
+    """Kind of a class, id or role: of the whole name or its last part, without modifiers, numbers and places."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", token.lower().partition("--")[0]) if x]
+    kind = None
+    while parts:
+        if not (len(parts) > 1 and parts[-2] in STATES):
+            kind = NAME_KIND.get(parts[-1]) or kind
+        if parts[-1] not in PLACES and not parts[-1].isdigit():
+            break
+        parts.pop()
+    return kind
+
+
+@dataclass(slots=True)
+class Mark:
+    """An element with kinds of its own; ``above`` is the next one around it."""
+    above: int
+    kinds: int
+    tag: str
+    main: bool
+
+
+def _kinds_of(tag: str, raw: str, above: int) -> tuple[int, bool]:
+    """Kinds of an element itself, and whether it is the page's main element."""
+    kinds, main = 0, tag == "main"
     if (k := TAGS.get(tag)) and not (k in ("header", "footer") and above & 1):
         kinds |= 1 << KINDS.index(k)
     if raw and not raw.isspace():
         attributes = attributes_of(raw)
-        for name in ("class", "id", "role"):
-            for word in re.split(r"[^a-z0-9]+", attributes.get(name, "").lower()):
-                if k := NAME_KIND.get(word):
-                    kinds |= 1 << KINDS.index(k)
+        if tag not in ("html", "body"):  # their names tell of the whole page
+            for name in ("class", "id", "role"):
+                for token in attributes.get(name, "").split():
+                    if k := kind_of_name(token):
+                        kinds |= 1 << KINDS.index(k)
+            main = main or "main" in attributes.get("role", "").lower().split()
         if unseen(attributes):
             kinds |= HIDDEN
-    return kinds
+    return kinds, main
+
+
+def settle(blocks: list[Block], places: list[int], marks: list[Mark]) -> None:
+    """Sets the blocks' kinds: those of all elements around them, but no boilerplate kind of an element that wraps the page's own text.
+
+    That is the main element and what is around it. As long as no content stands outside of boilerplate, it is also what is around an
+    article and holds more text than is outside of boilerplate, then what holds more than half of the page's text.
+    """
+    n, total = len(marks), sum(len(b.text) for b in blocks)
+    own = [0] * n
+    for b, i in zip(blocks, places):
+        if i >= 0:
+            own[i] += len(b.text)
+    sizes = list(own)
+    for i in range(n - 1, -1, -1):
+        if marks[i].above >= 0:
+            sizes[marks[i].above] += sizes[i]
+
+    def free(i: int) -> None:
+        while i >= 0:
+            marks[i].kinds &= ~NOISE
+            i = marks[i].above
+
+    def around() -> tuple[list[int], list[int], bool]:
+        """Outermost boilerplate element of each mark, how many are on the way, and whether any content is outside."""
+        outer, count, inside = [], [], []
+        for i, m in enumerate(marks):
+            first, above, within = (outer[m.above], count[m.above], inside[m.above]) if m.above >= 0 else (-1, 0, False)
+            noise = bool(m.kinds & NOISE)
+            outer.append(i if noise and first < 0 else first)
+            count.append(above + noise)
+            inside.append(within or bool(m.kinds & 1))
+        return outer, count, any(inside[i] and not count[i] and own[i] for i in range(n))
+
+    if any(m.kinds & NOISE for m in marks):
+        free(max((i for i in range(n) if marks[i].main and sizes[i]), key=lambda i: sizes[i], default=-1))
+        outer, count, clean = around()
+        if not clean:
+            rest = total - sum(sizes[i] for i in range(n) if outer[i] == i)
+            nearest: dict[int, int] = {}
+            for i, m in enumerate(marks):
+                if m.tag == "article" and not m.kinds & NOISE and sizes[i] and (o := outer[i]) >= 0 and sizes[o] > rest:
+                    if o not in nearest or (count[i], -sizes[i]) < (count[nearest[o]], -sizes[nearest[o]]):
+                        nearest[o] = i
+            for i in nearest.values():
+                free(i)
+            outer, count, clean = around()
+        if not clean:
+            level, inside, wraps = [], [], []  # boilerplate elements on the way, if each of them holds the most text
+            for i, m in enumerate(marks):
+                above = level[m.above] if m.above >= 0 else 0
+                if m.kinds & NOISE:
+                    above = above + 1 if 2 * sizes[i] > total and m.tag not in FIXED and above == len(wraps) else n + 1
+                    if above <= n:
+                        wraps.append(i)
+                level.append(above)
+                inside.append(bool(m.kinds & 1) or m.above >= 0 and inside[m.above])
+            for i in wraps[: min((level[i] for i in range(n) if inside[i] and own[i]), default=n)]:
+                marks[i].kinds &= ~NOISE
+    kinds: list[int] = []
+    for m in marks:
+        kinds.append(m.kinds | (kinds[m.above] if m.above >= 0 else 0))
+    for b, i in zip(blocks, places):
+        b.kinds = kinds[i] if i >= 0 else 0
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order: character references decoded, white space single, trimmed, none empty. Hidden elements, scripts,
     styles and other elements without running text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, kinds of it and all above, number
+    stack: list[tuple[str, int, int, int]] = []  # tag, kinds of it and all above, number, mark
+    marks: list[Mark] = []
+    places: list[int] = []
     parts: list[str] = []
     linked, links, number, common, at = 0, 0, 0, 0, 0
 
@@ -127,15 +224,16 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
             kinds = stack[-1][1] if stack else 0
             if text and not kinds & HIDDEN:
-                home = next((s for s in reversed(stack) if s[0] in BLOCKS), ("", 0, -1))
+                home = next((s for s in reversed(stack) if s[0] in BLOCKS), ("", 0, -1, -1))
                 parent = next((s[2] for s in reversed(stack) if s[0] in FENCE), -1)
                 out.append(Block(text, min(linked, len(text)), home[0], kinds, len(stack), parent, min(common, len(stack))))
+                places.append(stack[-1][3] if stack else -1)
                 common = len(stack)
         linked = 0
 
     def shorten(to: int):
         nonlocal common, links
-        for tag, _, _ in stack[to:]:
+        for tag, *_ in stack[to:]:
             links -= tag == "a"
         del stack[to:]
         common = min(common, to)
@@ -182,12 +280,17 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if len(stack) >= DEEPEST or tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
-        above = stack[-1][1] if stack else 0
+        above, mark = (stack[-1][1], stack[-1][3]) if stack else (0, -1)
         number += 1
-        stack.append((tag, above | _kinds_of(tag, m[3], above), number))
+        kinds, main = _kinds_of(tag, m[3], above)
+        if kinds:
+            marks.append(Mark(mark, kinds, tag, main))
+            mark = len(marks) - 1
+        stack.append((tag, above | kinds, number, mark))
         links += tag == "a"
     add(page[done:])
     flush()
+    settle(out, places, marks)
     return out
 
 

@@ -167,6 +167,32 @@ def test_hidden_elements_are_left_out(attributes):
     assert [b.text for b in html_text.blocks_of(f"<article><p>Seen.</p><p {attributes}>Not seen.</p></article>")] == ["Seen."]
 
 
+LINE = "This is a paragraph of running text, with some punctuation. It has more than one sentence, too."
+ARTICLE = f"<article><h1>A heading</h1><p>{LINE}</p><p>{LINE}</p></article>"
+COMMENTS = f'<section id="comments"><article id="comment-1"><p>{LINE}</p></article>' + f'<article class="comment"><p>{LINE * 4}</p></article>' * 5 + "</section>"
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ('<body class="home has-sidebar comments-open">', "</body>"), ('<html id="menu"><body id="footer">', "</body></html>"), ('<div class="content-with-sidebar">', "</div>"), ('<div class="content-sidebar-wrap">', "</div>"),
+        ('<form id="form1">', "</form>"), ('<div class="sidebar"><div class="layout comments">', f"</div></div>{COMMENTS}"), ('<div class="layout sidebar"><div class="ad">Buy it, now.</div>', f"{COMMENTS}</div>"), ('<main class="sidebar">', f"</main>{COMMENTS}"),
+        ('<header><div role="main">', "</div></header>"), ("", COMMENTS), ("", f'<aside><article><p>{LINE * 9}</p></article></aside><div class="sidebar-content"><p>{LINE}</p></div>'),
+    ],
+)
+def test_names_of_wrappers_condemn_no_article(start, end):
+    weights = html_text.train([])
+    assert html_text.main_text(f'<div class="cookie-notice">We use cookies, as all do.</div>{start}{ARTICLE}{end}', weights) == f"A heading\n{LINE}\n{LINE}"
+
+
+def test_wrappers_without_an_article():
+    weights = html_text.train([])
+    page = f'<div class="no-sidebar">{{}}<p>{LINE}</p><p>{LINE}</p></div><div class="sidebar"><p>{LINE}</p></div>'
+    assert html_text.main_text(page.format(""), weights) == f"{LINE}\n{LINE}"
+    assert html_text.main_text(f'<div class="layout sidebar">{page.format("")}</div>', weights) == f"{LINE}\n{LINE}"
+    assert html_text.main_text(f"<nav>{page.format('')}</nav><p>{LINE}</p>", weights) == LINE
+
+
 def test_cut_is_minimal():
     r = random.Random(4)
     for _ in range(300):
