@@ -31,7 +31,8 @@ DEEPEST = 512
 # Fixed values of the format.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg select button object audio video canvas math head".split())
+RAW = frozenset("script style title textarea iframe template select button head".split())
+SPACED = frozenset("annotation br desc mi mn mo ms mtext text".split())
 TO_END = frozenset("script style title textarea".split())
 CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 FENCE = frozenset("article aside div section table ul ol body html nav header footer main form td th blockquote".split())
@@ -209,7 +210,7 @@ def settle(blocks: list[Block], places: list[int], marks: list[Mark]) -> None:
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order: character references decoded, white space single, trimmed, none empty. Hidden elements, scripts,
-    styles and other elements without running text are left out."""
+    styles, frames, templates and form controls are left out."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int]] = []  # tag, kinds of it and all above, number, mark
     marks: list[Mark] = []
@@ -263,7 +264,7 @@ def blocks_of(page: str) -> list[Block]:
                     shorten(k)
                     break
             continue
-        if tag == "br":
+        if tag in SPACED:
             parts.append(" ")
         if tag in BLOCKS:
             flush()

@@ -193,6 +193,18 @@ def test_wrappers_without_an_article():
     assert html_text.main_text(f"<nav>{page.format('')}</nav><p>{LINE}</p>", weights) == LINE
 
 
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<math><mfrac><mn>1</mn><mi>x</mi></mfrac></math>", "1 x"), ("<noscript>only here</noscript>", "only here"), ("<object data=a><b>in</b> words<param name=b></object>", "in words"),
+        ("<svg><title>no</title><style>no</style><path d=m /><text>A</text><text>B</text></svg>", "A B"), ("<video src=a><track src=b>a film</video>", "a film"), ("<audio>a sound</audio>", "a sound"), ("<canvas>a chart</canvas>", "a chart"),
+    ],
+)
+def test_all_text_of_an_article_is_read(inner, text):
+    page = f"<article><p>Before it, {inner} and after it, as said.</p><p>Then {inner}</p><script>no</script><select><option>no</select><button>no</button><iframe>no</iframe></article>"
+    assert html_text.main_text(page, html_text.train([])) == f"Before it, {text} and after it, as said.\nThen {text}"
+
+
 def test_cut_is_minimal():
     r = random.Random(4)
     for _ in range(300):
