@@ -25,8 +25,6 @@ from lakesearch.llm.rows import small_batches
 TRAIN_PAGES, TRAIN_CHARACTERS = 1500, 200_000
 #: Strength of the edges between neighbours and between blocks of one parent.
 NEIGHBOUR, SIBLING = 1.5, 1.0
-#: Open elements that are told apart, as in browsers; deeper ones belong to the last of these.
-DEEPEST = 512
 
 # Fixed values of the format.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -35,6 +33,7 @@ RAW = frozenset("script style title textarea iframe template select button head"
 SPACED = frozenset("annotation br desc mi mn mo ms mtext text".split())
 TO_END = frozenset("script style title textarea".split())
 CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
+CLOSED_BY = {tag: [t for t, by in CLOSES.items() if tag in by] for tag in BLOCKS}
 FENCE = frozenset("article aside div section table ul ol body html nav header footer main form td th blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -213,6 +212,9 @@ def blocks_of(page: str) -> list[Block]:
     styles, frames, templates and form controls are left out."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int]] = []  # tag, kinds of it and all above, number, mark
+    at_tag: dict[str, list[int]] = {}  # positions in the stack by tag, of blocks and of fences
+    at_block: list[int] = []
+    at_fence: list[int] = []
     marks: list[Mark] = []
     places: list[int] = []
     parts: list[str] = []
@@ -225,9 +227,9 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
             kinds = stack[-1][1] if stack else 0
             if text and not kinds & HIDDEN:
-                home = next((s for s in reversed(stack) if s[0] in BLOCKS), ("", 0, -1, -1))
-                parent = next((s[2] for s in reversed(stack) if s[0] in FENCE), -1)
-                out.append(Block(text, min(linked, len(text)), home[0], kinds, len(stack), parent, min(common, len(stack))))
+                home = stack[at_block[-1]][0] if at_block else ""
+                parent = stack[at_fence[-1]][2] if at_fence else -1
+                out.append(Block(text, min(linked, len(text)), home, kinds, len(stack), parent, min(common, len(stack))))
                 places.append(stack[-1][3] if stack else -1)
                 common = len(stack)
         linked = 0
@@ -236,6 +238,11 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal common, links
         for tag, *_ in stack[to:]:
             links -= tag == "a"
+            at_tag[tag].pop()
+            if tag in BLOCKS:
+                at_block.pop()
+            if tag in FENCE:
+                at_fence.pop()
         del stack[to:]
         common = min(common, to)
 
@@ -259,27 +266,22 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    shorten(k)
-                    break
+            if at_tag.get(tag):
+                shorten(at_tag[tag][-1])
             continue
         if tag in SPACED:
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            for k in range(len(stack) - 1, -1, -1):  # an open element that this one ends
-                if stack[k][0] in CLOSES and tag in CLOSES[stack[k][0]]:
-                    shorten(k)
-                    break
-                if stack[k][0] in FENCE:
-                    break
+            k = max((at_tag[t][-1] for t in CLOSED_BY[tag] if at_tag.get(t)), default=-1)  # an open element that this one ends
+            if k >= (at_fence[-1] if at_fence else 0):
+                shorten(k)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
             if end or tag in TO_END:
                 at = done = end.end() if end else len(page)
             continue
-        if len(stack) >= DEEPEST or tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
         above, mark = (stack[-1][1], stack[-1][3]) if stack else (0, -1)
         number += 1
@@ -287,6 +289,11 @@ def blocks_of(page: str) -> list[Block]:
         if kinds:
             marks.append(Mark(mark, kinds, tag, main))
             mark = len(marks) - 1
+        at_tag.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            at_block.append(len(stack))
+        if tag in FENCE:
+            at_fence.append(len(stack))
         stack.append((tag, above | kinds, number, mark))
         links += tag == "a"
     add(page[done:])

@@ -205,6 +205,14 @@ def test_all_text_of_an_article_is_read(inner, text):
     assert html_text.main_text(page, html_text.train([])) == f"Before it, {text} and after it, as said.\nThen {text}"
 
 
+@pytest.mark.parametrize("deep", [10, 600, 20_000])
+def test_deeply_nested_elements_keep_their_kinds_and_ends(deep):
+    inner = '<p hidden>not seen</p><nav><a href=1>One, two.</a></nav><p>Deep line.'
+    blocks = html_text.blocks_of(f"<article><div>{'<div>' * deep}{inner}{'</div>' * deep}<p>Still here.</p></div><p>In the article.</p></article><p>Outside.</p>")
+    assert [(b.text, b.kinds, b.linked > 0, b.tag) for b in blocks] == [("One, two.", 3, True, "nav"), ("Deep line.", 1, False, "p"), ("Still here.", 1, False, "p"), ("In the article.", 1, False, "p"), ("Outside.", 0, False, "p")]
+    assert blocks[2].parent != blocks[3].parent != blocks[4].parent and blocks[1].depth == deep + 3
+
+
 def test_cut_is_minimal():
     r = random.Random(4)
     for _ in range(300):
