@@ -5,7 +5,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from lakesearch.catalog.bindings import CHUNKS, QUERIES_CTE, chunks, documents, with_
+from lakesearch.catalog.bindings import CHUNKS, QUERIES_CTE, chunks, documents, table, with_
 from lakesearch.catalog.registry import query
 from lakesearch.catalog.retrieval import (
     INDEX, PHRASES, chunk_entities, chunk_vectors, index, queries, query_vectors, scores_sql, stored,
@@ -124,6 +124,43 @@ def filtered_search(spark, sf):
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+# Rewrites: the passage's first sentence and an identifier for the words, another passage's vector for the vectors.
+VARIANTS = HYBRID[: HYBRID.index("kw_scores AS")] + """rv AS (SELECT '0:' || query_id AS query_id, query_id AS asked, 0 AS variant, has_ids AS own, cwe, kb_id, query, has_ids, cve, pool FROM req
+  UNION ALL SELECT '1:' || r.query_id, r.query_id, 1, false, NULL, kb_id, trim(split_part(q.query, '.', 1)), has_ids, cve, pool FROM req r JOIN queries q ON q.query_id = r.base WHERE trim(split_part(q.query, '.', 1)) <> ''
+  UNION ALL SELECT '2:' || query_id, query_id, 2, true, NULL, kb_id, cve, has_ids, cve, pool FROM req),
+""" + scores_sql("rv", "rv", True) + """,
+rv_boosts AS (SELECT v.query_id, e.chunk_id, (CASE WHEN e1 = cve THEN 100 ELSE 0 END) + 60 AS own_boost FROM rv v JOIN ents e ON e.kb_id = v.kb_id AND (e1 = cve OR e2 = cwe) WHERE own),
+rv_scores AS (SELECT query_id, s.chunk_id, v.asked, v.variant, v.pool, round(CASE WHEN own THEN coalesce(own_boost, 0) + 5 * coalesce(title_score, 0) + coalesce(text_score, 0) ELSE greatest(3 * title_score, text_score) END, 6) AS score
+  FROM (SELECT * FROM rv_fields FULL JOIN rv_boosts USING (query_id, chunk_id)) s JOIN rv v USING (query_id) LEFT JOIN matched m ON m.query_id = v.asked AND m.chunk_id = s.chunk_id WHERE NOT v.has_ids OR m.boost IS NOT NULL),
+rw_scores AS (SELECT r.query_id AS asked, variant, c.vec_id || '-0' AS chunk_id, pool, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+  FROM (SELECT req.*, v AS variant, base + v AS vec FROM req, (SELECT unnest([0, 1]) AS v)) r JOIN embeddings q ON q.vec_id = r.vec, embeddings c JOIN documents d ON d.doc_id = c.vec_id
+  WHERE d.lang = r.kb_id AND (NOT has_ids OR (c.vec_id || '-0') IN (SELECT m.chunk_id FROM matched m WHERE m.query_id = r.query_id))),
+""" + ",\n".join(
+    f"""{side}_best AS (SELECT asked AS query_id, chunk_id, max(score) AS score, min(variant * 1000 + rank) AS seen, any_value(pool) AS pool
+  FROM (SELECT *, row_number() OVER (PARTITION BY asked, variant ORDER BY score DESC, chunk_id) AS rank FROM {scores}) WHERE rank <= pool GROUP BY asked, chunk_id),
+{side} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM {side}_best) WHERE rank <= pool)"""
+    for side, scores in (("kw", "rv_scores"), ("ve", "rw_scores"))
+) + ",\n" + HYBRID[HYBRID.index("fused AS") :]
+
+
+def rewritten(spark, sf):
+    first = queries(spark, sf).select(F.col("query_id").alias("base_id"), F.split_part("query", F.lit("."), F.lit(1)).alias("first"))
+    other = table(spark, sf, "embeddings").select((F.col("vec_id") - 1).alias("base_id"), F.col("embedding").alias("other"))
+    asked = requests(spark, sf).join(first, "base_id").join(other, "base_id", "left")
+    identifier = F.concat(F.lit("CVE-2024-"), (F.col("base_id") + 1000).cast("string"))
+    again = F.struct(F.lit("another passage").alias("query"), F.col("other").alias("embedding"))
+    return asked.withColumns({"keyword_queries": F.array("first", F.concat(F.lit(" "), "first"), F.lit(""), identifier), "semantic_queries": F.array(again)}).drop("first", "other")
+
+
+@query(
+    "r21_variants",
+    with_(CHUNKS, QUERIES_CTE, REQUESTS, INDEX, VARIANTS, "SELECT query_id, chunk_id, final_rank AS rank, round(score, 6) AS score, vector_score, keyword_score FROM results"),
+)
+def variants_search(spark, sf):
+    hits = search.hybrid_search(rewritten(spark, sf), tables(spark, sf), OPTIONS)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "vector_score", "keyword_score")
+
+
 @query(
     "p15_answer_rows",
     with_(*SEARCH, """SELECT query_id, final_rank AS rank, r.chunk_id, md5(c.text) AS text_hash, c.source_uri, c.original_filename, c.chunk_index, expanded
@@ -210,6 +247,35 @@ def scope_search(spark, sf):
     return hits.select("query_id", "rank", "kb_id", "chunk_id", F.round("score", 6).alias("score"), F.md5("snippet").alias("snippet_hash"))
 
 
+# Requests for 12 hits; a collection gives 12 of them in one scope and 30 in the other. Only sources of even documents that are ready are visible.
+LIMITED_REQUESTS = REQUESTS.replace("req AS (", "each AS (", 1) + """,
+req AS (SELECT query_id || '@' || scope AS query_id, base, base || '@' || scope AS asked, kb_id, has_ids, p, cve, cwe, query, pool, least(greatest(12, most), 100) AS top_k, per_doc,
+    greatest(rerank_k, least(greatest(12, most), 100)) AS rerank_k, radius
+  FROM each JOIN (SELECT base, scope, kb_id, CASE scope WHEN 'latin' THEN 30 ELSE 10 END AS most FROM bound) USING (base, kb_id))"""
+VISIBLE = FEDERATED.replace("r.base = b.base", "r.asked = b.query_id").replace("FROM chunks) USING (chunk_id) GROUP BY", "FROM chunks WHERE document_id % 2 = 0 AND status = 'ready') USING (chunk_id) GROUP BY")
+
+
+def limited_hits(spark, sf):
+    bounds = scopes(spark, sf).withColumn("collection_limit", F.when(F.col("scope") == "latin", 30).otherwise(10))
+    asked = queries(spark, sf).select(F.col("query_id").alias("base_id"), F.explode(F.array(F.lit("world"), F.lit("latin"))).alias("scope"), F.lit(12).alias("limit"))
+    bound = federate.collection_requests(asked.withColumn("asked_id", F.concat_ws("@", F.col("base_id").cast("string"), "scope")), bounds)
+    each = planning.with_budget(requests(spark, sf).select("base_id", "kb_id", "query", "embedding", "mode").join(bound, ["base_id", "kb_id"]))
+    each = each.withColumn("query_id", F.concat_ws(":", "asked_id", "kb_id"))
+    found = search.hybrid_search(each, tables(spark, sf), OPTIONS).select("query_id", "chunk_id", "rank")
+    return found.join(each.select("query_id", "asked_id", "kb_id", "kb_position"), "query_id").withColumn("query_id", F.col("asked_id")).drop("asked_id")
+
+
+@query(
+    "r24_scope_limits",
+    with_(CHUNKS, QUERIES_CTE, SCOPES, BOUND, LIMITED_REQUESTS, INDEX, scores_sql("req", "rq", True), HYBRID, VISIBLE,
+          "SELECT query_id, rank, kb_id, chunk_id, round(score, 6) AS score FROM scope_final WHERE rank <= 12"),
+)
+def scope_limits(spark, sf):
+    sources = chunks(spark, sf).select("kb_id", "chunk_id", "document_id", "chunk_index", "content_hash", "text", "status")
+    visible = (F.col("document_id") % 2 == 0) & (F.col("status") == "ready")
+    return federate.scope_search(limited_hits(spark, sf), sources, 12, visible).select("query_id", "rank", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 # State of each collection per request: a collection without a hit counts as failed for queries
 # that name identifiers; its coverage and degraded parts follow from its name and mode.
 STATUS = """fstat1 AS (SELECT b.query_id, b.kb_id, b.kb_position, r.has_ids, r.p, count(x.chunk_id) AS n

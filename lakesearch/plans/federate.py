@@ -28,6 +28,15 @@ def collection_limit(limit: Column, scope_limit: Column) -> Column:
     return F.least(F.greatest(limit, scope_limit), F.lit(MAX_COLLECTION_LIMIT))
 
 
+def collection_requests(requests: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``expand_scope`` with asked_top_k, the hits each collection is asked for (see ``planning.with_budget``).
+
+    ``requests`` with limit, ``scopes`` with collection_limit.
+    """
+    limits = scopes.select("scope", F.col("collection_limit").alias("_most"))
+    return expand_scope(requests, scopes).join(limits, "scope").withColumn("asked_top_k", collection_limit(F.col("limit"), F.col("_most"))).drop("_most")
+
+
 def rank_scope_hits(hits: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion over collections by (collection, chunk).
 

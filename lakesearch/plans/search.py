@@ -51,15 +51,36 @@ def largest_budget(queries: DataFrame) -> int:
     return queries.agg(F.max(F.greatest("vector_top_k", "keyword_top_k"))).first()[0] or 1
 
 
+def _variants(queries: DataFrame, texts: Column) -> DataFrame:
+    """The queries' different variants, each asked under a key of its own: the query itself, then ``texts``. The identifiers wanted stay the query's."""
+    found = fusion.distinct_variants(queries.withColumn("_texts", F.concat(F.array("query"), F.coalesce(texts, F.array().cast("array<string>")))), "_texts")
+    return found.withColumns({"_of": F.col("query_id"), "query": F.col("variant_query"), "query_id": F.concat_ws(":", F.col("variant").cast("string"), F.col("query_id").cast("string"))})
+
+
+def _merged(hits: DataFrame, variants: DataFrame, queries: DataFrame, budget: str, largest: int) -> DataFrame:
+    """Hits of the variants as hits of their queries."""
+    of = variants.select(F.col("query_id").alias("_key"), F.col("_of").alias("query_id"), "variant", "variant_query")
+    flat = hits.select(F.col("query_id").alias("_key"), "chunk_id", "score", "rank").join(of, "_key").drop("_key")
+    merged = fusion.merge_variants(flat, largest).drop("matched")
+    return merged.join(queries.select("query_id", budget), "query_id").where(F.col("rank") <= F.col(budget))
+
+
 def keyword_side(queries: DataFrame, tables: SearchTables, exact: bool, largest: int, allowed_chunks: DataFrame | None = None) -> DataFrame:
-    """Keyword hits; queries naming identifiers meet only chunks that carry one when ``exact``."""
+    """Keyword hits; queries naming identifiers meet only chunks that carry one when ``exact``. ``keyword_queries`` are merged in."""
+    if "keyword_queries" in queries.columns:
+        variants = _variants(queries, F.col("keyword_queries")).drop("keyword_queries")
+        return _merged(keyword_side(variants, tables, exact, largest, allowed_chunks), variants, queries, "keyword_top_k", largest)
     named = queries.where(F.size("wanted_ids") > 0)
     plain = queries.where(F.size("wanted_ids") == 0)
     entities = _entities(tables.chunks)
     allowed = filters.entity_candidates(named, entities) if exact else None
-    scores = keyword.bm25(plain.select("query_id", "kb_id", "query"), tables.index).unionByName(
+    own = F.size(entity_ids(F.col("query"))) > 0  # variants may name identifiers that their query doesn't
+    varied = "variant" in queries.columns
+    scores = keyword.bm25((plain.where(~own) if varied else plain).select("query_id", "kb_id", "query"), tables.index).unionByName(
         keyword.bm25_with_identifiers(named.select("query_id", "kb_id", "query"), tables.index, entities, allowed)
     )
+    if varied:
+        scores = scores.unionByName(keyword.bm25_with_identifiers(plain.where(own).select("query_id", "kb_id", "query"), tables.index, entities))
     if allowed_chunks is not None:
         scores = scores.join(allowed_chunks, "chunk_id", "left_semi")
     order = [F.desc("score"), F.col("chunk_id")]
@@ -68,7 +89,14 @@ def keyword_side(queries: DataFrame, tables: SearchTables, exact: bool, largest:
 
 
 def vector_side(queries: DataFrame, tables: SearchTables, exact: bool, largest: int, allowed_chunks: DataFrame | None = None) -> DataFrame:
-    """Vector hits of queries with an ``embedding``, under the same restriction."""
+    """Vector hits of queries with an ``embedding``, under the same restriction. ``semantic_queries`` are merged in."""
+    if "semantic_queries" in queries.columns:
+        given = F.col("semantic_queries")
+        variants = _variants(queries.withColumn("_query", F.trim("query")), F.transform(given, lambda v: v["query"]))
+        same = F.filter(given, lambda v: F.trim(v["query"]) == F.col("variant_query"))
+        rewritten = F.try_element_at(same, F.lit(1))["embedding"]
+        variants = variants.withColumn("embedding", F.when(F.col("variant_query") == F.col("_query"), F.col("embedding")).otherwise(rewritten)).drop("semantic_queries", "_query")
+        return _merged(vector_side(variants, tables, exact, largest, allowed_chunks), variants, queries, "vector_top_k", largest)
     asked = queries.where(F.col("embedding").isNotNull())
     open_queries = asked.where(F.size("wanted_ids") == 0) if exact else asked
     order = [F.desc("score"), F.col("chunk_id")]
@@ -90,7 +118,9 @@ def hybrid_search(queries: DataFrame, tables: SearchTables, options: SearchOptio
     """Ranked hits of every query.
 
     ``queries``: query_id, kb_id, query, embedding (null without a vector) and
-    the budget columns of ``planning.with_budget``. Only ids, positions and scores
+    the budget columns of ``planning.with_budget``; optional keyword_queries (array of
+    texts) and semantic_queries (array of query, embedding) are rewrites that each side
+    searches besides the query. Only ids, positions and scores
     travel through fusion, gate and quota; join ``answer_rows`` for the texts.
     """
     if not (options.enable_vector or options.enable_keyword):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.functions.entities import entity_fields, entity_ids
 from lakesearch.operators import filters, fusion, gate, keyword, neighbours, planning, ranking, vectors
+from lakesearch.plans import federate
 
 
 def hits(spark, rows):
@@ -164,3 +165,11 @@ def test_filters(spark):
     assert ids({"kb_id": "k"}) == [1, 2]
     assert ids(filters.scoped({"kb_id": "x", "metadata": {"a": "b"}}, "k", ["CVE-1"])) == [1]
     assert ids(None) == [1, 2, 3]
+
+
+def test_scope_requests_ask_each_collection_for_enough(spark):
+    requests = spark.createDataFrame([(1, "a", 12), (2, "a", 40), (3, "b", 10)], "query_id int, scope string, limit int")
+    scopes = spark.createDataFrame([("a", ["x", "y"], 30), ("b", ["x"], 500)], "scope string, kb_ids array<string>, collection_limit int")
+    asked = planning.with_budget(federate.collection_requests(requests, scopes).withColumn("mode", F.lit("focused"))).collect()
+    assert sorted((r.query_id, r.kb_id, r.top_k) for r in asked) == [(1, "x", 30), (1, "y", 30), (2, "x", 40), (2, "y", 40), (3, "x", 100)]
+    assert all(r.rerank_candidate_top_k >= r.top_k for r in asked)
