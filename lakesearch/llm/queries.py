@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakesearch.llm import exact_dedup, html_text, mixing, ngram_join, sentencepiece, substring_dedup, toxicity, url_filter, vector_search, warc
+from lakesearch.llm import collocations, decontamination, exact_dedup, html_text, mixing, ngram_join, sentencepiece, spelling, substring_dedup, toxicity, url_filter, vector_search, warc
 from lakesearch.llm.rows import shared_dir
 from lakesearch.llm.catalog import QUERIES, SQL, query, table
 
@@ -188,3 +188,77 @@ def op8_url_filter(spark, sf_dir):
 def op5_html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, w[i:i + size - 1] AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 6) AS s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+o AS (SELECT lang, phrase, max(a) AS over FROM (SELECT lang, phrase[1:size - 1] AS phrase, a FROM f WHERE size > 2 UNION ALL SELECT lang, phrase[2:size], a FROM f WHERE size > 2) GROUP BY ALL),
+c AS (SELECT f.lang, f.phrase, f.a, f.size, unnest(range(1, f.size)) AS k FROM f LEFT JOIN o ON f.lang = o.lang AND f.phrase = o.phrase WHERE f.size > 1 AND (o.over IS NULL OR 100 * o.over < 100 * f.a)),
+s AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n.n, k, ((1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM c JOIN f x ON c.lang = x.lang AND x.phrase = c.phrase[1:k] JOIN f y ON c.lang = y.lang AND y.phrase = c.phrase[k + 1:c.size] JOIN n ON c.lang = n.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+t AS (SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM b)
+SELECT lang, (row_number() OVER v)::BIGINT AS rank, phrase, a, l, r, n, score FROM t
+WINDOW v AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER v <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark, sf_dir):
+    found = collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=100, longest=5, most=2000)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+OP12_SQL = r"""
+WITH i AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, w[p:p + 9] AS run FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+r AS (SELECT row, p, size, w[p:p + size - 1] AS run FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM v) WHERE len(w) >= size)),
+h AS (SELECT r.row, r.p, r.size, v.item_id FROM r JOIN v ON r.size = v.size AND r.run = v.run),
+c AS (SELECT row, count(DISTINCT x) AS n_hit FROM (SELECT row, unnest(range(p, p + size)) AS x FROM h) GROUP BY row),
+k AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row, item_id FROM h) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.row = c.row LEFT JOIN k ON d.row = k.row
+"""
+
+
+@query("op12_decontamination", OP12_SQL)
+def op12_decontamination(spark, sf_dir):
+    found = decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+# crc32 from its rule, byte by byte; near pairs by the words that are left when one code point is deleted from each or from one.
+OP13_SQL = r"""
+WITH RECURSIVE z(k, c, i) AS (SELECT range::UBIGINT, range::UBIGINT, 0 FROM range(256) UNION ALL
+  SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i + 1 FROM z WHERE i < 8),
+tab AS (SELECT list(c ORDER BY k) AS t FROM z WHERE i = 8),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || w AS s FROM o WHERE length(w) >= 7 GROUP BY doc_id, w),
+y AS (SELECT doc_id, w, n, flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END FOR x IN string_split(s, '')]) AS bytes FROM u),
+h AS (SELECT w, n, xor(list_reduce([x::UBIGINT FOR x IN bytes], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM y, tab),
+r AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+b AS (SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+      UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.cut = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.cut = v.word),
+p AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS best, max(m) AS best_n FROM b GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN p ON v.word = p.word),
+e(word, root, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT e.word, f.form, depth + 1 FROM e JOIN f ON e.root = f.word AND f.form IS NOT NULL)
+SELECT f.word, f.form, q.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM e GROUP BY word) q ON f.word = q.word
+"""
+
+
+@query("op13_spelling", OP13_SQL)
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
