@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.catalog.bindings import CHUNKS, QUERIES_CTE, chunks, documents, queries, table, with_
 from lakesearch.catalog.registry import query
-from lakesearch.operators import fusion, gate, keyword, planning, ranking, vectors
+from lakesearch.operators import fusion, gate, keyword, planning, ranking, vector_index, vectors
 from lakesearch.session import materialise, shared_dir
 
 # SQL twin of the keyword index and BM25 scores for a CTE ``req`` (query_id, query[, kb_id]).
@@ -204,11 +204,27 @@ def vector_topk(spark, sf):
     return vectors.vector_topk(query_vectors(spark, sf), chunk_vectors(spark, sf), 10).select("query_id", "rank", "chunk_id", "score")
 
 
+def near_index(spark, sf):
+    """The inverted file of all chunk vectors, fitted and stored once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf, "near-index")
+    if key not in _STORED:
+        _STORED[key] = vector_index.build(chunk_vectors(spark, sf))
+    return _STORED[key]
+
+
 @query("r02_vector_candidates")
 def vector_candidates(spark, sf):
-    asked, stored = query_vectors(spark, sf), chunk_vectors(spark, sf)
-    near = vectors.approximate_candidates(asked, stored, 10)
-    return vectors.recall(near, vectors.vector_topk(asked, stored, 10))
+    return vector_index.search(query_vectors(spark, sf), near_index(spark, sf), 10).select("query_id", "rank", "chunk_id", "score")
+
+
+@query("r02_vector_recall")
+def vector_recall(spark, sf):
+    """Share of the exact hits found, and of all vectors whose codes, and whose exact vectors, are looked at."""
+    asked, index = query_vectors(spark, sf), near_index(spark, sf)
+    found = vectors.recall(vector_index.search(asked, index, 10), vectors.vector_topk(asked, chunk_vectors(spark, sf), 10))
+    share = lambda c: F.round(F.col(c) / F.col("vectors"), 6)
+    cost = vector_index.work(asked, index, 10).select("query_id", share("scanned").alias("scanned_share"), share("rescored").alias("rescored_share"))
+    return found.join(cost, "query_id")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Exact and approximate nearest vectors by cosine."""
+"""Exact nearest vectors by cosine, and what an approximate search finds of them."""
 
 from collections.abc import Iterator
 
@@ -104,26 +104,6 @@ def _block_join(queries, corpus, k, schema, by_kb, size, rows_per_block: int = 4
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, schema)
 
 
-def approximate_candidates(queries: DataFrame, vectors: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 8, max_distance: float = 2.0) -> DataFrame:
-    """Nearest candidates from random-projection buckets, rescored exactly.
-
-    Only vectors sharing a bucket with a query are compared, so the work follows
-    the bucket sizes of the queries, not queries times vectors.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    as_unit = lambda df: Normalizer(inputCol="raw", outputCol="v").transform(
-        df.withColumn("raw", array_to_vector(F.col("embedding").cast("array<double>")))
-    ).drop("raw", "embedding")
-    corpus, asked = as_unit(vectors.select("chunk_id", "embedding")), as_unit(queries.select("query_id", "embedding"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(corpus)
-    pairs = model.approxSimilarityJoin(corpus, asked, max_distance, "distance")
-    cosine = F.round(1 - F.col("distance") * F.col("distance") / 2, 6)
-    scored = pairs.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), cosine.alias("score"))
-    return top_k(scored, k, [F.desc("score"), F.col("chunk_id")])
-
-
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits the approximate hits contain, per query."""
     found = approximate.select("query_id", "chunk_id", F.lit(1).alias("hit"))
