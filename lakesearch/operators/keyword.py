@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.functions.entities import entity_ids
 from lakesearch.functions.tokens import offline_keyword_score, score_of_hits, tokens
+from lakesearch.operators.containment import contained
 from lakesearch.operators.ranking import top_k
 from lakesearch.session import broadcast_within, materialise
 
@@ -227,44 +228,42 @@ def offline_scores(pairs: DataFrame, priority: Column | None = None) -> DataFram
     return pairs.withColumn("score", F.round(score, 6)).where(F.col("score") > 0)
 
 
-def word_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def _pieces(text: Column) -> Column:
+    """Distinct blank-separated pieces, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
+
+
+def chunk_pieces(chunks: DataFrame) -> DataFrame:
+    """chunk_id, kb_id, piece: one row a distinct piece of a chunk."""
+    rows = chunks.select("chunk_id", "kb_id", "text").repartition("chunk_id")
+    return rows.select("chunk_id", "kb_id", F.explode(_pieces(F.col("text"))).alias("piece"))
+
+
+def word_hits(queries: DataFrame, chunks: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     """How many different words of a query occur in a chunk, also inside longer words.
 
     A word has no blanks, so it occurs in a text exactly when it occurs inside
-    one of the text's blank-separated pieces. Words therefore meet the
-    vocabulary of pieces (through a shared character gram), and the pieces lead
-    to the chunks: equality joins only.
+    one of the text's blank-separated pieces. Words are therefore looked for in
+    the vocabulary of pieces, all at once, and the pieces lead to the chunks.
+    ``pieces``: what ``chunk_pieces`` makes of the chunks, when it is stored.
     """
-    pieces = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != ""))
-    asked = queries.select("query_id", "kb_id", F.explode(pieces(F.col("query"))).alias("word"))
-    held = (
-        chunks.select("chunk_id", "kb_id", "text").repartition("chunk_id")
-        .select("chunk_id", "kb_id", F.explode(pieces(F.col("text"))).alias("piece"))
-    )
-    gram = F.substring("word", 1, 3)
-    words = asked.select("word", gram.alias("gram")).distinct()
-    starts = F.sequence(F.lit(1), F.length("piece"))
-    grams = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(starts, lambda i: F.substring("piece", i, n)))))
-    # A word has one gram and a piece lists a gram once, so no pair appears twice.
-    vocabulary = held.select("piece").distinct()
-    inside = (
-        vocabulary.select("piece", F.explode(grams).alias("gram")).join(words, "gram")
-        .where(F.contains("piece", "word")).select("piece", "word")
-    )
+    held = chunk_pieces(chunks) if pieces is None else pieces
+    asked = queries.select("query_id", "kb_id", F.explode(_pieces(F.col("query"))).alias("word"))
+    inside = contained(asked.select("word"), held.select("piece").distinct(), "word", "piece", ["piece"])
     # A chunk's words are made distinct before they fan out to the queries that ask for them.
     words_of = inside.groupBy("piece").agg(F.collect_list("word").alias("words"))
     found = held.join(words_of, "piece").select("chunk_id", "kb_id", F.explode("words").alias("word")).groupBy("chunk_id", "kb_id", "word").agg(F.lit(1).alias("one"))
     return found.join(asked, ["kb_id", "word"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
 
 
-def offline_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def offline_topk(queries: DataFrame, chunks: DataFrame, k: int, pieces: DataFrame | None = None) -> DataFrame:
     """Repeatable keyword hits without an index.
 
     A pair with h word hits scores between 0.3 h + 0.1 and 0.3 h + 0.595, so a
     pair two hits below the k-th best cannot enter the result; only the others
     are hashed.
     """
-    hits = materialise(word_hits(queries, chunks), "word-hits")
+    hits = materialise(word_hits(queries, chunks, pieces), "word-hits")
     kth = top_k(hits, k, [F.desc("hits")]).groupBy("query_id").agg(F.min("hits").alias("kth"))
     pairs = (
         hits.join(kth, "query_id").where(F.col("hits") >= F.col("kth") - 1).select("query_id", "chunk_id", "hits")

@@ -3,50 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesearch.functions.tokens import tokens
-
-_SHINGLE = 5
-
-
-def _shingles(words: str, n: int) -> Column:
-    """Hashes of all runs of ``n`` words of a word-array column."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
-
-
-def _grams(text: Column, n: int) -> Column:
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(n)))))
-
+from lakesearch.operators.containment import contained
 
 def containing_documents(passages: DataFrame, docs: DataFrame, passage_key: str, doc_key: str) -> DataFrame:
-    """Exact (passage, document) pairs where the document's text contains the passage.
-
-    Inside a passage every run of five words that touches neither end is also a
-    run of five words of the document, so one such run is an equality-join
-    anchor; only anchored pairs are tested. Passages of fewer than seven words
-    use a character gram instead, when there are any.
-    """
-    # The words get their own column, so that they are split once per row.
-    worded = passages.select(passage_key, "text", tokens(F.col("text")).alias("words"))
-    long = F.size("words") >= _SHINGLE + 2
-    anchors = worded.where(long).select(passage_key, F.xxhash64(F.array_join(F.slice("words", 2, _SHINGLE), " ")).alias("anchor"))
-    runs = docs.select(doc_key, tokens(F.col("text")).alias("words")).select(doc_key, F.explode(F.array_distinct(_shingles("words", _SHINGLE))).alias("anchor"))
-    pairs = runs.join(anchors, "anchor").select(passage_key, doc_key)
-    short = worded.where(~long).select(passage_key, "text")
-    for n in sorted(r[0] for r in short.select(F.least(F.length("text"), F.lit(3))).distinct().collect() if r[0]):
-        left = short.where(F.least(F.length("text"), F.lit(3)) == n).select(passage_key, F.xxhash64(F.substring("text", 1, n)).alias("anchor"))
-        right = docs.select(doc_key, F.explode(_grams(F.col("text"), n)).alias("anchor"))
-        pairs = pairs.unionByName(right.join(left, "anchor").select(passage_key, doc_key))
-    # an empty passage is in every text; both sides are dealt over salts
-    blank = worded.where(F.length("text") == 0).select(passage_key, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt"))
-    everywhere = docs.where(F.col("text").isNotNull()).select(doc_key, F.pmod(F.xxhash64(doc_key), F.lit(64)).cast("int").alias("salt")).join(blank, "salt").select(passage_key, doc_key)
-    return everywhere.unionByName(
-        pairs.join(docs.select(doc_key, F.col("text").alias("doc_text")), doc_key)
-        .join(passages.select(passage_key, F.col("text").alias("passage_text")), passage_key)
-        .where(F.contains("doc_text", "passage_text"))
-        .select(passage_key, doc_key)
-    )
+    """Exact (passage, document) pairs where the document's text contains the passage, whatever its length."""
+    found = contained(passages, docs.select(doc_key, "text"), "text", "text", [doc_key])
+    return passages.select(passage_key, "text").join(found, "text").select(passage_key, doc_key)
 
 
 def violations(rows: DataFrame, rules: dict, key: str) -> DataFrame:
