@@ -63,10 +63,10 @@ def code_blocks(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and code points of words of one length, in blocks of about ``CELLS`` cells."""
     sizes = pa.compute.utf8_length(words).to_numpy(zero_copy_only=False)
     order = np.argsort(sizes, kind="stable")
-    i = 0
+    ranked, i = sizes[order], 0
     while i < len(order):
-        size = int(sizes[order[i]])
-        j = min(int(np.searchsorted(sizes[order], size, "right")), i + max(1, CELLS // size))
+        size = int(ranked[i])
+        j = min(int(np.searchsorted(ranked, size, "right")), i + max(1, CELLS // size))
         at = order[i:j]
         joined = "".join(words.take(pa.array(at)).to_pylist())
         yield at, np.frombuffer(joined.encode("latin-1"), np.uint8).reshape(len(at), size)
@@ -169,15 +169,16 @@ def positives(keyed: DataFrame, filters: Filters) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
+                hits = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
                 for rows, codes in code_blocks(part.column("word")):
                     for size, h, row, at, letter in edits(codes):
                         yes = np.flatnonzero(found.may_hold(h, min(size, LONG)))
                         if len(yes):
-                            of = part.select(["word", "n"]).take(pa.array(rows[row[yes]]))
-                            yield pa.RecordBatch.from_arrays(
-                                [of.column("word"), of.column("n"), pa.array(h[yes].view(np.int64)), pa.array(at[yes].astype(np.int32)), pa.array([chr(letter) if letter else ""] * len(yes))],
-                                names=["word", "n", "edit", "at", "letter"],
-                            )
+                            hits.append((rows[row[yes]], h[yes], at[yes], np.full(len(yes), letter, np.uint8)))
+                row, h, at, letter = map(np.concatenate, zip(*hits, strict=True))
+                of = part.select(["word", "n"]).take(pa.array(row))
+                texts = pa.array(["", *map(chr, range(1, 256))]).take(pa.array(letter))
+                yield pa.RecordBatch.from_arrays([of.column("word"), of.column("n"), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), texts], names=["word", "n", "edit", "at", "letter"])
 
     return keyed.select("word", "n").mapInArrow(probe, "word string, n long, edit long, at int, letter string")
 
