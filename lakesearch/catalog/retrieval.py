@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.catalog.bindings import CHUNKS, QUERIES_CTE, chunks, documents, queries, table, with_
 from lakesearch.catalog.registry import query
-from lakesearch.operators import fusion, gate, keyword, planning, ranking, vector_index, vectors
+from lakesearch.operators import fusion, gate, keyword, planning, ranking, segments, vector_index, vectors
 from lakesearch.session import materialise, shared_dir
 
 # SQL twin of the keyword index and BM25 scores for a CTE ``req`` (query_id, query[, kb_id]).
@@ -78,10 +78,17 @@ def field_statistics(spark, sf):
 
 
 def upkept_index(spark, sf):
-    """The French chunks leave the index and come again; the German ones leave."""
-    every = chunks(spark, sf)
-    without = keyword.updated_index(keyword.build_index(every), every.where("kb_id IN ('fr', 'de')").select("chunk_id"))
-    return keyword.updated_index(without, every.limit(0).select("chunk_id"), every.where("kb_id = 'fr'"))
+    """An index that took four changes: French chunks come later, German ones leave, Spanish ones are replaced; segments are merged."""
+    key = (spark.sparkContext.applicationId, sf, "segments")
+    if key not in _STORED:
+        every, path = materialise(chunks(spark, sf).select("chunk_id", "kb_id", "title", "text"), "segment-chunks"), f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+        of = lambda kb: every.where(F.col("kb_id") == kb)
+        segments.update(spark, path, added=every.where("kb_id <> 'fr'"), fanout=2)
+        segments.update(spark, path, added=of("fr"), fanout=2)
+        segments.update(spark, path, gone=of("de"), fanout=2)
+        segments.update(spark, path, gone=of("es"), added=of("es"), fanout=2)
+        _STORED[key] = path
+    return segments.open_index(spark, _STORED[key])
 
 
 UPKEPT = "here AS (SELECT post.* FROM post JOIN chunks USING (chunk_id) WHERE chunks.kb_id <> 'de')"
@@ -97,6 +104,14 @@ def upkept_fields(spark, sf):
     return upkept_index(spark, sf).field_stats.select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
+@query(
+    "k04_upkept_search",
+    with_(CHUNKS, "rest AS (SELECT * FROM chunks WHERE kb_id <> 'de')", INDEX.replace("FROM chunks", "FROM rest"), QUERIES_CTE, BM, BM_SCORES, topk_sql("bm_scores", "hits", 10), "SELECT query_id, rank, chunk_id, score FROM hits"),
+)
+def upkept_search(spark, sf):
+    return keyword.bm25_topk(queries(spark, sf), upkept_index(spark, sf), 10).select("query_id", "rank", "chunk_id", "score")
+
+
 @query(
     "r03_bm25_topk",
     with_(CHUNKS, QUERIES_CTE, INDEX, BM, BM_SCORES, topk_sql("bm_scores", "hits", 10),
@@ -173,7 +188,8 @@ def collection_scope(spark, sf):
           topk_sql("scored", "hits", 10), "SELECT query_id, rank, chunk_id, score FROM hits"),
 )
 def offline_keyword(spark, sf):
-    hits = keyword.offline_topk(kb_queries(spark, sf), chunks(spark, sf), 10)
+    pieces = stored(spark, sf, "chunk-pieces", lambda: keyword.chunk_pieces(chunks(spark, sf)))
+    hits = keyword.offline_topk(kb_queries(spark, sf), chunks(spark, sf), 10, pieces)
     return hits.select("query_id", "rank", "chunk_id", "score")
 
 

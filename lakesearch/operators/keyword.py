@@ -68,26 +68,6 @@ def build_index(chunks: DataFrame, fields=("title", "text")) -> KeywordIndex:
     return KeywordIndex(posts, term_statistics(posts), field_statistics(chunks, fields))
 
 
-def updated_index(index: KeywordIndex, gone: DataFrame, added: DataFrame | None = None, fields=("title", "text")) -> KeywordIndex:
-    """The index without the chunks ``gone`` (chunk_id) and with the chunks ``added``, its statistics corrected by what changed.
-
-    Only postings of changed chunks are counted; nothing is tokenised again but the new chunks.
-    """
-    left, kept = (index.postings.join(gone.select("chunk_id"), "chunk_id", how) for how in ("left_semi", "left_anti"))
-    lengths = left.select("chunk_id", "field", "dl").distinct().groupBy("field").agg((-F.count("*")).alias("n"), (-F.sum("dl")).alias("words"))
-    terms = index.term_stats.select("field", "term", "df").unionByName(left.groupBy("field", "term").agg((-F.count("*")).alias("df")))
-    total = index.field_stats.select("field", "n", F.round(F.col("n") * F.col("avgdl")).cast("bigint").alias("words")).unionByName(lengths)
-    if added is not None:
-        new = postings(added, fields)
-        kept = kept.unionByName(new.select(kept.columns))
-        terms = terms.unionByName(term_statistics(new))
-        more = field_statistics(added, fields)
-        total = total.unionByName(more.select("field", "n", F.round(F.col("n") * F.col("avgdl")).cast("bigint").alias("words")))
-    terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
-    sums = total.groupBy("field").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).where("n > 0")
-    return KeywordIndex(kept, terms, sums.select("field", "n", (F.col("words") / F.col("n")).alias("avgdl")))
-
-
 def store_index(index: KeywordIndex, path: str, name: str, buckets: int) -> KeywordIndex:
     """Persist the index and return it as read back.
 
