@@ -95,8 +95,10 @@ class Phrases:
             if not len(at):
                 return
 
-    def word_of(self, i: int) -> bytes:
-        return self.data[self.starts[i] : self.ends[i]].tobytes()
+    def phrase_of(self, i: int, size: int) -> bytes:
+        """Words ``i`` to ``i + size``, one blank between them."""
+        text = self.data[self.starts[i] : self.ends[i + size - 1]].tobytes()
+        return b" ".join(text.split()) if size > 1 else text
 
 
 def lang_hashes(langs: pa.Array) -> np.ndarray:
@@ -182,9 +184,8 @@ def merging(least: int, step: int, shards: int, longest: int, slot_bits: int, bu
     return merge
 
 
-def frequent(spark, path: str, total_bytes: int, least: int, shards: int, longest: int, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(spark, path: str, bucket_bits: int, least: int, shards: int, longest: int, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs the scans over the shards under ``path``; slots (step at which a phrase reached the threshold there) and, for the longest, a mark."""
-    bucket_bits = min(slot_bits, max(0, int(total_bytes // shards // BUCKET_BYTES).bit_length()))
     slots, ends = np.full(1 << slot_bits, NEVER, np.uint8), np.zeros(1 << slot_bits, bool)
     width, home = 1 << (slot_bits - bucket_bits), f"{shared_dir(spark)}/collocations-{uuid.uuid4().hex}"
     step, newest, old = 0, -1, None
@@ -214,40 +215,66 @@ def _remove(spark, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def texts(docs: DataFrame, slots: np.ndarray, ends: np.ndarray, longest: int) -> DataFrame:
-    """lang, phrase, size, n: counts, by task, of the phrases whose slot is marked; phrase null: all words."""
+def texts(docs: DataFrame, slots: np.ndarray, ends: np.ndarray, least: int, longest: int, bucket_bits: int) -> DataFrame:
+    """lang, phrase, size, a: how often the phrases whose slot is marked occur, counted by their texts; phrase null: all words.
+
+    Tasks send lists of phrases by bucket of their hash (a word holds no line end, which parts them), and buckets are summed."""
     held = docs.sparkSession.sparkContext.broadcast((slots, ends))
 
-    def send(seen: dict):
-        rows = list(seen.values())
-        for i in range(0, len(rows), 20_000):
-            lang, phrase, size, n = zip(*rows[i : i + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "size", "n"])
+    def send(blocks_held: list, parts: list, totals: dict):
+        rows = [(0, lang, None, planes(np.array([n], np.int64))) for lang, n in totals.items()]
+        if parts:
+            keys, blocks_of, at, level = map(np.concatenate, zip(*parts, strict=True))
+            keys, counts, blocks_of, at, level = counted(keys, blocks_of, at, level)
+            bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(keys), np.int64)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+                by_lang: dict = {}
+                for k, i, j, size in zip(range(a, b), blocks_of[a:b].tolist(), at[a:b].tolist(), level[a:b].tolist(), strict=True):
+                    found, langs = blocks_held[i]
+                    names, order = by_lang.setdefault(langs[found.text[j]], ([], []))
+                    names.append(found.phrase_of(j, size))
+                    order.append(k)
+                rows += [(int(bucket[a]), lang, b"\n".join(names), planes(counts[order].astype(np.int64))) for lang, (names, order) in by_lang.items()]
+        for i in range(0, len(rows), 256):
+            bucket, lang, phrases, counts = zip(*rows[i : i + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(lang, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "lang", "phrases", "counts"])
 
     def count(batches):
         slots, ends = held.value
         shift = np.uint64(64 - (len(slots).bit_length() - 1))
-        seen: dict = {}
+        kept, parts, size, totals = [], [], 0, {}
         for batch in batches:
             for part in blocks(batch, "text"):
                 langs = part.column("lang").to_pylist()
                 found = Phrases(part.column("text"), lang_hashes(part.column("lang")))
                 for t, n in zip(*np.unique(found.text, return_counts=True), strict=True):
-                    seen.setdefault((langs[t],), [langs[t], None, 0, 0])[3] += int(n)
+                    totals[langs[t]] = totals.get(langs[t], 0) + int(n)
                 for level, at, keys, _ in found.levels(slots, longest):
                     slot = (keys >> shift).astype(np.int64)
-                    marked = ends[slot] if level == longest else slots[slot] != NEVER
-                    for key, n, i in zip(*(x.tolist() for x in counted(keys[marked], at[marked])), strict=True):
-                        if (row := seen.get(key)) is not None:
-                            row[3] += n
-                        else:
-                            seen[key] = [langs[found.text[i]], b" ".join(found.word_of(j) for j in range(i, i + level)), level, n]
-            if len(seen) > HELD // 4:
-                yield from send(seen)
-                seen = {}
-        yield from send(seen)
-
-    return docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, size int, n long")
+                    marked = np.flatnonzero(ends[slot] if level == longest else slots[slot] != NEVER)
+                    if len(marked):
+                        parts.append((keys[marked], np.full(len(marked), len(kept), np.int32), at[marked].astype(np.int32), np.full(len(marked), level, np.int8)))
+                        size += len(marked)
+                kept.append((found, langs))
+                size += len(found.keys)
+            if size > HELD:
+                yield from send(kept, parts, totals)
+                kept, parts, size, totals = [], [], 0, {}
+        yield from send(kept, parts, totals)
+
+    def add(table: pa.Table) -> pa.Table:
+        sums: dict = {}
+        for lang, phrases, counts in zip(*(table.column(c).to_pylist() for c in ("lang", "phrases", "counts")), strict=True):
+            names = [None] if phrases is None else phrases.split(b"\n")
+            for name, n in zip(names, from_planes(counts, len(names), np.int64).tolist(), strict=True):
+                sums[lang, name] = sums.get((lang, name), 0) + n
+        rows = [(lang, name, name.count(b" ") + 1 if name else 0, n) for (lang, name), n in sums.items() if name is None or n >= least]
+        lang, phrase, size, n = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.table({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.binary()).cast(pa.string()), "size": pa.array(size, pa.int32()), "a": pa.array(n, pa.int64())})
+
+    sent = docs.select("lang", "text").mapInArrow(count, "bucket int, lang string, phrases binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(add, "lang string, phrase string, size int, a long")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = 2000, shards: int = SHARDS, inside: int = 100, slot_bits: int = SLOT_BITS, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -269,8 +296,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, mo
     spark.createDataFrame([(k,) for k in range(shards)], "shard long").select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("bytes"), "shard").write.mode("append").partitionBy("shard").parquet(path)
     dealt = spark.read.schema("lang string, text string, bytes long, shard long").parquet(path).where("text is not null")
     total = dealt.agg(F.sum("bytes")).first()[0] or 0
-    slots, ends = frequent(spark, path, total, least, shards, longest, slot_bits)
-    found = materialise(texts(dealt, slots, ends, longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(F.col("phrase").isNull() | (F.col("a") >= least)), "collocation-phrases")
+    bucket_bits = min(slot_bits, max(0, int(total // shards // BUCKET_BYTES).bit_length()))
+    slots, ends = frequent(spark, path, bucket_bits, least, shards, longest, slot_bits)
+    found = materialise(texts(dealt, slots, ends, least, longest, bucket_bits), "collocation-phrases")
     return ranked(found.where("phrase is not null"), found.where("phrase is null").select("lang", F.col("a").alias("n")), most, inside)
 
 
