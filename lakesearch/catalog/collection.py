@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.catalog.bindings import DOCS, documents, table, with_
 from lakesearch.catalog.registry import query
+from lakesearch.catalog.scalars import NORMAL_URL
 from lakesearch.catalog.tables import ts
 from lakesearch.operators import cleaning, review
 from lakesearch.sources import html
@@ -16,15 +17,15 @@ def html_pages(spark, sf):
 
 @query(
     "s13_site_links",
-    r"""WITH b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hrefs, url FROM pages),
+    rf"""WITH b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hrefs, url FROM pages),
       l AS (SELECT page_id, origin, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS position FROM b),
       n AS (SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE origin || href END AS link, origin, position FROM l),
-      k AS (SELECT page_id, regexp_replace(link, '#.*$', '') AS link, min(position) AS position FROM n WHERE starts_with(link, origin || '/') GROUP BY ALL)
-      SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS rank FROM k) WHERE rank < 5""",
+      m AS (SELECT page_id, regexp_replace(link, '#.*$', '') AS link, position FROM n WHERE starts_with(link, origin || '/') UNION ALL SELECT page_id, {NORMAL_URL}, 0 FROM pages),
+      k AS (SELECT page_id, link, min(position) AS position FROM m GROUP BY ALL)
+      SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS rank FROM k) WHERE rank <= 5""",
 )
 def site_links(spark, sf):
-    links = html.site_links(table(spark, sf, "pages"), 5)
-    return links.where(F.col("position") > 0).select("page_id", "link")
+    return html.site_links(table(spark, sf, "pages"), 5).select("page_id", "link")
 
 
 # Documents as collected Markdown pages with something for every cleaning rule.

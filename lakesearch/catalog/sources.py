@@ -42,9 +42,10 @@ def corpus_pages(spark, sf):
     return files.corpus(corpus_files(spark, sf))[0].select("url", "category", "title", "content_hash")
 
 
-@query("s03_corpus_paging", with_(DOCS, CORPUS, "SELECT url, 'empty' AS reason FROM (SELECT * FROM good WHERE category = 'en' ORDER BY lower(relative) LIMIT 40 OFFSET 10) WHERE source = 'src2'"))
+@query("s03_corpus_paging", with_(DOCS, CORPUS, "SELECT url, CASE WHEN source = 'src2' THEN 'empty' END AS reason FROM (SELECT * FROM good WHERE category = 'en' ORDER BY lower(relative) LIMIT 400 OFFSET 10)"))
 def corpus_paging(spark, sf):
-    return files.corpus(corpus_files(spark, sf), "en", 10, 40)[1]
+    pages, refused = files.corpus(corpus_files(spark, sf), "en", 10, 400)
+    return pages.select("url", F.lit(None).cast("string").alias("reason")).unionByName(refused)
 
 
 @query("s04_categories", "SELECT lang AS category, count(*) AS files FROM documents GROUP BY lang")
@@ -219,7 +220,8 @@ def layout_text(spark, sf):
     return layout.page_text(lists).select("document_id", F.md5("text").alias("text_hash"))
 
 
-@query("k08_artifacts", with_(DOCS, "SELECT document_id, 1 AS version, 'extracted.txt' AS name, sha256(text) AS content_hash FROM docs UNION ALL SELECT document_id, 1, 'raw.md', sha256('#' || text) FROM docs WHERE kb_id = 'en'"))
+@query("k08_artifacts", with_(DOCS, """SELECT document_id, 1 AS version, 'extracted.txt' AS name, sha256(text) AS content_hash FROM docs UNION ALL SELECT document_id, 1, 'raw.md', sha256('#' || text) FROM docs WHERE kb_id = 'en'
+      UNION ALL SELECT document_id, 1, 'meta.json', sha256('{"content_hash":"' || content_hash || '","mime":"text/markdown","source_uri":"' || source_uri || '","metadata":{"k":"v"}}') FROM docs"""))
 def artifacts(spark, sf):
     from lakesearch.operators.maintenance import artifact_rows
 
@@ -227,7 +229,7 @@ def artifacts(spark, sf):
         "document_id", F.lit(1).alias("version"), F.when(F.col("kb_id") == "en", "raw.md").alias("raw_name"), F.encode(F.concat(F.lit("#"), "text"), "UTF-8").alias("raw_bytes"), "text", "content_hash", F.lit("text/markdown").alias("mime"), "source_uri",
         F.create_map(F.lit("k"), F.lit("v")).alias("metadata"),
     )
-    return artifact_rows(rows).where("name <> 'meta.json'").select("document_id", "version", "name", F.sha2("content", 256).alias("content_hash"))
+    return artifact_rows(rows).select("document_id", "version", "name", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("k10_public_test_rows", "SELECT item_id AS query_id, text AS query, 'test' AS split FROM benchmark")

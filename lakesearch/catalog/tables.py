@@ -1,5 +1,7 @@
 """Browsing, joins, maintenance, synchronisation and versions over the given tables."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -7,7 +9,8 @@ from lakesearch.catalog.bindings import CHUNKS, DOCS, LINE_CHUNKS, chunks, docum
 from lakesearch.catalog.registry import query
 from lakesearch.catalog.scalars import NORMAL_URL
 from lakesearch.functions import urls
-from lakesearch.operators import filters, lookups, maintenance, neighbours, ranking, sync, versions
+from lakesearch.operators import filters, hash_tree, lookups, maintenance, neighbours, ranking, sync, versions
+from lakesearch.session import shared_dir
 
 
 def ts(text):
@@ -32,13 +35,13 @@ def filter_contract(spark, sf):
 
 @query(
     "p03_identifier_candidates",
-    with_(CHUNKS, """SELECT o_orderkey AS query_id, chunk_id FROM orders JOIN chunks ON kb_id = 'en' AND document_id = o_orderkey UNION
-      SELECT o_orderkey, chunk_id FROM orders JOIN chunks ON kb_id = 'en' AND document_id = o_custkey"""),
+    with_(CHUNKS, "asked AS (SELECT *, ['en', 'de', 'fr', 'es'][1 + o_orderkey % 4] AS kb FROM orders)", """SELECT o_orderkey AS query_id, chunk_id FROM asked JOIN chunks ON kb_id = kb AND document_id = o_orderkey UNION
+      SELECT o_orderkey, chunk_id FROM asked JOIN chunks ON kb_id = kb AND document_id = o_custkey"""),
 )
 def identifier_candidates(spark, sf):
     cve = lambda c: F.concat(F.lit("CVE-2024-"), (c + 1000).cast("string"))
     asked = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("query_id"), F.lit("en").alias("kb_id"), F.array(cve(F.col("o_orderkey")), cve(F.col("o_custkey"))).alias("wanted_ids")
+        F.col("o_orderkey").alias("query_id"), F.get(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("o_orderkey") % 4).cast("int")).alias("kb_id"), F.array(cve(F.col("o_orderkey")), cve(F.col("o_custkey"))).alias("wanted_ids")
     )
     held = chunks(spark, sf).withColumn("entity_ids", F.array(cve(F.col("document_id"))))
     return filters.entity_candidates(asked, held)
@@ -608,9 +611,9 @@ def intersect(spark, sf):
     return found.intersect(table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey")))
 
 
-@query("u03_except", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("u03_except", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def except_(spark, sf):
-    used = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 
@@ -667,6 +670,13 @@ def snapshot_diff(spark, sf):
     return sync.snapshot_diff(offered(spark, sf), documents(spark, sf), "sync://").select("source_uri", "action")
 
 
+@query("v02_tree_changes", with_(DOCS, OFFERED, "SELECT source_uri, action FROM actions WHERE action <> 'skip' UNION ALL SELECT source_uri, 'delete' FROM docs WHERE status = 'ready' AND source IN ('src0', 'src2')"))
+def tree_changes(spark, sf):
+    path = f"{shared_dir(spark)}/sync-trees-{uuid.uuid4().hex}"
+    known = documents(spark, sf).where("status = 'ready'")
+    return hash_tree.changes(hash_tree.build(offered(spark, sf), f"{path}/offered"), hash_tree.build(known, f"{path}/known"), "sync://").actions.select("source_uri", "action")
+
+
 @query(
     "v03_sync_counters",
     with_(DOCS, OFFERED, """results AS (SELECT CASE WHEN action = 'skip' THEN 'skip' WHEN kb_id IN ('en', 'fr') THEN action WHEN kb_id = 'de' THEN 'skip' ELSE 'failed' END AS r FROM actions

@@ -3,6 +3,7 @@
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,17 +75,34 @@ def ingest_batch(batch: DataFrame, documents: DataFrame, embedder: embedding.Emb
 def publish(result: IngestResult, path: str) -> str:
     """Write all tables of a batch under a new version and then point to it.
 
-    Readers follow ``current``, which is replaced last, so a failed job leaves
-    the version before it in place.
+    Pointers are numbered and never replaced: the next number is written last,
+    and readers follow the highest that is complete. A job that dies at any
+    point leaves the version before it in force; of two jobs that publish at
+    once one fails.
     """
-    version = uuid.uuid4().hex
+    version, number = uuid.uuid4().hex, _newest(result.documents.sparkSession, path)[0] + 1
     for name in ("outcomes", "documents", "chunks", "payload", "vectors"):
         getattr(result, name).write.parquet(f"{path}/versions/{version}/{name}")
     spark = result.documents.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    _point(spark, path, number, version)
     return version
 
 
+def _point(spark, path: str, number: int, version: str) -> None:
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("error").json(f"{path}/current/number={number}")
+
+
+def _newest(spark, path: str) -> tuple[int, str | None]:
+    """The highest complete pointer; 0 before the first."""
+    try:
+        row = spark.read.schema("version string, number int").json(f"{path}/current").orderBy(F.desc("number")).first()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        row = None
+    return (row["number"], row["version"]) if row else (0, None)
+
+
 def published(spark, path: str) -> Published:
     """What the next batch takes over."""
     return Published(*(current(spark, path, name) for name in ("chunks", "payload", "vectors")))
@@ -92,5 +110,5 @@ def published(spark, path: str) -> Published:
 
 def current(spark, path: str, name: str) -> DataFrame:
     """A table of the published version."""
-    version = spark.read.schema("version string").json(f"{path}/current").first()["version"]
+    version = _newest(spark, path)[1]
     return spark.read.parquet(f"{path}/versions/{version}/{name}")

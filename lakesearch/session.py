@@ -29,6 +29,10 @@ def build_session(app: str = "lakesearch", master: str | None = None, shuffle_pa
     return spark
 
 
+#: Temporary folders of local sessions; the setting itself can't be changed in a running session.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:

@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lakesearch.operators import experience, sync
+from lakesearch.operators import experience, hash_tree, sync
 from lakesearch.operators.experience import IDENTITY
+from lakesearch.operators.hash_tree import Tree
 
 ITEM_SCHEMA = "source_revision int, fingerprint string"
 
@@ -59,15 +60,17 @@ def new_pages(stream: DataFrame, path: str, checkpoint: str, trigger: dict | Non
     return _start(stream, checkpoint, step, trigger)
 
 
-def sync_stream(files: DataFrame, snapshot: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def sync_stream(files: DataFrame, snapshot: DataFrame | Tree, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Classify arriving files against the published snapshot and earlier batches.
 
     ``files``: kb_id, source_uri, content_hash. Each batch stores its actions
-    and a cursor with the fingerprint of what it saw.
+    and a cursor with the fingerprint of what it saw. Of a snapshot that is a
+    hash tree (of ready rows) a batch reads the leaves its files fall into.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = snapshot.select("kb_id", "source_uri", "content_hash", "status")
+        held = hash_tree.known_rows(snapshot, batch).withColumn("status", F.lit("ready")) if isinstance(snapshot, Tree) else snapshot
+        known = held.select("kb_id", "source_uri", "content_hash", "status")
         if number:
             done = spark.read.option("basePath", f"{path}/actions").parquet(f"{path}/actions/batch=*").where(F.col("batch") < number)
             newest = done.groupBy("kb_id", "source_uri").agg(F.max_by("content_hash", "batch").alias("content_hash")).withColumn("status", F.lit("ready"))
