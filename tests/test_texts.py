@@ -147,6 +147,21 @@ def test_nested_json(spark):
     assert one(spark, " plain [x ", feeds.nested_text) == "plain [x" and one(spark, "{oops", feeds.nested_text) == "{oops" and one(spark, None, feeds.nested_text) == ""
 
 
+def test_nested_json_of_any_depth(spark):
+    """Deep and shallow values, the same layout; brackets in strings are no levels."""
+    deep = value = "x [[[[[[[ "
+    for k in range(20):
+        value = {f"k{k}": value, "n": 1.50} if k % 2 else [value, None, "", True]
+    text = feeds._laid_out(json.loads(json.dumps(value), parse_float=str))
+    assert one(spark, json.dumps(value), feeds.nested_text) == text and text.startswith("- k19: ") and text.endswith("- n: 1.5") and "x [[[[[[[" in text
+    assert one(spark, json.dumps({"a": deep}), feeds.nested_text) == "- a: x [[[[[[["
+    for levels in range(1, 12):
+        value = 7
+        for _ in range(levels):
+            value = {"a": [value]} if levels % 2 else {"a": value, "b": "t"}
+        assert one(spark, json.dumps(value), feeds.nested_text) == feeds._laid_out(json.loads(json.dumps(value), parse_int=str))
+
+
 def test_bad_feeds_cost_only_themselves(spark):
     xml = '<feed><entry><title>T</title><link rel="self" href="no"/><link href="../b/./c"/><summary type="html">&lt;i&gt;s&lt;/i&gt;</summary></entry></feed>'
     rows = spark.createDataFrame([("https://f.org/x/y", xml), ("https://bad.org", "<feed><entry>"), ("https://none.org", "<rss/>"), ("https://null.org", None)], "feed_url string, value string")
