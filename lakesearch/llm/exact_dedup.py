@@ -24,9 +24,12 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     # many small stores: don't let each reserve megabytes for its logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    # stores of a stream that has ended are closed soon, not after a minute in which later stages need their memory
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
-#: Rows of keys sent to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Rows of keys sent to all tasks; more are joined by a shuffle. Copies from which a digest counts as heavy.
+BROADCAST_ROWS, HEAVY = 50_000, 256
 
 
 def normalised(text: Column) -> Column:
@@ -81,6 +84,17 @@ def narrowed(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataF
     return rows.join(broadcast_within(keys, BROADCAST_ROWS)[0], on, how)
 
 
+def _with_state(located: DataFrame, state: DataFrame) -> DataFrame:
+    """``located`` with the state of its digest. Rows of heavy digests meet their state by broadcast (if a count shows that these
+    are few) and stay where they are; only the others are shuffled, so no task gets a large group of copies."""
+    heavy, few = broadcast_within(state.where(F.col("n") >= HEAVY), BROADCAST_ROWS)
+    if not few:
+        return located.join(state, "digest")  # adaptive execution splits what is skewed
+    located = materialise(located, "exact-dedup-rows")
+    light = located.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(state.where(F.col("n") < HEAVY), "digest")
+    return light.unionByName(located.join(heavy, "digest"))
+
+
 def dedup_path(spark: SparkSession, path: str, schema: StructType | None = None, home: str | None = None, id_column: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, bytes_per_batch: int = 64 << 30) -> DataFrame:
     """One row per document under ``path``: doc_id, keep_id, group_size, kept, digest, file, row.
 
@@ -92,7 +106,8 @@ def dedup_path(spark: SparkSession, path: str, schema: StructType | None = None,
     home = home or f"{shared_dir(spark)}/exact-dedup-{uuid.uuid4().hex}"
     state = stream_state(spark, path, schema, home, id_column, text, digest, bytes_per_batch)
     rows = spark.read.schema(schema).parquet(path)
-    groups = _located(rows, id_column, text, digest).join(state, "digest")
+    state = materialise(state, "exact-dedup-state")
+    groups = _with_state(_located(rows, id_column, text, digest), state)
 
     hit = narrowed(
         rows.select(digest(normalised(F.col(f"`{text}`"))).alias("digest"), normalised(F.col(f"`{text}`")).alias("whole")),

@@ -73,7 +73,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     ``sized``: source, size, h. The last pass ends before or after the document that crosses the budget, whichever is nearer.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    state = targets.select("source", whole.cast("int").alias("passes"), (F.col("target") - whole * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("low"))
+    state = targets.select("source", whole.cast("int").alias("passes"), (F.col("target") - whole * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("low")).where("left > 0")  # else whole passes are all, for documents without words too
     done = None
     bits = HASH_BITS
     while bits > 0:

@@ -20,6 +20,15 @@ def test_copies(spark, tmp_path, digest, batch):
     assert all(r.doc_id == r.keep_id for r in found if r.kept)
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_heavy_digests(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "HEAVY", 2)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", most)
+    spark.createDataFrame(TEXTS, SCHEMA).repartition(4).write.parquet(str(tmp_path / "in"))
+    found = exact_dedup.dedup_path(spark, str(tmp_path / "in")).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in found), key=str) == sorted(plain.copies(TEXTS), key=str)
+
+
 def test_state_goes_on(spark, tmp_path):
     path, home = str(tmp_path / "in"), str(tmp_path / "home")
     spark.createDataFrame([(5, "a"), (6, "b")], SCHEMA).write.parquet(path)
@@ -72,6 +81,24 @@ def test_mix_of_odd_rows(spark):
     assert sorted(r.doc_id for r in rows) == sorted(i for i, n in told.items() for _ in range(n)) and all(r["__h"] == r.doc_id for r in rows) and rows[0].asDict().keys() == {"doc_id", "text", "source", "__h"}
 
 
+def test_no_copy_above_the_limit(spark):
+    """Eight sources, most of them at the cap, each with documents without words: brute force over the copies of every row."""
+    docs = [(i, "w " * (0 if i % 5 == 0 else 1 + i % (3 if i % 8 < 4 else 90)), f"s{i % 8}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows, told = mixing.mixed_rows(df).collect(), mixing.mix(df).collect()
+    copies = {i: 0 for i, *_ in docs}
+    for r in rows:
+        copies[r.doc_id] += 1
+    assert max(copies.values()) == 2 and {r.doc_id: r.copies for r in told} == copies
+    sizes = {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = plain.targets(sizes)
+    capped = {s for s in sizes if want[s] == 2 * sizes[s]}
+    assert len(capped) >= 3 and all(copies[i] == 2 for i, _, s in docs if s in capped)
+    assert all(abs(sum(copies[i] * len(t.split()) for i, t, x in docs if x == s) - want[s]) <= 45 for s in sizes)
+
+
 def test_mix_with_many_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x " * (i % 9), f"s{i % 7}") for i in range(300)], "doc_id long, text string, source string")
     want = sorted(mixing.mix(docs).collect()), sorted(mixing.mixed_rows(docs).collect())
