@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lakesearch.llm.components import components
 from lakesearch.llm.exact_dedup import narrowed
 from lakesearch.llm.rows import LAST_ID, free_names, materialise, row_key, small_batches
-from lakesearch.llm.words import LOWER, blocks, grams, mixed, run_hashes, words_of
+from lakesearch.llm.words import LOWER, blocks, grams, mixed, run_hashes, trimmed, words_of
 
 #: Buckets of the token frequency histogram (2 to this power); it only orders tokens.
 HISTOGRAM_BITS = 18
@@ -153,7 +153,7 @@ def token_frequencies(docs: DataFrame, n: int) -> np.ndarray:
         used = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(held[used])], names=["bucket", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select("text").mapInArrow(trimmed(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << HISTOGRAM_BITS, np.int64)
     out[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     return out
@@ -209,8 +209,8 @@ def _shared_sets(docs: DataFrame, n: int, num: int, den: int, frequency) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(np.array([sid0], np.int64)), pa.array([1])], names=["sid", "n"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = docs.select("text").mapInArrow(send, "token long, sid long")
-    return pairs.repartitionByRange(parts, "token", "sid").sortWithinPartitions("token", "sid").mapInArrow(meet, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("n"))
+    pairs = docs.select("text").mapInArrow(trimmed(send), "token long, sid long")
+    return pairs.repartitionByRange(parts, "token", "sid").sortWithinPartitions("token", "sid").mapInArrow(trimmed(meet), "sid long, n long").groupBy("sid").agg(F.sum("n").alias("n"))
 
 
 GROUP = "gid long, bucket long, nodes array<binary>, homes array<binary>, sizes array<int>, tokens binary"
@@ -384,7 +384,7 @@ def _links(groups: DataFrame, asked: DataFrame, place: str, num: int, den: int)
     rows = copies.select("target", "copy", F.lit(0).alias("kind"), *columns).unionByName(
         queries.select("target", F.pmod(F.xxhash64("gid", "member"), F.col("copies").cast("long")).cast("int").alias("copy"), F.lit(1).alias("kind"), *columns)
     )
-    return rows.repartition("target", "copy").sortWithinPartitions("target", "copy", "kind").mapInArrow(_open_groups(num, den), "a binary, b binary").distinct()
+    return rows.repartition("target", "copy").sortWithinPartitions("target", "copy", "kind").mapInArrow(trimmed(_open_groups(num, den)), "a binary, b binary").distinct()
 
 
 def _asked_for(size, num: int, den: int):
@@ -411,19 +411,19 @@ def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     keyed = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), row_key(f"`{id_column}`", f"`{text}`").alias("node"), F.col(f"`{text}`").alias("text"))
-    signed = materialise(keyed.mapInArrow(_signatures(n), "doc_id long, node binary, size long, digest binary, sid long"), "ngram-sets")
+    signed = materialise(keyed.mapInArrow(trimmed(_signatures(n)), "doc_id long, node binary, size long, digest binary, sid long"), "ngram-sets")
     frequency = spark.sparkContext.broadcast(token_frequencies(keyed, n))
     classes = signed.where("size > 0").groupBy("digest").agg(F.min("node").alias("rep"), F.first("sid").alias("sid"), F.first("size").alias("size"))
     shared = _shared_sets(keyed, n, num, den, frequency)
     chosen = materialise(classes.join(shared, "sid").where(F.col("n") >= _asked_for(F.col("size"), num, den)).select(F.col("rep").alias("node")), "ngram-candidates")
 
     texts = narrowed(keyed.select("node", "text"), chosen, ["node"], "left_semi")
-    sets = texts.mapInArrow(_set_rows(n), "node binary, size int, tokens binary, m0 long, m1 long, m2 long")
+    sets = texts.mapInArrow(trimmed(_set_rows(n)), "node binary, size int, tokens binary, m0 long, m1 long, m2 long")
     order = ["m0", "m1", "m2", "size", "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     alike = sets.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    groups = materialise(alike.mapInArrow(_cut_groups(num, den, group_sets), GROUP), "ngram-groups")
-    members = materialise(groups.mapInArrow(_members(num, den, frequency), "token long, gid long, bucket long, member int, home binary, size int"), "ngram-members")
+    groups = materialise(alike.mapInArrow(trimmed(_cut_groups(num, den, group_sets)), GROUP), "ngram-groups")
+    members = materialise(groups.mapInArrow(trimmed(_members(num, den, frequency)), "token long, gid long, bucket long, member int, home binary, size int"), "ngram-members")
 
     # a token matters if different groups and different homes hold it; sets that share enough tokens ask the tokens' first group
     open_tokens = members.groupBy("token").agg(F.min("gid").alias("target"), F.max("gid").alias("last"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("target < last and h0 < h1")

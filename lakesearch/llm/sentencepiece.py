@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakesearch.llm.rows import small_batches
-from lakesearch.llm.words import blocks, buffers
+from lakesearch.llm.words import blocks, buffers, trimmed
 
 MARK = "▁"
 #: Chunks a task's table holds before it is begun anew; more distinct chunks cost time, never a result.
@@ -148,4 +148,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", bos: boo
                     names=[*part.schema.names, *added],
                 )
 
-    return asked.mapInArrow(encode, fields)
+    return asked.mapInArrow(trimmed(encode), fields)

@@ -16,13 +16,15 @@ from pyspark.sql.types import StructType
 
 from lakesearch.llm.mixing import id_hash
 from lakesearch.llm.rows import free_names, small_batches
-from lakesearch.llm.words import LOWER, blocks, buffers, find_words, hash_words
+from lakesearch.llm.words import LOWER, blocks, buffers, find_words, hash_words, trimmed
 
 FEATURE_BITS = 18
 STEMS = (4, 5)
 #: Bounds of the training sample: so many labelled rows (those with the smallest id hash), none longer than so many characters.
 TRAIN_DOCUMENTS, TRAIN_CHARACTERS = 6000, 20_000
 ROUNDS, RATE, PENALTY, BIAS = 60, 0.3, 0.3, -5.0
+#: Least mass that a toxic text counts with in the gradient, where it has no sign yet.
+LEAST_MASS = 0.1
 #: A feature is learned from so many documents at least.
 LEAST_DOCUMENTS = 4
 
@@ -83,8 +85,13 @@ class Model:
         they are; a text without words has no sentence and scores 0.
         """
         z = self.sentence_logits(s)
-        mass = np.bincount(s.text, np.maximum(np.logaddexp(0, z) - np.logaddexp(0, self.bias), 0), texts)
-        return -np.expm1(-mass), _sigmoid(z)
+        return 0.0 - np.expm1(-mass_of(z, self.bias, s.text, texts)), _sigmoid(z)
+
+
+def mass_of(z: np.ndarray, bias: float, text: np.ndarray, texts: int) -> np.ndarray:
+    """Negated logarithm, by text, of the chance that no sentence is toxic: a sentence with logit ``z`` is clean with the chance
+    (1 + e^bias) / (1 + e^z), which is 1 for one without any sign. Training and scoring share it."""
+    return np.bincount(text, np.maximum(np.logaddexp(0, z) - np.logaddexp(0, bias), 0), texts)
 
 
 def train(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY) -> Model:
@@ -111,10 +118,11 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS, rate: float
     positive = toxic == 1
     for t in range(1, rounds + 1):
         z = bias + sum(np.bincount(sentence, w[f], held) for f in features)
-        mass = np.bincount(text, np.logaddexp(0, z), n)
-        blame = np.where(positive, -1 / np.expm1(np.clip(mass, 1e-6, 700)), 1.0)
+        mass = mass_of(z, bias, text, n)
+        blame = np.where(positive, -1 / np.expm1(np.clip(mass, LEAST_MASS, 700)), 1.0)
         g = blame[text] * _sigmoid(z)
-        gradient = np.append(sum(np.bincount(f, g[sentence], len(w)) for f in features) + penalty * (1 + w), g.sum())
+        base = (blame[text] * (_sigmoid(z) - _sigmoid(np.float64(bias)))).sum()
+        gradient = np.append(sum(np.bincount(f, g[sentence], len(w)) for f in features) + penalty * (1 + w), base)
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.99 * state[1] + 0.01 * gradient**2
         step = rate * (1 - t / (rounds + 1)) * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1.0)
@@ -172,7 +180,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total), pa.array(found, kind)], names=[*part.schema.names, *names])
 
     fields = StructType(list(asked.schema.fields) + list(StructType.fromDDL(f"{names[0]} double, {names[1]} {OFFENDING}").fields))
-    return asked.mapInArrow(run, fields)
+    return asked.mapInArrow(trimmed(run), fields)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,5 +1,9 @@
 """Words of whole texts as 64-bit hashes, computed on Arrow buffers without a Python step per word."""
 
+import contextlib
+import ctypes
+import functools
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +15,21 @@ SEGMENT = 1 << 18
 # memory of a batch goes back to the system when the batch is done
 pa.set_memory_pool(pa.system_memory_pool())
 
+
+
+def trimmed(run):
+    """``run`` over batches; when it has ended, what its arrays took goes back to the system: workers are kept for later tasks."""
+
+    @functools.wraps(run)
+    def over(batches):
+        yield from run(batches)
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
