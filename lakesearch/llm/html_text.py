@@ -35,8 +35,13 @@ TO_END = frozenset("script style title textarea".split())
 CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 CLOSED_BY = {tag: [t for t, by in CLOSES.items() if tag in by] for tag in BLOCKS}
 FENCE = frozenset("article aside div section table ul ol body html nav header footer main form td th blockquote".split())
+#: Elements whose blocks are tied to each other: cells of one table belong together.
+GROUPS = FENCE - {"td", "th"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: Elements that can be a part of the page by their id; other ids are anchors.
+PARTS = frozenset("aside details div dl fieldset footer form header menu nav ol section table ul".split())
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]*+))?+""")
 NO_STYLE = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'""", re.S)
@@ -62,6 +67,8 @@ PLACES = frozenset("area block body bottom box column container content inner it
 STATES = frozenset("has hide is no not show with without".split())
 #: Tags that are boilerplate whatever share of the page stands in them, unless the article does.
 FIXED = frozenset(t for t, k in TAGS.items() if k not in ("content", "form"))
+#: Kinds that an id tells of although it is also the slug of the element's own heading.
+TITLED = frozenset(["aside", "comment"])
 HIDDEN = 1 << len(KINDS)
 NOISE = HIDDEN - 2
 WIDTH = len(KINDS) + 8
@@ -118,29 +125,53 @@ def kind_of_name(token: str) -> str | None:
 
 @dataclass(slots=True)
 class Mark:
-    """An element with kinds of its own; ``above`` is the next one around it."""
+    """An element with kinds of its own; ``above`` is the next one around it. ``by_id`` are kinds that only its id tells of."""
     above: int
     kinds: int
     tag: str
     main: bool
+    by_id: int
+    slug: str
+
+
+def slug_of(text: str) -> str:
+    """Words of a heading or an id, as an id is made of them."""
+    return "-".join(re.findall(r"[^\W_]+", text.lower()))
 
 
-def _kinds_of(tag: str, raw: str, above: int) -> tuple[int, bool]:
-    """Kinds of an element itself, and whether it is the page's main element."""
-    kinds, main = 0, tag == "main"
+def _kinds_of(tag: str, raw: str, above: int) -> tuple[int, bool, int, str]:
+    """Kinds of an element itself, whether it is the page's main element, kinds that only its id tells of, and the id's slug.
+
+    Inside content an id is a part of the page's only on an element that can be one, and is taken back when the element's own
+    heading has the same slug (``settle_headings``): then it is an anchor."""
+    kinds, main, by_id, slug = 0, tag == "main", 0, ""
     if (k := TAGS.get(tag)) and not (k in ("header", "footer") and above & 1):
         kinds |= 1 << KINDS.index(k)
     if raw and not raw.isspace():
         attributes = attributes_of(raw)
         if tag not in ("html", "body"):  # their names tell of the whole page
-            for name in ("class", "id", "role"):
+            for name in ("class", "role"):
                 for token in attributes.get(name, "").split():
                     if k := kind_of_name(token):
                         kinds |= 1 << KINDS.index(k)
+            if (k := kind_of_name(attributes.get("id", ""))) and (tag in PARTS or not above & 1):
+                by_id = 1 << KINDS.index(k) & ~kinds
+                kinds |= by_id
+                if k not in TITLED and above & 1:
+                    slug = slug_of(attributes["id"])
             main = main or "main" in attributes.get("role", "").lower().split()
         if unseen(attributes):
             kinds |= HIDDEN
-    return kinds, main
+    return kinds, main, by_id & NOISE, slug
+
+
+def settle_headings(text: str, mark: int, marks: list[Mark]) -> None:
+    """Takes back what ids tell of the elements around a heading that has the same slug."""
+    slug = slug_of(text)
+    while mark >= 0:
+        if slug and marks[mark].slug == slug:
+            marks[mark].kinds &= ~marks[mark].by_id
+        mark = marks[mark].above
 
 
 def settle(blocks: list[Block], places: list[int], marks: list[Mark]) -> None:
@@ -215,6 +246,7 @@ def blocks_of(page: str) -> list[Block]:
     at_tag: dict[str, list[int]] = {}  # positions in the stack by tag, of blocks and of fences
     at_block: list[int] = []
     at_fence: list[int] = []
+    at_group: list[int] = []
     marks: list[Mark] = []
     places: list[int] = []
     parts: list[str] = []
@@ -228,7 +260,9 @@ def blocks_of(page: str) -> list[Block]:
             kinds = stack[-1][1] if stack else 0
             if text and not kinds & HIDDEN:
                 home = stack[at_block[-1]][0] if at_block else ""
-                parent = stack[at_fence[-1]][2] if at_fence else -1
+                parent = stack[at_group[-1]][2] if at_group else -1
+                if home in HEADINGS and stack[-1][3] >= 0:
+                    settle_headings(text, stack[-1][3], marks)
                 out.append(Block(text, min(linked, len(text)), home, kinds, len(stack), parent, min(common, len(stack))))
                 places.append(stack[-1][3] if stack else -1)
                 common = len(stack)
@@ -243,6 +277,8 @@ def blocks_of(page: str) -> list[Block]:
                 at_block.pop()
             if tag in FENCE:
                 at_fence.pop()
+            if tag in GROUPS:
+                at_group.pop()
         del stack[to:]
         common = min(common, to)
 
@@ -285,15 +321,17 @@ def blocks_of(page: str) -> list[Block]:
             continue
         above, mark = (stack[-1][1], stack[-1][3]) if stack else (0, -1)
         number += 1
-        kinds, main = _kinds_of(tag, m[3], above)
+        kinds, main, by_id, slug = _kinds_of(tag, m[3], above)
         if kinds:
-            marks.append(Mark(mark, kinds, tag, main))
+            marks.append(Mark(mark, kinds, tag, main, by_id, slug))
             mark = len(marks) - 1
         at_tag.setdefault(tag, []).append(len(stack))
         if tag in BLOCKS:
             at_block.append(len(stack))
         if tag in FENCE:
             at_fence.append(len(stack))
+        if tag in GROUPS:
+            at_group.append(len(stack))
         stack.append((tag, above | kinds, number, mark))
         links += tag == "a"
     add(page[done:])
@@ -325,6 +363,13 @@ BARE = (
 )
 
 
+#: Texts that are content inside content though they look like menus: cells, lists of links, definitions, code, bare lines.
+INSIDE = (
+    (1, 0.0, 0.2, 0.0, 0, 0, 1, 1), (1, 1.0, 0.4, 0.0, 0, 0, 1, 1), (1, 1.0, 0.5, 0.0, 0, 0, 1, 0), (1, 0.0, 0.4, 0.0, 0, 0, 1, 1),
+    (1, 0.0, 0.6, 0.3, 0, 0, 0, 0), (1, 0.0, 0.3, 0.0, 0, 0, 0, 1), (1, 1.0, 0.4, 0.0, 0, 0, 0, 1), (1, 1.0, 0.5, 0.0, 1, 0, 0, 1), (1, 1.0, 0.4, 0.0, 0, 1, 0, 1),
+)
+
+
 def _priors() -> tuple[np.ndarray, np.ndarray]:
     rows, labels = [], []
     for text in ((1, 0.0, 0.8, 0.6, 1, 0, 0, 0), (1, 0.5, 0.5, 0.1, 0, 0, 0, 1), (1, 0.0, 0.7, 0.5, 0, 0, 1, 0), (1, 0.0, 0.5, 0.0, 0, 1, 0, 1)):
@@ -335,6 +380,9 @@ def _priors() -> tuple[np.ndarray, np.ndarray]:
                 kinds[0] = max(kinds[0], inside)
                 rows.append(np.concatenate((kinds, text)))
                 labels.append(float(k == 0))
+    for text in INSIDE:
+        rows.append(np.concatenate(([1.0], np.zeros(len(KINDS) - 1), text)))
+        labels.append(1.0)
     for times, text, label in BARE:
         rows += [np.concatenate((np.zeros(len(KINDS)), text))] * times
         labels += [label] * times

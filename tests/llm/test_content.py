@@ -252,3 +252,40 @@ def test_offending_sentences(spark):
     for known in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1")):
         assert {r.toxicity for r in toxicity.score(frame, toxicity.fit(frame, known)).collect()} == {0.0}
     assert toxicity.score(frame.limit(0), toxicity.fit(frame.limit(0), labels)).count() == 0
+
+
+SAID = "This is a sentence of the article, long enough to be read as prose by anyone."
+ROWS = [("Year", "Rain"), *((str(1990 + i), f"{i * 7} mm") for i in range(6))]
+
+
+def framed(article):
+    return f"""<html><body class="site"><header><a href=/>Site</a></header><nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav>
+{article}<aside><p>Related story you may like.</p></aside><div class="cookie-notice"><p>We use cookies, as all do.</p></div><footer>&copy; Site</footer></body></html>"""
+
+
+KINDS_OF_PAGES = {
+    "table": (f"<article><h1>Head</h1><p>{SAID}</p><table>{''.join('<tr>' + ''.join(f'<td>{c}</td>' for c in r) + '</tr>' for r in ROWS)}</table><p>{SAID}</p></article>", ["Head", SAID, *(c for r in ROWS for c in r), SAID]),
+    "link list": (f"<article><h1>Head</h1><p>{SAID}</p><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul><p>{SAID}</p></article>", ["Head", SAID, "First source", "Second source", SAID]),
+    "cookies section": (f'<article><h1>Head</h1><p>{SAID}</p><section id="cookies"><h2>Cookies</h2><p>{SAID}</p><p>{SAID}</p></section></article>', ["Head", SAID, "Cookies", SAID, SAID]),
+    "login section": (f'<main><p>{SAID}</p><section id="log-in"><h2>Log in</h2><p>{SAID}</p></section><section id="login"><h2>Login</h2><p>{SAID}</p></section></main>', [SAID, "Log in", SAID, "Login", SAID]),
+    "anchors": (f'<article><h2 id="search">Find it</h2><p id="menu">{SAID}</p><p><a id="login"></a>{SAID}</p></article>', ["Find it", SAID, SAID]),
+    "code and definitions": (f"<article><p>{SAID}</p><pre>x = 1</pre><dl><dt>Term</dt><dd>Meaning</dd></dl><p>{SAID}</p></article>", [SAID, "x = 1", "Term", "Meaning", SAID]),
+    "figure": (f"<article><p>{SAID}</p><figure><img src=a><figcaption>A view</figcaption></figure><blockquote>Quoted</blockquote></article>", [SAID, "A view", "Quoted"]),
+    "comments inside": (f'<article><p>{SAID}</p><section id="comments"><h2>Comments</h2><p>{SAID}</p></section></article>', [SAID]),
+    "related inside": (f'<article><p>{SAID}</p><div id="related"><h3>Related</h3><a href=1>Other</a></div><form id=login><p>Your name, please.</p></form></article>', [SAID]),
+    "unnamed": (f"<div><div><h1>Head</h1><p>{SAID}</p><p>{SAID}</p><p>{SAID}</p></div></div>", ["Head", SAID, SAID, SAID]),
+}
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_nothing_of_an_article_is_lost(spark, trained):
+    """Hand-labelled kinds of pages; without and with training on the given pages."""
+    weights = html_text.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")) if trained else html_text.train([])
+    for name, (article, want) in KINDS_OF_PAGES.items():
+        assert html_text.main_text(framed(article), weights).split("\n") == want, name
+
+
+def test_page_columns_that_clash(spark):
+    pages = spark.createDataFrame([("<article><p>a b, c.</p></article>", 1, "t", 2, 3), (None, 2, "t", 2, 3)], "html string, __id int, Text string, __html int, page_id int")
+    found = html_text.extract(pages, html_text.fit(pages))
+    assert found.columns == ["html", "__id", "__html", "page_id", "text"] and {r["__id"]: r.text for r in found.collect()} == {1: "a b, c.", 2: ""}
