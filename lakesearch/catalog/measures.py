@@ -459,12 +459,15 @@ def feedback_conflicts(spark, sf):
     return experience.feedback_conflicts(redelivered(spark, sf), ["experience_id", "outcome", "notes", "occurred_at"])
 
 
-@query(
-    "e10_request_outcomes",
-    """WITH RECURSIVE req AS (SELECT event_type AS actor, user_id AS key, CASE WHEN value > 30 THEN 'a' ELSE 'b' END AS h, ts AS t, event_id AS seq FROM events),
+KEYED = """WITH RECURSIVE req AS (SELECT event_type AS actor, user_id AS key, CASE WHEN value > 30 THEN 'a' ELSE 'b' END AS h, ts AS t, event_id AS seq FROM events),
        opens AS (SELECT actor, key, min((t, seq)) AS o FROM req GROUP BY ALL UNION ALL SELECT actor, key, nxt FROM (SELECT o.actor, o.key, (SELECT min((r.t, r.seq)) FROM req r WHERE r.actor = o.actor AND r.key = o.key AND r.t > o.o[1] + INTERVAL 2 DAY) AS nxt FROM opens o) WHERE nxt IS NOT NULL),
        w AS (SELECT r.seq, r.h, max(o) AS o FROM req r JOIN opens o ON o.actor = r.actor AND o.key = r.key AND o.o <= (r.t, r.seq) GROUP BY r.seq, r.h)
-       SELECT w.seq, CASE WHEN w.o[2] = w.seq THEN 'first' WHEN r.h = w.h THEN 'replay' ELSE 'conflict' END AS outcome FROM w JOIN req r ON r.seq = w.o[2]""",
+       SELECT w.seq, CASE WHEN w.o[2] = w.seq THEN 'first' WHEN r.h = w.h THEN 'replay' ELSE 'conflict' END AS outcome FROM w JOIN req r ON r.seq = w.o[2]"""
+
+
+@query(
+    "e10_request_outcomes",
+    KEYED,
 )
 def request_outcomes(spark, sf):
     requests = table(spark, sf, "events").select(

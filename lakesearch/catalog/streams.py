@@ -5,10 +5,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from lakesearch.catalog.bindings import DOCS, FEEDBACK, documents, table, with_
-from lakesearch.catalog.measures import UPSERTS, WALK
+from lakesearch.catalog.measures import KEYED, UPSERTS, WALK
 from lakesearch.catalog.registry import query
-from lakesearch.session import shared_dir
-from lakesearch.streaming import changes, feedback, keyed_state, tables
+from lakesearch.catalog.tables import RECONCILED, VERSIONS, numbered_versions
+from lakesearch.session import materialise, shared_dir
+from lakesearch.streaming import changes, feedback, keyed_state, reconcile, tables
 
 
 def folder(spark):
@@ -62,19 +63,34 @@ def lifecycle(spark, sf):
     target = F.when(kind == "signup", "pending").when(kind == "purchase", "proven").when(kind == "error", "deprecated").when(kind == "view", "archived").otherwise("candidate")
     rows = keyed_state.lifecycle(stream(spark, sf, "events").select(F.col("user_id").alias("experience_id"), target.alias("target"), F.col("event_id").alias("seq")))
     path = folder(spark)
-    tables.run_to_end(tables.write_updates(rows, path, f"{path}-checkpoint", "append"))
+    tables.run_to_end(tables.write_updates(rows, path, f"{path}-checkpoint", "append", keyed=True))
     return spark.read.schema(rows.schema).parquet(f"{path}/batch=*")
 
 
-@query("z03_keyed_requests")
+@query("v05_reconcile_stream", with_(VERSIONS, RECONCILED, "SELECT version_id, status, document_id FROM reconciled"))
+def reconcile_stream(spark, sf):
+    """Versions and job outcomes as two streams; what has been closed when both have ended."""
+    path, priority = folder(spark), F.col("o_orderpriority")
+    orders, held = table(spark, sf, "orders"), materialise(numbered_versions(spark, sf), "stream-versions")
+    held.join(orders.select(F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").cast("timestamp").alias("created_at")), "version_id").write.parquet(f"{path}/versions")
+    status = F.when(priority == "1-URGENT", "succeeded").when(priority == "2-HIGH", "deduplicated").when(priority == "3-MEDIUM", "running").when(priority == "5-LOW", "cancelled").otherwise("failed")
+    jobs = orders.select(F.col("o_orderkey").alias("ingest_job_id"), status.alias("job_status"), (F.col("o_orderkey") + 5).alias("document_id"), F.timestamp_add("HOUR", F.lit(5), F.col("o_orderdate").cast("timestamp")).alias("ended_at"))
+    jobs.write.parquet(f"{path}/jobs")
+    read = lambda name: spark.readStream.schema(spark.read.parquet(f"{path}/{name}").schema).parquet(f"{path}/{name}")
+    rows = reconcile.closings(read("versions"), read("jobs"))
+    tables.run_to_end(tables.write_updates(rows, f"{path}/out", f"{path}-checkpoint", "append"))
+    return reconcile.closed(held, spark.read.schema(rows.schema).parquet(f"{path}/out/batch=*")).select("version_id", "status", "document_id")
+
+
+@query("z03_keyed_requests", KEYED)
 def keyed_requests(spark, sf):
     requests = stream(spark, sf, "events").select(
         F.col("event_type").alias("actor"), F.col("user_id").alias("key"), F.when(F.col("value") > 30, "a").otherwise("b").alias("request_hash"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"),
     )
     rows = keyed_state.keyed_requests(requests, 2 * 86400)
     path = folder(spark)
-    tables.run_to_end(tables.write_updates(rows, path, f"{path}-checkpoint", "append"))
-    return spark.read.schema(rows.schema).parquet(f"{path}/batch=*")
+    tables.run_to_end(tables.write_updates(rows, path, f"{path}-checkpoint", "append", keyed=True))
+    return spark.read.schema(rows.schema).parquet(f"{path}/batch=*").select("seq", "outcome")
 
 
 @query(

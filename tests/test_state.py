@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakesearch.operators import experience, versions
 from lakesearch.operators.quality import containing_documents, split_valid
 from lakesearch.operators.running import running
-from lakesearch.streaming import changes, feedback, keyed_state, tables
+from lakesearch.streaming import changes, feedback, keyed_state, reconcile, tables
 
 DAY = dt.datetime(2026, 1, 1)
 
@@ -125,24 +125,84 @@ def test_new_pages_over_batches(spark, tmp_path):
     assert sorted(r.page_id for r in spark.read.parquet(f"{path}/batch=*").collect()) == [1, 4]
 
 
+def append_batch(spark, tmp_path, number, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(number)))
+
+
+def run_keyed(out, path):
+    tables.run_to_end(tables.write_updates(out, path, f"{path}-cp", "append", keyed=True))
+
+
 def test_keyed_requests_over_batches(spark, tmp_path):
+    """Several batches, a restart from the checkpoint, windows that end, and a late delivery; the batch result is the same."""
     schema = "actor string, key string, request_hash string, at timestamp, seq long"
-    row = lambda h, hours, seq: ("a", "k", h, DAY + dt.timedelta(hours=hours), seq)
-    stream = as_stream(spark, tmp_path, [[row("x", 0, 1), row("x", 1, 2)], [row("y", 2, 3), row("y", 30, 4)]], schema)
-    out = keyed_state.keyed_requests(stream, 86400)
+    row = lambda h, hours, seq, key="k": ("a", key, h, DAY + dt.timedelta(hours=hours), seq)
+    batches = [[row("x", 1, 2), row("x", 0, 1), row("q", 0, 10, "other")], [row("y", 2, 3), row("y", 30, 4), row("y", 24, 5)], [row("z", 30.5, 6)]]
+    stream = as_stream(spark, tmp_path, batches[:2], schema)
     path = str(tmp_path / "req")
-    tables.run_to_end(tables.write_updates(out, path, f"{path}-cp", "append"))
-    rows = spark.read.schema(out.schema).parquet(f"{path}/batch=*").orderBy("seq").collect()
-    assert [r.outcome for r in rows] == ["first", "replay", "conflict", "first"]
+    run_keyed(keyed_state.keyed_requests(stream, 86400), path)
+    append_batch(spark, tmp_path, 2, batches[2], schema)
+    append_batch(spark, tmp_path, 3, [row("w", 3, 7), row("v", 200, 8, "far")], schema)  # the first of them is behind the watermark
+    out = keyed_state.keyed_requests(stream, 86400)
+    run_keyed(out, path)
+    rows = {r.seq: r.outcome for r in spark.read.schema(out.schema).parquet(f"{path}/batch=*").collect()}
+    assert rows == {1: "first", 2: "replay", 10: "first", 3: "conflict", 5: "conflict", 4: "first", 6: "conflict", 8: "first"}
+    whole = experience.request_outcomes(spark.createDataFrame([r for b in batches for r in b], schema), 86400)
+    assert {r.seq: r.outcome for r in whole.collect()} == {k: v for k, v in rows.items() if k != 8}
+    # windows that have ended are gone from the state
+    append_batch(spark, tmp_path, 4, [row("u", 400, 9, "far")], schema)
+    run_keyed(keyed_state.keyed_requests(stream, 86400), path)
+    state = spark.read.format("statestore").option("path", f"{path}-cp").option("stateVarName", "window").load()
+    assert [r.key["key"] for r in state.collect()] == ["far"]
 
 
 def test_lifecycle_over_batches(spark, tmp_path):
-    stream = as_stream(spark, tmp_path, [[(1, "proven", 1)], [(1, "pending", 2), (1, "deprecated", 3)]], "experience_id int, target string, seq long")
-    out = keyed_state.lifecycle(stream)
+    schema = "experience_id int, target string, seq long"
+    stream = as_stream(spark, tmp_path, [[(1, "proven", 1), (2, "proven", 5), (2, "deprecated", 4)], [(1, "deprecated", 3), (1, "pending", 2)]], schema)
     path = str(tmp_path / "moves")
-    tables.run_to_end(tables.write_updates(out, path, f"{path}-cp", "append"))
-    rows = spark.read.schema(out.schema).parquet(f"{path}/batch=*").orderBy("seq").collect()
-    assert [(r.from_status, r.to_status) for r in rows] == [("candidate", "proven"), ("proven", "deprecated")]
+    run_keyed(keyed_state.lifecycle(stream), path)
+    append_batch(spark, tmp_path, 2, [(1, "archived", 6), (3, "candidate", 7)], schema)
+    out = keyed_state.lifecycle(stream)
+    run_keyed(out, path)
+    rows = spark.read.schema(out.schema).parquet(f"{path}/batch=*").collect()
+    moves = sorted((r.experience_id, r.seq, r.from_status, r.to_status) for r in rows)
+    assert [m for m in moves if m[0] == 1] == [(1, 1, "candidate", "proven"), (1, 3, "proven", "deprecated"), (1, 6, "deprecated", "archived")]
+    items = spark.createDataFrame([(i, "candidate") for i in (1, 2, 3)], "experience_id int, status string")
+    asked = spark.createDataFrame([(1, "proven", 1), (2, "proven", 5), (2, "deprecated", 4), (1, "deprecated", 3), (1, "pending", 2), (1, "archived", 6), (3, "candidate", 7)], schema)
+    assert sorted((r.experience_id, r.seq) for r in experience.apply_transitions(items, asked)[1].collect()) == [m[:2] for m in moves]
+
+
+def test_outcomes_meet_their_versions(spark, tmp_path):
+    """Outcomes before and after their batch, repeated, late and missing ones, over batches and a restart."""
+    kind = "version_id long, ingest_job_id long, supersedes_version_id long, status string, created_at timestamp, source_id string, url_hash string, version int, content_hash string, document_id long"
+    at = lambda hours: DAY + dt.timedelta(hours=hours)
+    version = lambda i, job, before, hours, status="queued": (i, job, before, status, at(hours), "s", f"u{i % 2}", i, f"h{i}", None)
+    held = [version(1, 11, None, 0, "active"), version(2, 12, 1, 1), version(3, 13, 2, 2), version(4, 14, 1, 3), version(5, 15, 4, 4), version(6, 16, 5, 5), version(9, 19, None, 900)]
+    outcome = "ingest_job_id long, job_status string, document_id long, ended_at timestamp"
+    batches = [
+        [(12, "succeeded", 102, at(6)), (13, "running", None, at(6)), (14, "failed", None, at(5))],
+        [(12, "succeeded", 999, at(6.5)), (13, "deduplicated", 103, at(7)), (15, "cancelled", None, at(30))],
+        [(99, "failed", None, at(600))],
+        [(16, "succeeded", 106, at(10))],  # far behind the watermark: dropped
+        [(98, "failed", None, at(901))],
+    ]
+    folders = {k: str(tmp_path / k) for k in ("versions", "jobs", "out")}
+    put = lambda k, n, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folders[k]}/{n}")
+    put("versions", 0, held[:-1], kind)
+    read = lambda k, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folders[k])
+    for n, rows in enumerate(batches):
+        put("jobs", n, rows, outcome)
+        if n == 2:
+            put("versions", 1, held[-1:], kind)
+        stream = reconcile.closings(read("versions", kind), read("jobs", outcome), "5 days")
+        tables.run_to_end(tables.write_updates(stream, folders["out"], f"{folders['out']}-cp", "append"))
+    rows = spark.read.schema(stream.schema).parquet(f"{folders['out']}/batch=*")
+    assert sorted(map(tuple, rows.collect())) == [(2, 1, "active", 102), (3, 2, "active", 103), (4, 1, "failed", None), (5, 4, "failed", None), (6, 5, "open", None)]
+    # what the batch rule gives for the outcomes that were in time
+    in_time = [r for n in (0, 1) for r in batches[n] if r[2] != 999]
+    every = spark.createDataFrame(held, kind)
+    key = lambda df: sorted((r.version_id, r.status, r.document_id, r.changed) for r in df.collect())
+    assert key(reconcile.closed(every, rows)) == key(versions.reconcile(every, spark.createDataFrame(in_time, outcome)))
 
 
 @pytest.mark.parametrize("body, problem", [
