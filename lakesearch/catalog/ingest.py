@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakesearch.catalog.bindings import DOCS, documents, table, with_
 from lakesearch.catalog.registry import query
 from lakesearch.catalog.tables import published
-from lakesearch.functions.table_functions import register_chunk_function
+from lakesearch.functions.table_functions import register_chunk_function, register_chunk_table
 from lakesearch.operators import chunking, embedding, maintenance
 from lakesearch.plans import ingest
 from lakesearch.session import shared_dir
@@ -50,6 +50,14 @@ def chunk_function(spark, sf):
     return spark.sql("SELECT document_id, c.* FROM chunkable, LATERAL chunk_text(text) AS c")
 
 
+@query("h05_chunk_table")
+def chunk_table(spark, sf):
+    """Whole tables of pages chunked in SQL, their columns kept."""
+    register_chunk_table(spark)
+    chunking.pages(paged(spark, sf)).createOrReplaceTempView("chunkable_pages")
+    return spark.sql("SELECT * FROM chunk_table(TABLE(chunkable_pages) PARTITION BY document_id ORDER BY (page_position), 'text')")
+
+
 @query(
     "c09_chunk_rows",
     with_(DOCS, """SELECT document_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id,

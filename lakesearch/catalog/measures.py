@@ -1,12 +1,16 @@
 """Evaluation, evidence, data quality and experience queries over the given tables."""
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakesearch.catalog.bindings import CHUNKS, DOCS, FEEDBACK, GOLD, QUERIES_CTE, chunks, documents, feedback, gold, queries, table, with_
 from lakesearch.catalog.registry import query
 from lakesearch.catalog.retrieval import BM, BM_SCORES, INDEX, index, topk_sql
 from lakesearch.catalog.tables import ts
-from lakesearch.operators import evaluation, evidence, experience, keyword, maintenance, quality
+from lakesearch.operators import evaluation, evidence, experience, keyword, maintenance, quality, quantiles
+from lakesearch.session import shared_dir
 
 # ---------------------------------------------------------------- retrieval quality
 
@@ -70,6 +74,16 @@ def percentile(spark, sf):
     return evaluation.nearest_rank(table(spark, sf, "events"), "value", 0.95, ("event_type",)).select("event_type", F.col("percentile").alias("p95"))
 
 
+@query("a03_percentile_range", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events WHERE ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY event_type")
+def percentile_range(spark, sf):
+    """From stored counts by day: which bucket holds the value; only its rows are read again."""
+    events, day = table(spark, sf, "events"), F.to_date("ts")
+    path = f"{shared_dir(spark)}/quantile-counts-{uuid.uuid4().hex}"
+    quantiles.append_counts(events, path, 0, day, "value", ("event_type",))
+    found = quantiles.nearest_rank(events, quantiles.stored_counts(spark, path), 0.95, dt.date(2024, 1, 10), dt.date(2024, 1, 20), day, "value", ("event_type",))
+    return found.select("event_type", F.col("percentile").alias("p95"))
+
+
 @query("a03_percentile_total", "SELECT quantile_disc(l_extendedprice, 0.5) AS median FROM lineitem")
 def percentile_total(spark, sf):
     return evaluation.nearest_rank(table(spark, sf, "lineitem"), "l_extendedprice", 0.5).select(F.col("percentile").alias("median"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakesearch.functions.ids import chunk_id
 from lakesearch.operators.running import running
+from lakesearch.session import materialise
 
 # Page marker, headings and separators in order of preference.
 PAGE_MARKER = r"(?:^|\n)--- Page (\d+) ---\n"
@@ -110,6 +111,7 @@ def chunk_documents(docs: DataFrame, count: Callable[[str], int] = default_count
 
     schema = f"{key} {kind}, page_position int, page_no int, text string, piece int, token_count int"
     parts = pages(docs.select(key, "text"), (key,)).select(key, "page_position", "page_no", "text").mapInPandas(split, schema)
+    parts = materialise(parts, "chunk-parts")  # read for the sizes and for the rows, split once
     # The pieces of a page are counted first, so numbering needs only the page list of a document.
     sizes = parts.groupBy(key, "page_position").agg(F.count("*").alias("n"))
     first = Window.partitionBy(key).orderBy("page_position").rowsBetween(Window.unboundedPreceding, -1)

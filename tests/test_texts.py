@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from lakesearch.functions import coerce, ids, text, urls
+from lakesearch.functions import coerce, ids, table_functions, text, urls
 from lakesearch.operators import chunking, cleaning, embedding, evaluation, evidence, sync
 from lakesearch.sources import feeds, files, html
 
@@ -141,6 +141,26 @@ def test_packed_context_is_the_longest_that_fits(spark, budget):
     assert [(r.chunk_id, r.text, r.truncated) for r in packed(spark, texts, budget)] == want
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
+def test_chunk_table_agrees_with_the_chunks(spark, sf):
+    """SQL over all given documents, and made ones with headings, blank pages and long lines, against the chunk operator."""
+    from lakesearch.catalog import ingest
+
+    legal = "第一章 总则\n" + "条文 " * 900 + "\n--- Page 2 ---\n第三条 内容。" + "文" * 2000 + "\n--- Page 3 ---\n \n--- Page 4 ---\n第二章\n尾"
+    made = spark.createDataFrame([(-1, legal), (-2, ""), (-3, None), (-4, "x" * 9000)], "document_id long, text string")
+    docs = ingest.paged(spark, sf).unionByName(made)
+    want = chunking.chunk_documents(docs)
+    table_functions.register_chunk_table(spark)
+    chunking.pages(docs.withColumn("Tag", F.lit("t"))).createOrReplaceTempView("paged_here")
+    found = spark.sql("SELECT * FROM chunk_table(TABLE(paged_here) PARTITION BY document_id ORDER BY (page_position), 'text')")
+    columns = ["document_id", "chunk_index", "text", "page_no", "token_count", "chapter_no", "article_no", "content_type"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=str)
+    assert rows(found) == rows(want) and found.columns[:4] == ["document_id", "Tag", "page_position", "page_no"]
+    assert found.where("document_id = -1 AND article_no IS NOT NULL").count() > 1
+    with pytest.raises(Exception, match="name a column"):
+        spark.sql("SELECT * FROM chunk_table(TABLE(paged_here) PARTITION BY (document_id), 'body')").collect()
+
+
 def test_nested_json(spark):
     value = ' {"b": " x ", "a": [1, true, null, "", "{\\"k\\": 1}", {"z": null, "y": [["deep"], 2.5]}], "n": null, "e": {}} '
     assert one(spark, value, feeds.nested_text) == "- b: x\n- a: 1\nTrue\n{\"k\": 1}\n- y: deep\n2.5\n- e: "
