@@ -9,6 +9,8 @@ functions are used.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesearch.llm.rows import free_names
+
 #: Entry kinds by how specific they are.
 KINDS = {"domain": 1, "host": 2, "prefix": 3}
 
@@ -79,13 +81,15 @@ def decide(captures: DataFrame, changes: DataFrame, url: str = "url", fetched_at
     active = sought.join(spread, ["kind", "key", "m"]).where("valid_from <= __at and (valid_to is null or __at < valid_to)")
     level = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in KINDS.items()], F.lit(0))
     best = active.groupBy("__url", "__at").agg(F.max(F.struct(level.alias("level"), F.length("key").alias("size"), "key", "kind", "action", "valid_from", "valid_to")).alias("best"))
-    same = F.col(f"`{url}`").eqNullSafe(F.col("__url")) & F.col(f"`{fetched_at}`").cast("timestamp").eqNullSafe(F.col("__at"))
+    u, t, found = free_names(rows, "__url", "__at", "__best")
+    best = best.select(F.col("__url").alias(u), F.col("__at").alias(t), F.col("best").alias(found))
+    same = F.col(f"`{url}`").eqNullSafe(F.col(u)) & F.col(f"`{fetched_at}`").cast("timestamp").eqNullSafe(F.col(t))
     joined = rows.join(best, same, "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in rows.columns],
-        F.coalesce("best.action", F.lit("none")).alias("decision"),
-        F.col("best.kind").alias("matched_kind"),
-        F.col("best.key").alias("matched_key"),
-        F.col("best.valid_from").alias("valid_from"),
-        F.col("best.valid_to").alias("valid_to"),
+        F.coalesce(F.col(found)["action"], F.lit("none")).alias("decision"),
+        F.col(found)["kind"].alias("matched_kind"),
+        F.col(found)["key"].alias("matched_key"),
+        F.col(found)["valid_from"].alias("valid_from"),
+        F.col(found)["valid_to"].alias("valid_to"),
     )

@@ -126,6 +126,13 @@ def test_lists_in_force(spark):
     assert url_filter.decide(captures.limit(0), listed).count() == 0
 
 
+def test_filter_of_clashing_columns(spark):
+    captures = spark.createDataFrame([("http://a.org", "2024-01-02", 1, 2, 3, 4, 5)], "url string, fetched_at string, __url int, __AT int, best int, m int, __best int")
+    listed = spark.createDataFrame([("host", "a.org", "block", "2024-01-01", 9)], "kind string, key string, action string, listed_at string, url int")
+    found = url_filter.decide(captures, listed)
+    assert found.columns[:7] == captures.columns and found.first()[:8] == (*captures.first(), "block")
+
+
 def test_filter_runs_in_the_jvm(spark):
     docs = spark.createDataFrame([("http://a.org", "2024-01-01")], "url string, fetched_at string")
     listed = spark.createDataFrame([("host", "a.org", "block", "2024-01-01")], "kind string, key string, action string, listed_at string")
