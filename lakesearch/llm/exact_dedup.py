@@ -24,9 +24,6 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     # many small stores: don't let each reserve megabytes for its logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
-    # stores of a stream that has ended are closed soon, not after a minute in which later stages need their memory
-    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 #: Rows of keys sent to all tasks; more are joined by a shuffle. Copies from which a digest counts as heavy.
 BROADCAST_ROWS, HEAVY = 50_000, 256
@@ -106,7 +103,6 @@ def dedup_path(spark: SparkSession, path: str, schema: StructType | None = None,
     home = home or f"{shared_dir(spark)}/exact-dedup-{uuid.uuid4().hex}"
     state = stream_state(spark, path, schema, home, id_column, text, digest, bytes_per_batch)
     rows = spark.read.schema(schema).parquet(path)
-    state = materialise(state, "exact-dedup-state")
     groups = _with_state(_located(rows, id_column, text, digest), state)
 
     hit = narrowed(
