@@ -25,8 +25,8 @@ from lakesearch.llm.words import LOWER, blocks, grams, mixed, run_hashes, trimme
 HISTOGRAM_BITS = 18
 #: A group holds so many sets at most, and so many tokens unless a single set has more.
 GROUP_SETS, GROUP_TOKENS = 128, 500_000
-#: Groups that are asked together: those of so many neighbouring partitions and, in each, of so many tokens.
-BUCKET_PARTITIONS, BUCKET_TOKENS = 8, 250_000
+#: Groups that are asked together hold so many tokens, however the sets are partitioned.
+BUCKET_TOKENS = 2_000_000
 #: Query sets that meet one copy of a bucket, and those looked up at once.
 QUERIES_PER_COPY, QUERIES_AT_ONCE = 1000, 64
 #: Tokens whose columns are multiplied at once, and sets a task remembers to have sent.
@@ -213,7 +213,7 @@ def _shared_sets(docs: DataFrame, n: int, num: int, den: int, frequency) -> Data
     return pairs.repartitionByRange(parts, "token", "sid").sortWithinPartitions("token", "sid").mapInArrow(trimmed(meet), "sid long, n long").groupBy("sid").agg(F.sum("n").alias("n"))
 
 
-GROUP = "gid long, bucket long, nodes array<binary>, homes array<binary>, sizes array<int>, tokens binary"
+GROUP = "gid long, gone long, nodes array<binary>, homes array<binary>, sizes array<int>, tokens binary"
 
 
 def _set_rows(n: int):
@@ -249,8 +249,8 @@ def _cut_groups(num: int, den: int, group_sets: int):
             least.setdefault(int(home[k]), nodes[k])
         part = TaskContext.get().partitionId()
         return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 32) + number]), pa.array([(part // BUCKET_PARTITIONS << 32) + gone // BUCKET_TOKENS]), pa.array([nodes], pa.list_(pa.binary())), pa.array([[least[int(h)] for h in home]], pa.list_(pa.binary())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([np.concatenate(sets).tobytes()], pa.binary())],
-            names=["gid", "bucket", "nodes", "homes", "sizes", "tokens"],
+            [pa.array([(part << 32) + number]), pa.array([gone]), pa.array([nodes], pa.list_(pa.binary())), pa.array([[least[int(h)] for h in home]], pa.list_(pa.binary())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([np.concatenate(sets).tobytes()], pa.binary())],
+            names=["gid", "gone", "nodes", "homes", "sizes", "tokens"],
         )
 
     def run(batches):
@@ -272,6 +272,17 @@ def _cut_groups(num: int, den: int, group_sets: int):
     return run
 
 
+def in_buckets(groups: DataFrame, most: int = BUCKET_TOKENS) -> DataFrame:
+    """``groups`` with their ``bucket``: neighbours in order whose tokens are about ``most`` together. ``gone``, the tokens in front
+    of a group in its partition, is counted on from partition to partition; the driver gets a number for each partition."""
+    part = F.shiftright("gid", 32)
+    held = sorted(map(tuple, groups.groupBy(part.alias("part")).agg(F.max(F.col("gone") + F.octet_length("tokens") / 8).cast("long")).collect()))
+    before = np.cumsum([0, *(n for _, n in held)]).tolist()
+    bases = groups.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(held, before)], "part long, base long")
+    placed = groups.withColumn("part", part).join(F.broadcast(bases), "part")
+    return placed.select("gid", F.floor((F.col("base") + F.col("gone")) / most).alias("bucket"), "nodes", "homes", "sizes", "tokens")
+
+
 def _members(num: int, den: int, frequency):
     """A row per member and prefix token."""
 
@@ -399,7 +410,7 @@ def _enough(met: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(F.col("met") >= _asked_for(F.col("size"), num, den)).select("gid", "member", "target")
 
 
-def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text: str = "text", group_sets: int = GROUP_SETS) -> DataFrame:
+def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text: str = "text", group_sets: int = GROUP_SETS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, node, n_shingles, component_id, first (the node of the component's least document) for every row of ``docs``.
 
     Sets are the distinct runs of ``n`` words (ASCII white space, A-Z lower-cased) of whole texts; a shorter text is one run.
@@ -422,7 +433,7 @@ def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     order = ["m0", "m1", "m2", "size", "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     alike = sets.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    groups = materialise(alike.mapInArrow(trimmed(_cut_groups(num, den, group_sets)), GROUP), "ngram-groups")
+    groups = in_buckets(materialise(alike.mapInArrow(trimmed(_cut_groups(num, den, group_sets)), GROUP), "ngram-groups"), bucket_tokens)
     members = materialise(groups.mapInArrow(trimmed(_members(num, den, frequency)), "token long, gid long, bucket long, member int, home binary, size int"), "ngram-members")
 
     # a token matters if different groups and different homes hold it; sets that share enough tokens ask the tokens' first group

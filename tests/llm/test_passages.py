@@ -51,11 +51,11 @@ def test_repeats_of_odd_rows(spark, strings):
     assert substring_dedup.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("group", [3, 128])
+@pytest.mark.parametrize("group, bucket", [(3, 100), (128, 2_000_000)])
 @pytest.mark.parametrize("seed, n, num", [(1, 3, 90), (2, 5, 80), (3, 2, 50)])
-def test_components_of_links(spark, seed, n, num, group):
+def test_components_of_links(spark, seed, n, num, group, bucket):
     rows = corpus(seed)
-    found = ngram_join.join_classes(spark.createDataFrame(rows, SCHEMA), n, num, 100, group_sets=group).collect()
+    found = ngram_join.join_classes(spark.createDataFrame(rows, SCHEMA), n, num, 100, group_sets=group, bucket_tokens=bucket).collect()
     want = plain.components(rows, n, num, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want and len(found) == len(rows)
     assert len({c for _, c in want.values()}) < len(rows) - 2
