@@ -7,7 +7,8 @@ cycle of shards, from its activation on, and the scans end when no phrase is lef
 
 Which phrases have reached the threshold is known to the tasks through a table of fixed size: one byte a slot of hashed phrases,
 the step at which the slot's first phrase reached it. Phrases that share a slot can only activate others too early, never too
-late, and every task of every later step derives the same step from it, so a full cycle stays a full cycle. Counts travel as
+late, no phrase is activated before its subphrases are, and every task of every later step derives the same step from this, so a
+full cycle stays a full cycle. Counts travel as
 sorted, delta-coded arrays of 64-bit phrase hashes by bucket. A last scan counts the texts of the phrases whose hash is frequent:
 what is reported are counts of texts, not of hashes.
 """
@@ -90,7 +91,8 @@ class Phrases:
             # a phrase one word longer needs this one and the one that begins a word later
             pair = np.flatnonzero((reached[:-1] != NEVER) & (reached[1:] != NEVER) & (at[1:] == at[:-1] + 1))
             pair = pair[self.piece[at[pair]] == self.piece[np.minimum(at[pair] + level, len(self.piece) - 1)]]
-            act = np.maximum(reached[pair], reached[pair + 1]) + np.uint8(1)
+            # not before its subphrases are seen themselves: their slots may have been reached by other phrases long ago
+            act = np.maximum(np.maximum(reached[pair], reached[pair + 1]) + np.uint8(1), np.maximum(act[pair], act[pair + 1]))
             at, keys = at[pair], mixed(keys[pair] * _STEP + self.keys[np.minimum(at[pair] + level, len(self.keys) - 1)])
             if not len(at):
                 return

@@ -56,6 +56,16 @@ def test_collocations(spark, shards, slot_bits, longest, inside, most):
     assert len(found) == len(want) > 10 and {(x.lang, x["rank"], x.phrase, x.a, x.l, x.r, x.n, x.score) for x in found} == want
 
 
+def test_collocations_of_copies_that_share_slots(spark):
+    """A slot reached early by one phrase must not begin the cycle of another's extension before that can be seen."""
+    r = random.Random(1)
+    copies = [" ".join(f"w{r.randint(0, 400)}" for _ in range(60)) for _ in range(12)]
+    rows = [(r.choice(["en", "de"]), text) for text in copies for _ in range(r.randint(6, 14))]
+    found = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(5), 8, 5, 2000, 4, 100, 10).collect()
+    want = plain_collocations(rows, 8, 5, 2000, 100)
+    assert len(found) == len(want) > 100 and {(x.lang, x["rank"], x.phrase, x.a, x.l, x.r, x.n, x.score) for x in found} == want
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string"), 2).count() == 0
     assert collocations.collocations(spark.createDataFrame([(None, None), ("en", "a b")], "lang string, text string"), 2).count() == 0
