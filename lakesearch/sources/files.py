@@ -1,5 +1,6 @@
 """Files and inline items as rows with bytes, hash, address and type."""
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from lakesearch.functions.text import strip
 
 # Largest accepted corpus document and JSON text.
 MAX_CORPUS_BYTES, MAX_JSON_CHARS = 5_000_000, 200_000
+#: Files beyond this size are hashed by pieces, not from a column of their bytes.
+STREAMED_BYTES, PIECE_BYTES = 32 << 20, 1 << 20
 FRONT_MATTER = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 
 
@@ -26,30 +29,44 @@ def expand_braces(pattern: str) -> list[str]:
     return [f"{head}{choice}{tail}" for choice in body.split(",") if choice]
 
 
+@F.pandas_udf(T.StringType())
+def streamed_hash(paths: pd.Series) -> pd.Series:
+    """SHA-256 of files under ``file:``, read a piece at a time."""
+
+    def digest(path: str) -> str:
+        done = hashlib.sha256()
+        with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as file:
+            while piece := file.read(PIECE_BYTES):
+                done.update(piece)
+        return done.hexdigest()
+
+    return paths.map(digest)
+
+
 def scan_directory(spark: SparkSession, root: str, pattern: str = "**/*", uri_template: str = "sync://{root_key}/{relative}", root_key: str = "root") -> DataFrame:
     """Files below a folder: address, name, bytes, hash and type, each file once.
 
     The last segment of every alternative of ``pattern`` filters file names;
     sub-folders are always searched.
     """
-    parts = [
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob.rsplit("/", 1)[-1]).load(root)
-        for glob in expand_braces(pattern)
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    # File names are compared before any content is shuffled.
+    # several alternatives are one glob, so that no file is listed twice
+    globs = sorted({glob.rsplit("/", 1)[-1] for glob in expand_braces(pattern)})
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}").load(root)
+    # content stays with the scan: it isn't read for long files unless it is asked for, and never shuffled
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+        # a bare comparison of the length is pushed down to the scan
+        rows = found.where(F.col("length") <= STREAMED_BYTES).withColumn("content_hash", F.sha2("content", 256))
+        rows = rows.unionByName(found.where(F.col("length") > STREAMED_BYTES).withColumn("content_hash", streamed_hash("path")))
+    else:  # other file systems give whole contents only
+        rows = found.withColumn("content_hash", F.sha2("content", 256))
     plain_root = F.lit(root.rstrip("/").removeprefix("file:"))
     path = F.regexp_replace("path", r"^file:/+", "/")
     relative = F.regexp_replace(F.substring(path, F.length(plain_root) + 1, F.length(path)), r"^/+", "")
     head, _, tail = uri_template.replace("{root_key}", root_key).partition("{relative}")
-    named = rows.select("path", relative.alias("relative"), "content")
-    once = named if len(parts) == 1 else named.dropDuplicates(["path"])
     name = F.regexp_extract("relative", r"([^/]+)$", 1)
-    return once.select(
-        F.concat(F.lit(head), "relative", F.lit(tail)).alias("source_uri"), name.alias("filename"), "content",
-        F.sha2("content", 256).alias("content_hash"), mime_by_extension(name).alias("mime"), "relative",
+    return rows.withColumn("relative", relative).select(
+        F.concat(F.lit(head), "relative", F.lit(tail)).alias("source_uri"), name.alias("filename"), "content", "content_hash", mime_by_extension(name).alias("mime"), "relative",
     )
 
 

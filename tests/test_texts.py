@@ -229,3 +229,14 @@ def test_sync_rounds(spark):
     rows = spark.createDataFrame(first, schema)
     digests = sorted((hashlib.md5(e).hexdigest()[:3], hashlib.sha256(e).hexdigest()) for e in (b"sync://a:1", b"sync://b:2"))
     assert sync.fingerprint(rows).first().fingerprint == hashlib.sha256("|".join(":".join(d) for d in digests).encode()).hexdigest()[:32]
+
+
+def test_long_files_are_hashed_by_pieces_and_never_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "STREAMED_BYTES", 10)
+    given = {"a b.md": b"x" * 10, "c%20.txt": bytes(range(256)) * 9000, "d.bin": b"no"}
+    for name, data in given.items():
+        (tmp_path / name).write_bytes(data)
+    found = files.scan_directory(spark, str(tmp_path), "*.{md,txt}")
+    assert {r.filename: r.content_hash for r in found.select("filename", "content_hash").collect()} == {n: hashlib.sha256(d).hexdigest() for n, d in given.items() if n != "d.bin"}
+    assert {r.filename: bytes(r.content) for r in found.collect()} == {n: d for n, d in given.items() if n != "d.bin"}
+    assert "Exchange" not in found._jdf.queryExecution().toString()
