@@ -173,3 +173,31 @@ def test_scope_requests_ask_each_collection_for_enough(spark):
     asked = planning.with_budget(federate.collection_requests(requests, scopes).withColumn("mode", F.lit("focused"))).collect()
     assert sorted((r.query_id, r.kb_id, r.top_k) for r in asked) == [(1, "x", 30), (1, "y", 30), (2, "x", 40), (2, "y", 40), (3, "x", 100)]
     assert all(r.rerank_candidate_top_k >= r.top_k for r in asked)
+
+
+@pytest.mark.parametrize("by_kb", [False, True])
+def test_scanned_scores_equal_joined_scores(spark, monkeypatch, by_kb):
+    """A task sends its best hits only; pairs aren't shuffled, and hits, scores and ties are those of the join."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    passage = lambda n: " ".join(r.choice(words) for _ in range(n))
+    chunks = [(f"c{i}", r.choice(["a", "b", None]), passage(2), passage(r.randint(0, 9)), f"CVE-2024-{1000 + i % 7}", ["CWE-5"], ["x"]) for i in range(300)]
+    chunks = spark.createDataFrame(chunks + [(f"d{i}", "a", "w1", "w2 w3", None, [], []) for i in range(30)], "chunk_id string, kb_id string, title string, text string, entity_id string, entity_ids array<string>, aliases array<string>").repartition(3)
+    asked = [(i, passage(4) + (" CVE-2024-1003" if i % 2 else "") + (" CWE-5" if i == 3 else ""), "ab"[i % 2]) for i in range(8)] + [(8, "CVE-2024-1001", "a"), (9, "", "a"), (10, "none", None)]
+    queries = spark.createDataFrame(asked, "query_id int, query string, kb_id string")
+    queries = queries if by_kb else queries.drop("kb_id")
+    index = keyword.build_index(chunks, parts=5)
+    monkeypatch.setattr(keyword, "BLOCK_CELLS", 300)
+    monkeypatch.setattr(keyword, "HELD_HITS", 50)
+    both = lambda: [sorted(map(tuple, f.select("query_id", "rank", "chunk_id", "score").collect())) for f in (keyword.bm25_topk(queries, index, 7), keyword.bm25_with_identifiers_topk(queries, index, chunks, 7))]
+    assert keyword.asked_terms(queries, index) is not None
+    scanned = both()
+    monkeypatch.setattr(keyword, "SCANNED_WEIGHTS", 1)
+    assert keyword.asked_terms(queries, index) is None
+    assert scanned == both() and len(scanned[0]) > 50
+
+
+def test_parts_of_an_index_follow_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(keyword, "PART_BYTES", 100)
+    rows = spark.createDataFrame([("a", "x" * 150), ("b", None), ("c", "y" * 199)], "chunk_id string, text string")
+    assert keyword.parts_for(rows, "text") == 4
