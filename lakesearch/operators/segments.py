@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesearch.operators.keyword import KeywordIndex, postings
+from lakesearch.operators.keyword import KeywordIndex, parts_for, postings
 from lakesearch.session import broadcast_within
 
 FIELDS = ("title", "text")
@@ -133,8 +133,10 @@ def update(spark: SparkSession, path: str, gone: DataFrame | None = None, added:
             tombstones = (*tombstones, part)
             statistics.append(_statistics(taken, -1))
     if added is not None:
-        posts = postings(added, fields).withColumn("chunk_id", F.col("chunk_id").cast("string")).withColumn("kb_id", F.col("kb_id").cast("string"))
-        stored = _write(posts.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), path, "postings", "segment", part)
+        rows = added.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("kb_id").cast("string").alias("kb_id"), *fields)
+        # chunks are dealt by id before they are taken apart: a task's share is bounded and postings aren't shuffled
+        dealt = rows.repartitionByRange(parts_for(rows, *fields), "chunk_id")
+        stored = _write(postings(dealt, fields, placed=True).sortWithinPartitions("chunk_id"), path, "postings", "segment", part)
         size = stored.count()
         if size:
             segments[part] = size
