@@ -8,6 +8,7 @@ tasks; nothing is joined by what texts and patterns have in common, so frequent
 
 import uuid
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -21,10 +22,11 @@ SHARD_CHARS, PAIRS = 2_000_000, 50_000
 #: Patterns up to this length are looked up one by one: an automaton would report every single occurrence.
 SHORT = 2
 
+_KEY = itemgetter(1)
 _BUILT: dict[str, tuple[list[tuple[str, int]], "ahocorasick.Automaton | None"]] = {}
 
 
-def _matcher(name: str, patterns: list[tuple[int, str]]):
+def matcher(name: str, patterns: list[tuple[int, str]]):
     """Short patterns and the automaton of the others, kept by the worker for its later tasks."""
     if name not in _BUILT:
         automaton = ahocorasick.Automaton()
@@ -42,7 +44,7 @@ def found_in(text: str, short, automaton) -> set[int]:
     """Keys of the patterns that ``text`` contains; the empty pattern is in every text."""
     keys = {key for pattern, key in short if pattern in text}
     if automaton is not None:
-        keys.update(key for _, key in automaton.iter(text))
+        keys.update(map(_KEY, automaton.iter(text)))
     return keys
 
 
@@ -77,7 +79,7 @@ def contained(patterns: DataFrame, texts: DataFrame, pattern: str, text: str, ke
         held = spark.sparkContext.broadcast([(r.key, r.pattern) for r in shards.where(F.col("shard") == shard).select("key", "pattern").collect()])
 
         def scan(batches: Iterator[pa.RecordBatch], name=uuid.uuid4().hex, held=held) -> Iterator[pa.RecordBatch]:
-            short, automaton = _matcher(name, held.value)
+            short, automaton = matcher(name, held.value)
             for batch in batches:
                 at, keys, carried = [], [], batch.select(keep)
                 for i, value in enumerate(batch.column("__text")):

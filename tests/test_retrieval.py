@@ -150,6 +150,20 @@ def test_offline_keyword_matches_brute_force(spark):
     assert [(-r.score, r.chunk_id) for r in got] == expected
 
 
+def test_offline_search_writes_no_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["ab", "abc", "x", "longword", "word", "É", "zz", "tab\tx"]
+    chunks = spark.createDataFrame([(f"c{i}", "k" if i % 3 else "m", " ".join(rng.choices(words, k=6))) for i in range(90)], "chunk_id string, kb_id string, text string")
+    asked = spark.createDataFrame([(i, "km"[i % 2], " ".join(rng.choices(words, k=3))) for i in range(9)] + [(9, "k", " "), (10, "k", None), (11, None, "ab")], "query_id int, kb_id string, query string")
+    written, plain = [], keyword.materialise
+    monkeypatch.setattr(keyword, "materialise", lambda df, label: written.append(df.count()) or plain(df, label))
+    got = sorted(keyword.offline_topk(asked, chunks, 5).collect())
+    assert max(written, default=0) <= 9
+    assert sorted(keyword.offline_topk(asked, chunks, 5, block_cells=20).collect()) == got
+    pairs = keyword.offline_scores(asked.join(chunks, "kb_id"))
+    assert got == sorted(ranking.top_k(pairs.select("query_id", "chunk_id", "score"), 5, [F.desc("score"), F.col("chunk_id")]).collect())
+
+
 def test_salted_terms_give_the_same_scores(spark, monkeypatch):
     chunks = spark.createDataFrame([(f"c{i}", "k", f"title {i % 3}", f"the word{i % 5} the end") for i in range(40)], "chunk_id string, kb_id string, title string, text string")
     asked = spark.createDataFrame([(1, "the word1 title"), (2, "end end")], "query_id int, query string")
