@@ -76,14 +76,22 @@ def keyword_side(queries: DataFrame, tables: SearchTables, exact: bool, largest:
     allowed = filters.entity_candidates(named, entities) if exact else None
     own = F.size(entity_ids(F.col("query"))) > 0  # variants may name identifiers that their query doesn't
     varied = "variant" in queries.columns
-    scores = keyword.bm25((plain.where(~own) if varied else plain).select("query_id", "kb_id", "query"), tables.index).unionByName(
-        keyword.bm25_with_identifiers(named.select("query_id", "kb_id", "query"), tables.index, entities, allowed)
-    )
-    if varied:
-        scores = scores.unionByName(keyword.bm25_with_identifiers(plain.where(own).select("query_id", "kb_id", "query"), tables.index, entities))
-    if allowed_chunks is not None:
+    columns, order = ["query_id", "kb_id", "query"], [F.desc("score"), F.col("chunk_id")]
+    usual = (plain.where(~own) if varied else plain).select(*columns)
+    if exact or allowed_chunks is not None:
+        limited = keyword.bm25_with_identifiers(named.select(*columns), tables.index, entities, allowed)
+    else:
+        limited = keyword.bm25_with_identifiers_topk(named.select(*columns), tables.index, entities, largest).drop("rank")
+    if allowed_chunks is None:
+        # all chunks of a collection may match: a task sends its best only
+        scores = keyword.bm25_topk(usual, tables.index, largest).drop("rank").unionByName(limited)
+        if varied:
+            scores = scores.unionByName(keyword.bm25_with_identifiers_topk(plain.where(own).select(*columns), tables.index, entities, largest).drop("rank"))
+    else:
+        scores = keyword.bm25(usual, tables.index).unionByName(limited)
+        if varied:
+            scores = scores.unionByName(keyword.bm25_with_identifiers(plain.where(own).select(*columns), tables.index, entities))
         scores = scores.join(allowed_chunks, "chunk_id", "left_semi")
-    order = [F.desc("score"), F.col("chunk_id")]
     hits = ranking.top_k(scores, largest, order).join(queries.select("query_id", "keyword_top_k"), "query_id")
     return hits.where(F.col("rank") <= F.col("keyword_top_k"))
 

@@ -164,6 +164,17 @@ def test_offline_search_writes_no_pairs(spark, monkeypatch):
     assert got == sorted(ranking.top_k(pairs.select("query_id", "chunk_id", "score"), 5, [F.desc("score"), F.col("chunk_id")]).collect())
 
 
+def test_identifiers_count_in_chunks_without_a_word_of_the_query(spark):
+    rows = [("a", "k", "some words", "CVE-2024-1001"), ("b", "m", "other words", "CVE-2024-1001"), ("c", "k", "words words", "CVE-2024-1002")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, kb_id string, text string, entity_id string").withColumns({"title": F.lit(""), "entity_ids": F.array("entity_id"), "aliases": F.array("entity_id")})
+    asked = spark.createDataFrame([(1, "k", "CVE-2024-1001"), (2, "m", "words CVE-2024-1001"), (3, "k", "words")], "query_id int, kb_id string, query string")
+    index = keyword.build_index(chunks)
+    plain = ranking.top_k(keyword.bm25_with_identifiers(asked, index, chunks), 5, [F.desc("score"), F.col("chunk_id")])
+    got = sorted(keyword.bm25_with_identifiers_topk(asked, index, chunks, 5).collect())
+    assert got == sorted(plain.select("query_id", "chunk_id", "score", "rank").collect())
+    assert [(r.chunk_id, r.score) for r in got if r.query_id == 1] == [("a", 160.0)]
+
+
 def test_salted_terms_give_the_same_scores(spark, monkeypatch):
     chunks = spark.createDataFrame([(f"c{i}", "k", f"title {i % 3}", f"the word{i % 5} the end") for i in range(40)], "chunk_id string, kb_id string, title string, text string")
     asked = spark.createDataFrame([(1, "the word1 title"), (2, "end end")], "query_id int, query string")
