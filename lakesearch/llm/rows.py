@@ -34,9 +34,9 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches that stay small with long texts: the default of 10,000 rows holds gigabytes of them. A session's own
-    settings win."""
-    for name, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(8 << 20))):
+    """Arrow batches that stay small with long texts: the default of 10,000 rows holds gigabytes of them. Executors keep
+    the buffers of a batch, outside their heap, for the next one. A session's own settings win."""
+    for name, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(2 << 20))):
         if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 

@@ -19,9 +19,11 @@ from lakesearch.llm.words import blocks, buffers, trimmed
 
 MARK = "▁"
 #: Chunks a task's table holds before it is begun anew; more distinct chunks cost time, never a result.
-TABLE_ENTRIES = 150_000
-#: Bytes of text whose chunks are looked up at once.
-BLOCK = 2 << 20
+TABLE_ENTRIES = 100_000
+#: Bytes of text whose chunks are looked up at once; the scratch arrays are many times as large.
+BLOCK = 512 << 10
+#: What is added to a row, by name.
+RESULTS = {"token_ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string"}
 
 
 def chunks_are_independent(processor) -> bool:
@@ -113,18 +115,27 @@ def encode_block(texts: pa.Array, processor, table: ChunkTable | None, bos: bool
     return [np.concatenate((head, ids[a:b], tail)) for a, b in zip(ends, ends[1:])]
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", bos: bool = True, eos: bool = True, table_entries: int = TABLE_ENTRIES) -> DataFrame:
+def _lists(ids: list[np.ndarray], sizes: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+
+
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", bos: bool = True, eos: bool = True, table_entries: int = TABLE_ENTRIES, results: tuple[str, ...] = tuple(RESULTS), with_text: bool = True) -> DataFrame:
     """``docs`` with ``token_ids`` (array<int>), ``decoded`` (the library's decode of them), ``n_tokens`` and ``ids_sha256``.
 
     Ids equal the library's ``encode`` of the whole text without sampling. A null text counts as empty: only the begin and end
     ids are returned. ``model_path`` must be readable on every executor. Rows are handled one by one, so repeated rows give
     repeated results and an empty table an empty one. Input columns named like a result are replaced.
+
+    Only the ``results`` asked for are made; without ``with_text`` the texts aren't sent back from the Python workers.
     """
     small_batches(docs.sparkSession)
-    added = {"token_ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string"}
-    keep = [c for c in docs.columns if c.lower() not in added]
-    asked = docs.select(*[F.col(f"`{c}`") for c in keep if c != text], F.col(f"`{text}`").alias(text))
-    fields = StructType(list(asked.schema.fields) + list(StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields))
+    added = {name: kind for name, kind in RESULTS.items() if name in results}
+    keep = [c for c in docs.columns if c.lower() not in RESULTS and c != text]
+    asked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(text))
+    sent = asked.schema.fields if with_text else asked.schema.fields[:-1]
+    fields = StructType(list(sent) + list(StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields))
 
     def encode(batches):
         import sentencepiece
@@ -135,17 +146,13 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", bos: boo
             for part in blocks(batch, text, BLOCK):
                 ids = encode_block(part.column(text), processor, table, bos, eos)
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns,
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))),
-                        pa.array([processor.decode(x.tolist()) for x in ids], pa.string()),
-                        pa.array(sizes),
-                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                    ],
-                    names=[*part.schema.names, *added],
-                )
+                made = {
+                    "token_ids": lambda: _lists(ids, sizes),
+                    "decoded": lambda: pa.array([processor.decode(x.tolist()) for x in ids], pa.string()),
+                    "n_tokens": lambda: pa.array(sizes),
+                    "ids_sha256": lambda: pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                }
+                names = [f.name for f in sent]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *[made[name]() for name in added]], names=[*names, *added])
 
     return asked.mapInArrow(trimmed(encode), fields)

@@ -28,6 +28,14 @@ def test_ids_equal_the_library(spark, entries):
     assert sentencepiece.encode_decode(docs.limit(0), PIECES).count() == 0
 
 
+def test_workers_send_back_only_what_is_asked_for(spark):
+    docs = spark.createDataFrame([(n, t, "x") for n, t in enumerate(ODD_TEXTS)], "doc_id int, text string, N_Tokens string")
+    whole = sentencepiece.encode_decode(docs, PIECES)
+    part = sentencepiece.encode_decode(docs, PIECES, results=("ids_sha256", "n_tokens"), with_text=False)
+    assert part.columns == ["doc_id", "n_tokens", "ids_sha256"]
+    assert sorted(part.collect()) == sorted(whole.select(part.columns).collect())
+
+
 def test_each_chunk_is_segmented_once():
     processor = library.SentencePieceProcessor(model_file=PIECES)
     table = sentencepiece.ChunkTable(processor)

@@ -79,3 +79,9 @@ def test_stage_on_odd_rows(spark, stage):
     found = corpus_pipeline.STAGES[stage][1](spark, docs, SF).collect()
     assert found and (stage == 4 or found[0].asDict().keys() == set(docs.columns))
     assert corpus_pipeline.STAGES[stage][1](spark, materialise(docs.limit(0), "none"), SF).count() == 0
+
+
+def test_texts_are_not_sent_back_from_the_encoding(spark):
+    done = corpus_pipeline.encode(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    mapped = next(line for line in done._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line)
+    assert "text#" not in mapped.split("[", 1)[1] and "decoded" not in mapped
