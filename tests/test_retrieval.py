@@ -222,6 +222,27 @@ def test_scanned_scores_equal_joined_scores(spark, monkeypatch, by_kb):
     assert scanned == both() and len(scanned[0]) > 50
 
 
+@pytest.mark.parametrize("by_kb", [False, True])
+def test_chunks_scanned_without_an_index_give_its_hits(spark, monkeypatch, by_kb):
+    """The same hits and scores; no index is built but for queries that are too many."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(12)] + ["Ünï", "日本"]
+    passage = lambda n: " ".join(r.choice(words) for _ in range(n))
+    chunks = [(f"c{i}", r.choice(["a", "b", None]), passage(2), passage(r.randint(0, 9))) for i in range(300)] + [("n0", "a", None, "w1"), ("n1", "b", "w2", None), ("n2", None, None, None)]
+    chunks = spark.createDataFrame(chunks, "chunk_id string, kb_id string, title string, text string").repartition(3)
+    asked = [(i, passage(4), "ab"[i % 2]) for i in range(8)] + [(9, "", "a"), (10, "none", None), (11, "w3", None)]
+    queries = spark.createDataFrame(asked, "query_id int, query string, kb_id string")
+    queries = queries if by_kb else queries.drop("kb_id")
+    monkeypatch.setattr(keyword, "BLOCK_CELLS", 300)
+    index, built = keyword.build_index(chunks, parts=5), []
+    hits = lambda df: sorted(map(tuple, df.select("query_id", "rank", "chunk_id", "score").collect()))
+    expected = hits(keyword.bm25_topk(queries, index, 7))
+    assert hits(keyword.chunks_topk(queries, chunks, 7, lambda: built.append(1) or index)) == expected and not built
+    assert hits(keyword.chunks_topk(queries.where("query = 'none'"), chunks, 7, lambda: index)) == []
+    monkeypatch.setattr(keyword, "SCANNED_WEIGHTS", 1)
+    assert hits(keyword.chunks_topk(queries, chunks, 7, lambda: built.append(1) or index)) == expected and built and len(expected) > 40
+
+
 def test_parts_of_an_index_follow_its_bytes(spark, monkeypatch):
     monkeypatch.setattr(keyword, "PART_BYTES", 100)
     rows = spark.createDataFrame([("a", "x" * 150), ("b", None), ("c", "y" * 199)], "chunk_id string, text string")
