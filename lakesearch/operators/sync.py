@@ -3,6 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesearch.operators.ranking import top_k
+
+# Rows of a side of a conflict join that meet as one block.
+BLOCK_ROWS = 4096
 
 
 def classify(items: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -81,20 +85,104 @@ def profile_conflicts(batch: DataFrame, documents: DataFrame, first_profiles: Da
     return hit.withColumn("outcome", F.when(F.col("stored_profile") == profile, "deduplicated").otherwise("embedding_profile_conflict"))
 
 
+def _ready(documents: DataFrame) -> DataFrame:
+    return documents.where(F.col("status") == "ready").select(
+        "kb_id", "original_filename", "source_uri", F.col("document_id").alias("old_id"), F.col("content_hash").alias("old_hash")
+    )
+
+
+def _repeats(rows: DataFrame, key: str) -> bool:
+    return not rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def _block_join(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Equality join in which a key of many rows is cut into blocks of about ``rows`` a side that meet pairwise, each by a hash of its row."""
+    sizes = lambda df, name: df.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > rows).select(*on, F.ceil(F.col("n") / rows).cast("int").alias(name))
+    # Keys of more than ``rows`` rows: fewer than one for so many rows of the input.
+    cuts = F.broadcast(sizes(left, "_ls").join(sizes(right, "_rs"), on, "full_outer"))
+
+    def cut(df: DataFrame, own: str, other: str, mine: str, others: str) -> DataFrame:
+        known = df.join(cuts, on, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in (own, other)})
+        block = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col(own)).cast("int")
+        return known.withColumn(mine, block).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
+
+    return cut(left, "_ls", "_rs", "_lb", "_rb").join(cut(right, "_rs", "_ls", "_rb", "_lb"), [*on, "_lb", "_rb"]).drop("_lb", "_rb")
+
+
+def conflict_pairs(batch: DataFrame, documents: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """job_id, old_id, kind (0 file name, 1 URI): every ready document a batch row conflicts with, once.
+
+    Same file name (files only) or same URI inside the collection, other content. The pairs grow with the square of the rows
+    of one name; they are made block by block and not shuffled, unless ids repeat.
+    """
+    jobs = batch.select("job_id", "kb_id", "source_type", "original_filename", "source_uri", "content_hash")
+    ready, differs = _ready(documents), F.col("old_hash") != F.col("content_hash")
+    files = jobs.where(F.col("source_type") == "file").select("job_id", "kb_id", "original_filename", "content_hash")
+    by_name = _block_join(files, ready.drop("source_uri"), ["kb_id", "original_filename"], block_rows).where(differs).select("job_id", "old_id", F.lit(0).alias("kind"))
+    named = F.coalesce((F.col("source_type") == "file") & (F.col("original_filename") == F.col("old_name")), F.lit(False))
+    held = ready.withColumnRenamed("original_filename", "old_name")
+    by_uri = _block_join(jobs, held, ["kb_id", "source_uri"], block_rows).where(differs & ~named).select("job_id", "old_id", F.lit(1).alias("kind"))
+    pairs = by_name.unionByName(by_uri)
+    if _repeats(jobs, "job_id") or _repeats(ready, "old_id"):
+        return pairs.groupBy("job_id", "old_id").agg(F.min("kind").alias("kind"))
+    return pairs
+
+
 def conflicts(batch: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ready documents a batch row conflicts with, as an ordered array.
+    """Ready documents a batch row conflicts with, as an ordered array; file-name matches come first."""
+    listed = F.sort_array(F.collect_list(F.struct("kind", "old_id"))).alias("l")
+    return conflict_pairs(batch, documents).groupBy("job_id").agg(listed).select("job_id", F.transform("l", lambda s: s["old_id"]).alias("conflict_ids"))
 
-    Same file name (files only) or same URI inside the collection, other content.
-    File-name matches come first.
+
+def _first_other(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """id and other: the smallest id of ``others`` with the row's key in its collection and other content, without the pairs.
+
+    Both: id, kb_id, the key and hash. Of the smallest ids with two different contents one differs from the row's.
     """
-    ready = documents.where(F.col("status") == "ready")
-    held = lambda key: ready.select("kb_id", key, F.col("document_id").alias("old_id"), F.col("content_hash").alias("old_hash"))
-    differs = F.col("old_hash") != F.col("content_hash")
-    by_name = batch.where(F.col("source_type") == "file").join(held("original_filename"), ["kb_id", "original_filename"]).where(differs).select("job_id", "old_id", F.lit(0).alias("kind"))
-    by_uri = batch.join(held("source_uri"), ["kb_id", "source_uri"]).where(differs).select("job_id", "old_id", F.lit(1).alias("kind"))
-    pairs = by_name.unionByName(by_uri).groupBy("job_id", "old_id").agg(F.min("kind").alias("kind"))
-    return pairs.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("kind", "old_id"))).alias("l")).select(
-        "job_id", F.transform("l", lambda s: s["old_id"]).alias("conflict_ids")
+    on = ["kb_id", key]
+    per_hash = others.where("hash IS NOT NULL").groupBy(*on, "hash").agg(F.min("id").alias("other"))
+    two = top_k(per_hash, 2, [F.col("other"), F.col("hash")], on).groupBy(*on).agg(F.collect_list(F.struct("other", "hash")).alias("two"))
+    other = F.array_min(F.transform(F.filter("two", lambda s: s["hash"] != F.col("hash")), lambda s: s["other"]))
+    met = _block_join(rows.select("id", *on, "hash"), two, on, BLOCK_ROWS)
+    return met.select("id", other.alias("other")).where("other IS NOT NULL")
+
+
+def _sides(batch: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    jobs = batch.select(F.col("job_id").alias("id"), "kb_id", "source_type", "original_filename", "source_uri", F.col("content_hash").alias("hash"))
+    return jobs, _ready(documents).withColumnsRenamed({"old_id": "id", "old_hash": "hash"})
+
+
+def first_conflicts(batch: DataFrame, documents: DataFrame) -> DataFrame:
+    """job_id and first_id, the first of its ``conflicts``, for every job that has one."""
+    jobs, ready = _sides(batch, documents)
+    by_name = _first_other(jobs.where(F.col("source_type") == "file"), ready, "original_filename").withColumn("kind", F.lit(0))
+    found = by_name.unionByName(_first_other(jobs, ready, "source_uri").withColumn("kind", F.lit(1)))
+    return found.groupBy(F.col("id").alias("job_id")).agg(F.min(F.struct("kind", "other"))["other"].alias("first_id"))
+
+
+def conflicting_documents(batch: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id of every ready document that any batch row conflicts with."""
+    jobs, ready = _sides(batch, documents)
+    found = _first_other(ready, jobs.where(F.col("source_type") == "file"), "original_filename").unionByName(_first_other(ready, jobs, "source_uri"))
+    return found.select(F.col("id").alias("document_id")).distinct()
+
+
+def _kept() -> Column:
+    return F.when(F.col("policy") == "keep_new", F.col("new_id")).otherwise(F.col("keep_id"))
+
+
+def _job_status(keeps_old: Column) -> Column:
+    return (
+        F.when(F.col("_keep").isNull(), "conflict").when(F.col("_keep") == F.col("new_id"), "succeeded")
+        .when(keeps_old, "discarded").otherwise("invalid_resolution")
+    )
+
+
+def _new_states(decided: DataFrame) -> DataFrame:
+    return decided.select(
+        "job_id", F.col("new_id").alias("document_id"),
+        F.when(F.col("job_status") == "succeeded", "ready").when(F.col("job_status") == "discarded", "discarded").otherwise("staging").alias("status"),
+        "job_status",
     )
 
 
@@ -106,20 +194,30 @@ def resolve(pending: DataFrame) -> DataFrame:
     one discards the new one, and without a decision the job waits. Rows:
     job_id, document_id, status, job_status.
     """
-    keep = F.when(F.col("policy") == "keep_new", F.col("new_id")).otherwise(F.col("keep_id"))
-    decided = pending.withColumn("_keep", keep)
-    job = (
-        F.when(F.col("_keep").isNull(), "conflict").when(F.col("_keep") == F.col("new_id"), "succeeded")
-        .when(F.array_contains("conflict_ids", F.col("_keep")), "discarded").otherwise("invalid_resolution")
-    )
-    decided = decided.withColumn("job_status", job)
-    new = decided.select(
-        "job_id", F.col("new_id").alias("document_id"),
-        F.when(F.col("job_status") == "succeeded", "ready").when(F.col("job_status") == "discarded", "discarded").otherwise("staging").alias("status"),
-        "job_status",
-    )
+    decided = pending.withColumn("_keep", _kept())
+    decided = decided.withColumn("job_status", _job_status(F.array_contains("conflict_ids", F.col("_keep"))))
     old = decided.where("job_status = 'succeeded'").select("job_id", F.explode("conflict_ids").alias("document_id"), F.lit("superseded").alias("status"), "job_status")
-    return new.unionByName(old)
+    return _new_states(decided).unionByName(old)
+
+
+def resolve_pairs(pending: DataFrame, batch: DataFrame, documents: DataFrame) -> DataFrame:
+    """The states of ``resolve`` without arrays: a kept document is looked up, and only jobs that succeed meet what they supersede.
+
+    ``pending``: job_id, new_id, policy, keep_id of jobs with conflicts; ``batch`` and ``documents`` as in ``conflict_pairs``.
+    """
+    decided = pending.withColumn("_keep", _kept())
+    asked = decided.where("_keep IS NOT NULL").select("job_id", F.col("_keep").alias("old_id")).distinct()
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    held = _ready(documents).withColumnsRenamed({"original_filename": "old_name", "source_uri": "old_uri"})
+    matched = ((F.col("source_type") == "file") & same("original_filename", "old_name")) | same("source_uri", "old_uri")
+    kept = batch.join(asked, "job_id").join(held, ["kb_id", "old_id"]).where(matched & (F.col("old_hash") != F.col("content_hash")))
+    kept = kept.select("job_id", F.col("old_id").alias("_keep"), F.lit(True).alias("_old")).distinct()
+    decided = decided.join(kept, ["job_id", "_keep"], "left").withColumn("job_status", _job_status(F.coalesce("_old", F.lit(False))))
+    done = decided.where("job_status = 'succeeded'").select("job_id")
+    old = conflict_pairs(batch.join(done.distinct(), "job_id", "left_semi"), documents).select("job_id", F.col("old_id").alias("document_id"))
+    if _repeats(done, "job_id"):
+        old = old.join(done, "job_id")
+    return _new_states(decided).unionByName(old.select("job_id", "document_id", F.lit("superseded").alias("status"), F.lit("succeeded").alias("job_status")))
 
 
 def job_outcome(size: Column, max_bytes: int, duplicate: Column, has_conflict: Column, policy: Column, text: Column) -> Column:

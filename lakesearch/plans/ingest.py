@@ -44,9 +44,9 @@ def ingest_batch(batch: DataFrame, documents: DataFrame, embedder: embedding.Emb
     policy = F.lit(policy) if isinstance(policy, str) else policy
     keys = ["kb_id", "source_type", "source_uri", "content_hash"]
     fresh = sync.new_documents(batch, documents).select("job_id", F.lit(True).alias("_fresh"))
-    clash = sync.conflicts(batch, documents)
+    clash = sync.first_conflicts(batch, documents)
     outcome = sync.job_outcome(
-        F.octet_length("text"), max_bytes, F.col("_fresh").isNull(), F.col("conflict_ids").isNotNull(), policy, F.col("text")
+        F.octet_length("text"), max_bytes, F.col("_fresh").isNull(), F.col("first_id").isNotNull(), policy, F.col("text")
     )
     staged = materialise(
         batch.join(fresh, "job_id", "left").join(clash, "job_id", "left").withColumn("outcome", outcome)
@@ -57,7 +57,7 @@ def ingest_batch(batch: DataFrame, documents: DataFrame, embedder: embedding.Emb
         chunking.chunk_rows(chunking.chunk_documents(accepted.select("document_id", "text")), model, dimension, provider), "ingest-chunks"
     )
     new = accepted.select("document_id", *keys, "original_filename", F.lit("ready").alias("status"))
-    replaced = accepted.select(F.explode("conflict_ids").alias("document_id")).distinct().withColumn("_gone", F.lit(True))
+    replaced = sync.conflicting_documents(accepted, documents).withColumn("_gone", F.lit(True))
     kept = documents.select(F.col("document_id").cast("string"), *keys, "original_filename", "status").join(
         replaced.withColumn("document_id", F.col("document_id").cast("string")), "document_id", "left"
     )
