@@ -158,7 +158,8 @@ def bullet_text(spark, sf):
     with_(DOCS, """SELECT document_id, sha256('# ' || title || chr(10) || chr(10) || '> 来源：' || source_uri || chr(10) || chr(10) || trim(text, ' ' || chr(10))) AS page_hash FROM docs"""),
 )
 def canonical_markdown(spark, sf):
-    page = text.canonical_markdown(F.col("title"), F.col("source_uri"), F.col("text"))
+    # as in the SQL, a blank document keeps the blank lines below its source line
+    page = text.page_markdown(F.col("title"), F.col("source_uri"), F.col("text"))
     return documents(spark, sf).select("document_id", ids.content_hash(page).alias("page_hash"))
 
 
