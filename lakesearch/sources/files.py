@@ -79,11 +79,12 @@ def inline_items(items: DataFrame) -> DataFrame:
     ).drop("content_b64")
 
 
-def corpus(files: DataFrame, category: str | None = None, offset: int = 0, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def corpus(files: DataFrame, category: str | None = None, offset: int = 0, limit: int | None = None, empty: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Markdown files by category as pages, and the refused ones with a reason.
 
     ``files``: relative, content. The first path segment is the category; paging
-    follows the case-folded path, and refused files use up their place.
+    follows the case-folded path, and refused files use up their place. Files
+    that ``empty`` marks are refused as empty, by default those of white space only.
     """
     rows = files.where(F.col("relative").contains("/")).withColumn("category", F.split_part("relative", F.lit("/"), F.lit(1)))
     if category:
@@ -95,7 +96,8 @@ def corpus(files: DataFrame, category: str | None = None, offset: int = 0, limit
     url = F.concat(F.lit("legacy-corpus:///"), F.replace(F.url_encode("relative"), F.lit("%2F"), F.lit("/")))
     url = F.replace(url, F.lit("+"), F.lit("%20"))
     reason = (
-        F.when(F.octet_length("content") > MAX_CORPUS_BYTES, "too_large").when(F.col("raw").isNull(), "not_utf8").when(F.col("markdown") == "", "empty")
+        F.when(F.octet_length("content") > MAX_CORPUS_BYTES, "too_large").when(F.col("raw").isNull(), "not_utf8")
+        .when(F.col("markdown") == "" if empty is None else empty, "empty")
     )
     judged = read.withColumns({"url": url, "reason": reason})
     name = F.regexp_extract("relative", r"([^/]+)$", 1)
