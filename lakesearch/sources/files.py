@@ -18,6 +18,8 @@ MAX_CORPUS_BYTES, MAX_JSON_CHARS = 5_000_000, 200_000
 #: Files beyond this size are hashed by pieces, not from a column of their bytes.
 STREAMED_BYTES, PIECE_BYTES = 32 << 20, 1 << 20
 FRONT_MATTER = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
+#: The same, or front matter that nothing follows.
+ENDING_FRONT_MATTER = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
 
 
 def expand_braces(pattern: str) -> list[str]:
@@ -177,11 +179,13 @@ def valid_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(_is_json)
 
 
-def extract_text(files: DataFrame) -> DataFrame:
+def extract_text(files: DataFrame, front_matter: str = FRONT_MATTER) -> DataFrame:
     """Text-family files as text with front matter, title and truncation handled.
 
     ``files``: filename, mime, content. Adds text, front_matter, truncated and a
     problem (``empty``, ``invalid_json``) that is null for a good file.
+    ``front_matter``: what is taken as such in Markdown, with its content as the
+    first group.
     """
     from lakesearch.sources.html import html_text
 
@@ -192,12 +196,12 @@ def extract_text(files: DataFrame) -> DataFrame:
     plain = decoded.where(~is_html).select(*keep, strip(F.col("raw")).alias("body"), F.lit("").alias("title"))
     pages = html_text(decoded.where(is_html).withColumnRenamed("raw", "html"), keep).select(*keep, F.col("raw_text").alias("body"), strip(F.col("raw_title")).alias("title"))
     both = plain.unionByName(pages)
-    front = F.nullif(F.regexp_extract("body", FRONT_MATTER, 1), F.lit(""))
+    front = F.nullif(F.regexp_extract("body", front_matter, 1), F.lit(""))
     titled = F.when((F.col("title") != "") & ~F.contains("body", "title"), F.concat(F.lit("# "), "title", F.lit("\n\n"), "body")).otherwise(F.col("body"))
     is_json = F.col("mime") == "application/json"
     long = is_json & (F.length("body") > MAX_JSON_CHARS)
     text = (
-        F.when(markdown, strip(F.regexp_replace("body", FRONT_MATTER, "")))
+        F.when(markdown, strip(F.regexp_replace("body", front_matter, "")))
         .when(long, F.concat(F.substring("body", 1, MAX_JSON_CHARS), F.lit("\n...[truncated]"))).otherwise(strip(titled))
     )
     problem = F.when(is_json & ~valid_json("body"), "invalid_json").when(F.col("text") == "", "empty")

@@ -22,7 +22,7 @@ def blanks(tmp_path_factory):
     return str(sf)
 
 
-@pytest.mark.parametrize("name", ["x12_canonical_markdown", "s03_corpus_pages", "s03_corpus_paging"])
+@pytest.mark.parametrize("name", ["x12_canonical_markdown", "s03_corpus_pages", "s03_corpus_paging", "s15_text_extraction"])
 def test_query(spark, blanks, name):
     from lakesearch import catalog
 
