@@ -112,6 +112,17 @@ def test_hash_vectors(spark):
     assert row.embedding == pytest.approx([v / norm for v in raw], abs=1e-6)
 
 
+def test_serialised_evidence_holds_the_whole_texts(spark):
+    from lakesearch.catalog import measures
+
+    sf, want = "/root/testdata/sf0.001", {}
+    for r in sorted(measures.evidence_hits(spark, sf).collect(), key=lambda r: (r.query_id, r.rank)):
+        source = {c: r[c] for c in ("chunk_id", "document_id", "source_uri", "original_filename", "chunk_index", "page_no")}
+        want.setdefault(r.query_id, []).append({"citation_id": r["rank"], "source": source, "content": r.text, "truncated": False})
+    want = {k: hashlib.md5(json.dumps(v, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for k, v in want.items()}
+    assert {r.query_id: r.context_hash for r in measures.evidence_json(spark, sf).collect()} == want
+
+
 def packed(spark, rows, budget):
     schema = "query_id int, rank int, chunk_id string, document_id string, source_uri string, original_filename string, chunk_index int, page_no int, text string"
     return evidence.pack_context(spark.createDataFrame([(1, i + 1, c, "d", "u", None, 0, None, t) for i, (c, t) in enumerate(rows)], schema), budget, 1).orderBy("citation_id").collect()
