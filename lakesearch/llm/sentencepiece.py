@@ -22,8 +22,9 @@ MARK = "▁"
 TABLE_ENTRIES = 100_000
 #: Bytes of text whose chunks are looked up at once; the scratch arrays are many times as large.
 BLOCK = 512 << 10
-#: What is added to a row, by name.
+#: What is added to a row, by name; ``text_sha256`` (of the decoded text) if it is asked for.
 RESULTS = {"token_ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string"}
+KINDS = RESULTS | {"text_sha256": "string"}
 
 
 def chunks_are_independent(processor) -> bool:
@@ -129,10 +130,11 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", bos: boo
     repeated results and an empty table an empty one. Input columns named like a result are replaced.
 
     Only the ``results`` asked for are made; without ``with_text`` the texts aren't sent back from the Python workers.
+    ``text_sha256``, the hash of the decoded text in UTF-8, tells what decoding gives without sending that back.
     """
     small_batches(docs.sparkSession)
-    added = {name: kind for name, kind in RESULTS.items() if name in results}
-    keep = [c for c in docs.columns if c.lower() not in RESULTS and c != text]
+    added = {name: kind for name, kind in KINDS.items() if name in results}
+    keep = [c for c in docs.columns if c.lower() not in RESULTS | added and c != text]
     asked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(text))
     sent = asked.schema.fields if with_text else asked.schema.fields[:-1]
     fields = StructType(list(sent) + list(StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields))
@@ -151,6 +153,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", bos: boo
                     "decoded": lambda: pa.array([processor.decode(x.tolist()) for x in ids], pa.string()),
                     "n_tokens": lambda: pa.array(sizes),
                     "ids_sha256": lambda: pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                    "text_sha256": lambda: pa.array([hashlib.sha256(processor.decode(x.tolist()).encode()).hexdigest() for x in ids], pa.string()),
                 }
                 names = [f.name for f in sent]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *[made[name]() for name in added]], names=[*names, *added])

@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions on the smallest tables."""
 
+import hashlib
+
 import corpus_pipeline
 import public_tokenizers
 import pytest
@@ -61,6 +63,12 @@ def test_ids(stages):
     assert sorted(map(tuple, ((r.doc_id, r.token_ids) for r in after))) == sorted((r.doc_id, processor.encode(r.text or "", add_bos=True, add_eos=True)) for r in before)
 
 
+def test_ids_are_decoded(stages):
+    processor = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    after = stages["sentencepiece"][1]
+    assert after and all(r.decoded_sha256 == hashlib.sha256(processor.decode(list(r.token_ids)).encode()).hexdigest() for r in after)
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages["sentencepiece"][1])
 
