@@ -4,11 +4,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lakesearch.catalog.bindings import DOCS, FEEDBACK, documents, table, with_
+from lakesearch.catalog.bindings import DOCS, FEEDBACK, hashed_documents, table, with_
 from lakesearch.catalog.measures import KEYED, UPSERTS, WALK
 from lakesearch.catalog.registry import query
 from lakesearch.catalog.tables import RECONCILED, VERSIONS, numbered_versions
 from lakesearch.session import materialise, shared_dir
+from lakesearch.sources import files
 from lakesearch.streaming import changes, feedback, keyed_state, reconcile, tables
 
 
@@ -119,9 +120,9 @@ def new_pages(spark, sf):
 
 @query("z05_sync_stream")
 def sync_stream(spark, sf):
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.parquet").load(sf)
-    items = files.select(F.lit("root").alias("kb_id"), F.concat(F.lit("sync://root/"), F.regexp_extract("path", r"([^/]+)$", 1)).alias("source_uri"), F.sha2("content", 256).alias("content_hash"))
-    snapshot = documents(spark, sf).select("kb_id", "source_uri", "content_hash", "status")
+    found = files.scan_stream(spark, sf, "*.parquet")
+    items = found.select(F.lit("root").alias("kb_id"), F.concat(F.lit("sync://root/"), F.regexp_extract("path", r"([^/]+)$", 1)).alias("source_uri"), "content_hash")
+    snapshot = hashed_documents(spark, sf).select("kb_id", "source_uri", "content_hash", "status")
     path = folder(spark)
     tables.run_to_end(changes.sync_stream(items, snapshot, path, f"{path}-checkpoint"))
     return spark.read.parquet(f"{path}/actions/batch=*").select("source_uri", "action")

@@ -45,6 +45,19 @@ def streamed_hash(paths: pd.Series) -> pd.Series:
     return paths.map(digest)
 
 
+def is_local(spark: SparkSession, root: str) -> bool:
+    """Whether a folder's files can be opened under ``file:``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
+def scan_stream(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path and content_hash of the files that arrive in a folder. Local files of any size are hashed by pieces; other file systems
+    give whole contents only, of 2 GB at most."""
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).load(root)
+    return found.select("path", (streamed_hash("path") if is_local(spark, root) else F.sha2("content", 256)).alias("content_hash"))
+
+
 def scan_directory(spark: SparkSession, root: str, pattern: str = "**/*", uri_template: str = "sync://{root_key}/{relative}", root_key: str = "root") -> DataFrame:
     """Files below a folder: address, name, bytes, hash and type, each file once.
 
@@ -55,8 +68,7 @@ def scan_directory(spark: SparkSession, root: str, pattern: str = "**/*", uri_te
     globs = sorted({glob.rsplit("/", 1)[-1] for glob in expand_braces(pattern)})
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}").load(root)
     # content stays with the scan: it isn't read for long files unless it is asked for, and never shuffled
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+    if is_local(spark, root):
         # a bare comparison of the length is pushed down to the scan
         rows = found.where(F.col("length") <= STREAMED_BYTES).withColumn("content_hash", F.sha2("content", 256))
         rows = rows.unionByName(found.where(F.col("length") > STREAMED_BYTES).withColumn("content_hash", streamed_hash("path")))
