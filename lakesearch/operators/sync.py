@@ -7,6 +7,8 @@ from lakesearch.operators.ranking import top_k
 
 # Rows of a side of a conflict join that meet as one block.
 BLOCK_ROWS = 4096
+# Jobs of a name that get its list of ids as one block.
+LIST_ROWS = 1024
 
 
 def classify(items: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -109,29 +111,65 @@ def _block_join(left: DataFrame, right: DataFrame, on: list[str], rows: int) ->
     return cut(left, "_ls", "_rs", "_lb", "_rb").join(cut(right, "_rs", "_ls", "_rb", "_lb"), [*on, "_lb", "_rb"]).drop("_lb", "_rb")
 
 
+def _jobs(batch: DataFrame) -> DataFrame:
+    return batch.select("job_id", "kb_id", "source_type", "original_filename", "source_uri", "content_hash")
+
+
+def _uri_pairs(jobs: DataFrame, ready: DataFrame, block_rows: int) -> DataFrame:
+    """job_id, old_id of conflicts by URI alone."""
+    named = F.coalesce((F.col("source_type") == "file") & (F.col("original_filename") == F.col("old_name")), F.lit(False))
+    held = ready.withColumnRenamed("original_filename", "old_name")
+    return _block_join(jobs, held, ["kb_id", "source_uri"], block_rows).where((F.col("old_hash") != F.col("content_hash")) & ~named).select("job_id", "old_id")
+
+
 def conflict_pairs(batch: DataFrame, documents: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """job_id, old_id, kind (0 file name, 1 URI): every ready document a batch row conflicts with, once.
 
     Same file name (files only) or same URI inside the collection, other content. The pairs grow with the square of the rows
     of one name; they are made block by block and not shuffled, unless ids repeat.
     """
-    jobs = batch.select("job_id", "kb_id", "source_type", "original_filename", "source_uri", "content_hash")
-    ready, differs = _ready(documents), F.col("old_hash") != F.col("content_hash")
+    jobs, ready = _jobs(batch), _ready(documents)
     files = jobs.where(F.col("source_type") == "file").select("job_id", "kb_id", "original_filename", "content_hash")
-    by_name = _block_join(files, ready.drop("source_uri"), ["kb_id", "original_filename"], block_rows).where(differs).select("job_id", "old_id", F.lit(0).alias("kind"))
-    named = F.coalesce((F.col("source_type") == "file") & (F.col("original_filename") == F.col("old_name")), F.lit(False))
-    held = ready.withColumnRenamed("original_filename", "old_name")
-    by_uri = _block_join(jobs, held, ["kb_id", "source_uri"], block_rows).where(differs & ~named).select("job_id", "old_id", F.lit(1).alias("kind"))
-    pairs = by_name.unionByName(by_uri)
+    by_name = _block_join(files, ready.drop("source_uri"), ["kb_id", "original_filename"], block_rows).where(F.col("old_hash") != F.col("content_hash")).select("job_id", "old_id", F.lit(0).alias("kind"))
+    pairs = by_name.unionByName(_uri_pairs(jobs, ready, block_rows).withColumn("kind", F.lit(1)))
     if _repeats(jobs, "job_id") or _repeats(ready, "old_id"):
         return pairs.groupBy("job_id", "old_id").agg(F.min("kind").alias("kind"))
     return pairs
 
 
-def conflicts(batch: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ready documents a batch row conflicts with, as an ordered array; file-name matches come first."""
-    listed = F.sort_array(F.collect_list(F.struct("kind", "old_id"))).alias("l")
-    return conflict_pairs(batch, documents).groupBy("job_id").agg(listed).select("job_id", F.transform("l", lambda s: s["old_id"]).alias("conflict_ids"))
+def conflicts(batch: DataFrame, documents: DataFrame, block_rows: int = LIST_ROWS) -> DataFrame:
+    """Ready documents a batch row conflicts with, as an ordered array; file-name matches come first.
+
+    The arrays of a name's jobs differ by the documents of equal content alone: the ids of a name are listed once, go to blocks of
+    about ``block_rows`` of its jobs, and a job leaves out its own. No pair of a name is made or shuffled, unless ids repeat.
+    """
+    jobs, ready = _jobs(batch), _ready(documents)
+    if _repeats(jobs, "job_id") or _repeats(ready, "old_id"):
+        listed = F.sort_array(F.collect_list(F.struct("kind", "old_id"))).alias("l")
+        return conflict_pairs(batch, documents).groupBy("job_id").agg(listed).select("job_id", F.transform("l", lambda s: s["old_id"]).alias("conflict_ids"))
+    on = ["kb_id", "original_filename"]
+    by_uri = _uri_pairs(jobs, ready, BLOCK_ROWS).groupBy("job_id").agg(F.sort_array(F.collect_list("old_id")).alias("uri_ids"))
+    # the ids of a name by id, and by content: those of one content are a slice of the latter
+    named = ready.where("kb_id IS NOT NULL AND original_filename IS NOT NULL AND old_hash IS NOT NULL")
+    lists = named.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("old_hash", "old_id"))).alias("l"))
+    slices = lists.select(*on, F.posexplode("l")).groupBy(*on, F.col("col.old_hash").alias("content_hash")).agg((F.min("pos") + 1).alias("first"), F.count("*").cast("int").alias("n"))
+    name = F.when((F.col("source_type") == "file") & F.col("content_hash").isNotNull(), F.col("original_filename"))
+    asked = jobs.withColumn("original_filename", name).select("job_id", *on, "content_hash").join(by_uri, "job_id", "left").join(slices, [*on, "content_hash"], "left").drop("content_hash")
+    # Names of more than ``block_rows`` jobs: fewer than one for so many jobs.
+    cuts = jobs.groupBy(*on).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+    parts = max(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (cuts.agg(F.sum("blocks")).first()[0] or 0))
+    cut = lambda df: df.join(F.broadcast(cuts), on, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = F.when(F.col("original_filename").isNull(), parts).otherwise(F.col("blocks"))
+    left = cut(asked).withColumn("block", F.pmod(F.xxhash64("job_id"), spread).cast("int")).drop("blocks").repartition(parts, *on, "block")
+    by_hash = F.transform("l", lambda s: s["old_id"])
+    right = cut(lists.select(*on, F.sort_array(by_hash).alias("ids"), by_hash.alias("by_hash"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    own = (
+        F.when(F.col("n").isNull(), F.col("ids")).when(F.col("n") == 1, F.array_remove("ids", F.get("by_hash", F.col("first") - 1)))
+        .otherwise(F.array_except("ids", F.slice("by_hash", F.col("first"), F.col("n"))))
+    )
+    none = F.array().cast(f"array<{ready.schema['old_id'].dataType.simpleString()}>")
+    found = F.when(F.col("uri_ids").isNull(), own).otherwise(F.concat(F.coalesce(own, none), F.col("uri_ids")))
+    return left.join(right, [*on, "block"], "left").select("job_id", found.alias("conflict_ids")).where("size(conflict_ids) > 0")
 
 
 def _first_other(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:

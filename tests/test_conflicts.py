@@ -46,6 +46,26 @@ def test_conflicts_equal_all_pairs(spark, twice):
     assert {r.document_id for r in sync.conflicting_documents(batch, documents).collect()} == {d for _, d in want}
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_lists_equal_all_pairs(spark, twice):
+    rows, docs = offered()
+    if twice:
+        rows, docs = rows + [(3, "a", "file", "big.md", "u1", "h9")], docs + [(101, "a", "big.md", "u2", "h8", "ready")]
+    want = {}
+    for (job, doc), kind in plain(rows, docs).items():
+        want.setdefault(job, []).append((kind, doc))
+    found = sync.conflicts(spark.createDataFrame(rows, BATCH), spark.createDataFrame(docs, DOCUMENTS), block_rows=4)
+    assert sorted((r.job_id, r.conflict_ids) for r in found.collect()) == sorted((j, [d for _, d in sorted(x)]) for j, x in want.items())
+
+
+def test_no_pair_of_a_name_is_shuffled(spark):
+    docs = spark.range(3000).selectExpr("id AS document_id", "'a' AS kb_id", "'one.md' AS original_filename", "concat('u', id) AS source_uri", "concat('h', id % 2900) AS content_hash", "'ready' AS status")
+    jobs = docs.selectExpr("document_id AS job_id", "kb_id", "'file' AS source_type", "original_filename", "source_uri", "content_hash")
+    found = sync.conflicts(jobs, docs, block_rows=512)
+    assert found.selectExpr("sum(size(conflict_ids)) AS n").first().n == 3000 * 3000 - 2800 - 100 * 4
+    assert "collect_list(struct(kind" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_resolution_without_lists(spark):
     rows, docs = offered()
     batch, documents = spark.createDataFrame(rows, BATCH), spark.createDataFrame(docs, DOCUMENTS)
