@@ -3,7 +3,8 @@
 An update writes one segment (postings of the chunks that came), one table of tombstones (chunks that went, and the segments they
 went from) and the statistics of both; nothing that was written before is touched. Statistics are sums over rows that each belong
 to a segment: counts of its postings, and negative counts of those that a tombstone has taken from it. When ``FANOUT`` segments
-of one tier of size have gathered they are rewritten as one, without what is dead in them.
+of one tier of size have gathered they are rewritten as one, without what is dead in them. Tombstones stay few enough to travel to
+all tasks: an update that would leave more of them rewrites the segments it takes chunks from instead. Postings are never shuffled.
 
 A version of the index is a list of segments and tombstones under the next number. It is written after everything it names, so a
 reader sees the newest version that is complete, and an update that dies leaves files that no version names.
@@ -12,7 +13,7 @@ reader sees the newest version that is complete, and an update that dies leaves
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesearch.operators.keyword import KeywordIndex, parts_for, postings
@@ -21,7 +22,7 @@ from lakesearch.session import broadcast_within
 FIELDS = ("title", "text")
 #: Segments of a tier that are merged; a tier holds segments up to FANOUT times as large as the one below.
 FANOUT, SMALLEST = 4, 10_000
-#: Tombstones sent to all tasks; more are joined by a shuffle. Chunk ids that are pushed down to the scan.
+#: Tombstones or ids sent to all tasks at once; more ids take their turns. Chunk ids that are pushed down to the scan.
 SHIPPED_TOMBSTONES, PUSHED_IDS = 500_000, 1_000
 
 POSTINGS = "chunk_id string, kb_id string, field string, dl int, term string, tf bigint, segment int"
@@ -100,6 +101,36 @@ def live_postings(spark: SparkSession, path: str, version: Version, segments=Non
     return posts.join(broadcast_within(gone, SHIPPED_TOMBSTONES)[0], ["chunk_id", "segment"], "left_anti")
 
 
+def _ranges(ids: DataFrame, n: int) -> list[Column]:
+    """Conditions on chunk_id that cut ``n`` ids into ranges of about SHIPPED_TOMBSTONES."""
+    blocks = -(-n // SHIPPED_TOMBSTONES)
+    if blocks <= 1:
+        return [F.lit(True)]
+    starts = ids.repartitionByRange(blocks, "chunk_id").groupBy(F.spark_partition_id()).agg(F.min("chunk_id").alias("start")).orderBy("start").collect()
+    edges = [r.start for r in starts][1:]
+    at = F.col("chunk_id")
+    if not edges:
+        return [F.lit(True)]
+    return [at.isNull() | (at < edges[0]), *[(at >= a) & (at < b) for a, b in zip(edges, edges[1:])], at >= edges[-1]]
+
+
+def _rewrite(spark: SparkSession, path: str, version: Version, ids: DataFrame, n: int) -> Version:
+    """The version without the chunks ``ids``: segments that hold some are written anew as one, a range of ids at a time."""
+    ranges, touched = _ranges(ids, n), set()
+    held = live_postings(spark, path, version)
+    for inside in ranges:
+        hit = held.where(inside).select("chunk_id", "segment").join(F.broadcast(ids.where(inside)), "chunk_id", "left_semi")
+        touched |= {r.segment for r in hit.select("segment").distinct().collect()}
+    if not touched:
+        return version
+    part, live = version.next_part, live_postings(spark, path, version, sorted(touched)).drop("segment")
+    at = f"{path}/postings/segment={part}"
+    for i, inside in enumerate(ranges):
+        rest = live.where(inside).join(F.broadcast(ids.where(inside)), "chunk_id", "left_anti")
+        rest.write.mode("append" if i else "overwrite").parquet(at)
+    return _replaced(spark, path, version, touched, spark.read.schema(live.schema).parquet(at))
+
+
 def open_index(spark: SparkSession, path: str, version: Version | None = None) -> KeywordIndex:
     """The index as searches use it; its statistics are sums over segments."""
     version = version or current(spark, path)
@@ -117,16 +148,25 @@ def update(spark: SparkSession, path: str, gone: DataFrame | None = None, added:
     postings, the tombstones and the statistics of both. Ids that aren't in the index are ignored.
     """
     before = current(spark, path)
-    part = before.next_part
-    statistics, segments, tombstones = [], dict(before.segments), before.tombstones
+    number, part = before.number + 1, before.next_part
+    statistics, n = [], 0
     if gone is not None and before.segments:
-        ids = gone.select(F.col("chunk_id").cast("string").alias("chunk_id")).distinct()
+        ids = gone.select(F.col("chunk_id").cast("string").alias("chunk_id")).where("chunk_id IS NOT NULL").distinct()
         few = ids.limit(PUSHED_IDS + 1).collect()
+        n = len(few)
+        if n > PUSHED_IDS:
+            ids = _write(ids, path, "gone", "part", part)
+            n = ids.count()
+        if n + _read(spark, path, "tombstones", TOMBSTONES, "part", before.tombstones).count() > SHIPPED_TOMBSTONES:
+            before, n = _rewrite(spark, path, before, ids, n), 0
+            part = before.next_part
+    segments, tombstones = dict(before.segments), before.tombstones
+    if n:
         held = live_postings(spark, path, before)
         if len(few) <= PUSHED_IDS:
             held = held.where(F.col("chunk_id").isin([r.chunk_id for r in few]))
         else:
-            held = held.join(broadcast_within(ids, SHIPPED_TOMBSTONES)[0], "chunk_id", "left_semi")
+            held = held.join(F.broadcast(ids), "chunk_id", "left_semi")
         taken = _write(held, path, "removed", "part", part)
         dead = _write(taken.select("chunk_id", "segment").distinct(), path, "tombstones", "part", part)
         if not dead.isEmpty():
@@ -142,7 +182,7 @@ def update(spark: SparkSession, path: str, gone: DataFrame | None = None, added:
             segments[part] = size
             statistics.append(_statistics(stored.withColumn("segment", F.lit(part)), 1))
     _write_statistics(spark, path, part, statistics)
-    after = _commit(spark, path, Version(before.number + 1, segments, tombstones, part + 1))
+    after = _commit(spark, path, Version(number, segments, tombstones, part + 1))
     while (due := due_merge(after, fanout)):
         after = merge(spark, path, after, due)
     return after
@@ -174,13 +214,17 @@ def due_merge(version: Version, fanout: int = FANOUT) -> list[int]:
 
 def merge(spark: SparkSession, path: str, version: Version, segments: list[int]) -> Version:
     """The version with ``segments`` rewritten as one that holds their live postings only."""
-    part = version.next_part
+    # rows stay in the runs they were sorted in
     live = live_postings(spark, path, version, segments).drop("segment")
-    stored = _write(live.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), path, "postings", "segment", part)
-    size = stored.count()
+    return _commit(spark, path, _replaced(spark, path, version, segments, _write(live, path, "postings", "segment", version.next_part)))
+
+
+def _replaced(spark: SparkSession, path: str, version: Version, segments, stored: DataFrame) -> Version:
+    """The next version, with the postings that were ``stored`` as its next part in place of ``segments``."""
+    part, size = version.next_part, stored.count()
     rest = {k: n for k, n in version.segments.items() if k not in segments} | ({part: size} if size else {})
     _write_statistics(spark, path, part, [_statistics(stored.withColumn("segment", F.lit(part)), 1)] if size else [])
     # tombstones stay while they speak of a segment that is still there
     gone = _read(spark, path, "tombstones", TOMBSTONES, "part", version.tombstones).where(F.col("segment").isin(list(rest) or [-1]))
     needed = sorted(r.part for r in gone.select("part").distinct().collect())
-    return _commit(spark, path, Version(version.number + 1, rest, tuple(needed), part + 1))
+    return Version(version.number + 1, rest, tuple(needed), part + 1)

@@ -23,6 +23,24 @@ def state(index):
     )
 
 
+@pytest.mark.parametrize("fanout, smallest", [(2, 60), (100, 10)])
+def test_large_deletions_rewrite_segments(spark, tmp_path, monkeypatch, fanout, smallest):
+    """Ids too many for tombstones are taken out a range at a time; nothing is left of them but what is rewritten."""
+    monkeypatch.setattr(segments, "SMALLEST", smallest)
+    monkeypatch.setattr(segments, "SHIPPED_TOMBSTONES", 4)
+    monkeypatch.setattr(segments, "PUSHED_IDS", 2)
+    r, path, held = random.Random(fanout), str(tmp_path / "index"), {}
+    for step, leaving in enumerate((0, 3, 12, 2, 30, 5)):
+        gone = r.sample(sorted(held), min(len(held), leaving)) + ["unknown"]
+        added = {c[0]: c for c in (chunk(r, r.randint(0, 60)) for _ in range(25)) if c[0] in gone or c[0] not in held}
+        version = segments.update(spark, path, spark.createDataFrame([(g,) for g in gone], "chunk_id string"), spark.createDataFrame(list(added.values()), KIND) if step != 4 else None, fanout)
+        held = {k: v for k, v in held.items() if k not in gone} | (added if step != 4 else {})
+        assert state(segments.open_index(spark, path)) == state(keyword.build_index(spark.createDataFrame(list(held.values()), KIND)))
+        assert segments._read(spark, path, "tombstones", segments.TOMBSTONES, "part", version.tombstones).count() <= 4
+    segments.update(spark, path, spark.createDataFrame([(f"x{i}",) for i in range(20)], "chunk_id string"))
+    assert segments.current(spark, path).segments == version.segments
+
+
 @pytest.mark.parametrize("fanout, smallest", [(2, 60), (100, 10)])
 def test_many_changes_equal_a_rebuild(spark, tmp_path, monkeypatch, fanout, smallest):
     """Chunks come, are replaced, go and come again; merges happen or not."""
