@@ -4,7 +4,7 @@ An update writes one segment (postings of the chunks that came), one table of to
 went from) and the statistics of both; nothing that was written before is touched. Statistics are sums over rows that each belong
 to a segment: counts of its postings, and negative counts of those that a tombstone has taken from it. When ``FANOUT`` segments
 of one tier of size have gathered they are rewritten as one, without what is dead in them. Tombstones stay few enough to travel to
-all tasks: an update that would leave more of them rewrites the segments it takes chunks from instead. Postings are never shuffled.
+all tasks: an update that would leave more of them rewrites the segments it takes chunks from instead. No update or merge shuffles postings.
 
 A version of the index is a list of segments and tombstones under the next number. It is written after everything it names, so a
 reader sees the newest version that is complete, and an update that dies leaves files that no version names.
